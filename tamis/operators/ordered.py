@@ -195,7 +195,7 @@ def top_per_group(
     # copies of one row share its hash: spread them by position as well
     salted = salted.withColumn("__salt", F.pmod(F.col("__salt") + F.monotonically_increasing_id(), F.lit(salts)))
     first = salted.withColumn(
-        "__rn", F.row_number().over(Window.partitionBy(*names, "__salt").orderBy(*order))
-    ).where(F.col("__rn") <= n)
+        "__near", F.row_number().over(Window.partitionBy(*names, "__salt").orderBy(*order))
+    ).where(F.col("__near") <= n)
     last = first.withColumn(alias, F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
-    return last.where(F.col(alias) <= n).drop("__tie", "__salt", "__rn")
+    return last.where(F.col(alias) <= n).drop("__tie", "__salt", "__near")
