@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -91,12 +91,14 @@ def survey_responses(spark: SparkSession, path: str, questions: list[str]) -> Da
     into columns in place, without a shuffle.
     """
     raw = spark.read.schema("response_id string, answers array<struct<question:string,answer:string>>").json(path)
-    pick = lambda q: F.element_at(F.filter("answers", lambda a: a["question"] == q), 1)["answer"]
     some = F.coalesce("answers", F.array().cast("array<struct<question:string,answer:string>>"))
-    return raw.withColumn("answers", some).select(
-        "response_id",
-        *[F.when(F.exists("answers", lambda a, q=q: a["question"] == q), pick(q)).alias(q) for q in questions],
-    )
+    found = raw.withColumn("answers", some)
+    return found.select("response_id", *[_answer(q).alias(q) for q in questions])
+
+
+def _answer(question: str) -> Column:
+    matching = F.filter("answers", lambda a: a["question"] == question)
+    return F.try_element_at(matching, F.lit(1))["answer"]
 
 
 def keyed_snapshots(table: DataFrame, pattern: str, schema: Schema, key: str = "key", value: str = "value") -> DataFrame:

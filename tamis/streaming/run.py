@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tamis.functions.scalars import col
@@ -44,9 +45,10 @@ def drain(df: DataFrame, mode: str = "update", keys: Sequence[str] = ()) -> Data
     """
     spark = df.sparkSession
     path = scratch_path(spark, "stream")
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/epoch=-1")  # readable also without input
     query = write_epochs(df, path, mode, scratch_path(spark, "stream-state"))
     query.awaitTermination()
-    schema = df.schema.add("epoch", "bigint")
+    schema = T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])
     rows = spark.read.schema(schema).parquet(path)
     if mode == "append":
         return rows.drop("epoch")
@@ -80,7 +82,8 @@ def upsert_history(base: str, keys: Sequence[str], on_batch: Callable[[DataFrame
 
 def read_history(spark, base: str, schema, keys: Sequence[str], before_epoch: int | None = None) -> DataFrame:
     """Last row per key of an upserted history."""
-    rows = spark.read.schema(schema.add("epoch", "bigint") if "epoch" not in schema.names else schema).parquet(base)
+    fields = [f for f in schema.fields if f.name != "epoch"]
+    rows = spark.read.schema(T.StructType([*fields, T.StructField("epoch", T.LongType())])).parquet(base)
     if before_epoch is not None:
         rows = rows.where(F.col("epoch") < before_epoch)
     rest = [c for c in rows.columns if c not in (*keys, "epoch")]
