@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from tamis.operators import aggregate as agg
 from tamis.operators import charts, join, kpi, project, quality, reshape, window
+from tamis.session import materialize
 from tamis.sources.tables import open_source
 
 # The document kind and the limits on its lists.
@@ -53,14 +54,36 @@ STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
 }
 
 
-@dataclass
+# Steps whose output is far smaller than their input.
+REDUCING = ("aggregate", "group_by", "pivot")
+
+
 class Result:
-    """Lazy outputs of a run."""
+    """Outputs of a run; KPIs and charts are built when they are asked for."""
+
+    def __init__(self, spec: Mapping, steps: dict[str, DataFrame], targets: DataFrame | None, row_limit: int | None):
+        self.steps = steps
+        self._spec, self._targets, self._row_limit = spec, targets, row_limit
+
+    @property
+    def last(self) -> DataFrame:
+        return self.steps[list(self.steps)[-1]]
+
+    @property
+    def output(self) -> DataFrame:
+        return self.last if self._row_limit is None else self.last.limit(self._row_limit)
+
+    @cached_property
+    def kpis(self) -> DataFrame | None:
+        return evaluate_kpis(self.steps, self._spec["kpis"], self._targets) if self._spec.get("kpis") else None
 
-    steps: dict[str, DataFrame] = field(default_factory=dict)
-    output: DataFrame | None = None
-    kpis: DataFrame | None = None
-    charts: dict[str, DataFrame] = field(default_factory=dict)
+    def chart(self, chart_id: str) -> DataFrame:
+        viz = next(v for v in self._spec["visualizations"] if v["id"] == chart_id)
+        return charts.chart(self.last, viz["type"], viz["encoding"], **viz.get("options", {}))
+
+    @cached_property
+    def charts(self) -> dict[str, DataFrame]:
+        return {v["id"]: self.chart(v["id"]) for v in self._spec.get("visualizations", [])}
 
 
 def check(definition: Mapping) -> None:
@@ -83,10 +106,13 @@ def check(definition: Mapping) -> None:
         seen.add(step["id"])
 
 
-def run_steps(source: DataFrame, steps: Sequence[dict], tables: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def run_steps(
+    source: DataFrame, steps: Sequence[dict], tables: Mapping[str, DataFrame] | None = None, store: str | None = None
+) -> dict[str, DataFrame]:
     """Output of every step by id, in order; ``source`` is the input.
 
-    The right side of a join is an earlier step or, if there is none of that name, a table.
+    The right side of a join is an earlier step or, if there is none of that name, a table. The
+    step named by ``store`` is written once and read back by all that follows.
     """
     done: dict[str, DataFrame] = {"source": source}
     current = source
@@ -99,16 +125,28 @@ def run_steps(source: DataFrame, steps: Sequence[dict], tables: Mapping[str, Dat
             current = join.join(current, right, step["on"], step["joinType"])
         else:
             current = STEPS[step["kind"]](current, step)
+        if step["id"] == store:
+            current = materialize(current, store)
         done[step["id"]] = current
     return done
 
 
+def shared_step(spec: Mapping) -> str | None:
+    """The last reducing step, if KPIs and charts would otherwise compute it several times."""
+    users = len(spec.get("visualizations", [])) + bool(spec.get("kpis")) + 1
+    reducing = [s["id"] for s in spec.get("pipeline", []) if s["kind"] in REDUCING]
+    return reducing[-1] if reducing and users > 1 else None
+
+
 def bind_kpis(steps: Mapping[str, DataFrame], kpis: Sequence[dict]) -> dict[str, list[dict]]:
     """KPIs by the last step whose output has every column they name."""
+    spark = next(iter(steps.values())).sparkSession
+    # an empty frame of the same schema resolves a name as well, without the plan of the step
+    shapes = {name: spark.createDataFrame([], df.schema) for name, df in steps.items()}
     bound: dict[str, list[dict]] = {}
     for entry in kpis:
         for name in reversed(list(steps)):
-            if kpi.kpi_column(steps[name], entry["expression"]) is not None:
+            if kpi.kpi_column(shapes[name], entry["expression"]) is not None:
                 bound.setdefault(name, []).append(entry)
                 break
         else:
@@ -133,15 +171,11 @@ def run(
     targets: DataFrame | None = None,
     row_limit: int | None = None,
 ) -> Result:
-    """Steps, KPIs and chart tables of a definition. Pass ``source``, or ``readers`` by source type."""
+    """Steps, KPIs and chart tables of a definition. Pass ``source``, or ``readers`` by source type.
+
+    With KPIs or charts, the result of the last aggregation is stored once and shared by them.
+    """
     check(definition)
     spec = definition["spec"]
     data = source if source is not None else open_source(spec["source"], readers or {})
-    steps = run_steps(data, spec.get("pipeline", []), tables)
-    last = steps[list(steps)[-1]]
-    result = Result(steps=steps, output=last if row_limit is None else last.limit(row_limit))
-    if spec.get("kpis"):
-        result.kpis = evaluate_kpis(steps, spec["kpis"], targets)
-    for viz in spec.get("visualizations", []):
-        result.charts[viz["id"]] = charts.chart(last, viz["type"], viz["encoding"], **viz.get("options", {}))
-    return result
+    return Result(spec, run_steps(data, spec.get("pipeline", []), tables, shared_step(spec)), targets, row_limit)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tamis.operators import audit, compare, drift, lifecycle
 from tamis.queries import derived as d
 from tamis.queries.registry import query, rounded, table
+from tamis.session import materialize
 
 
 def _two_runs(spark, sf):
@@ -387,9 +388,10 @@ def q_chain_build(spark, sf):
 
 
 def _tampered(spark, sf):
-    """Chains with lost entries and changed payloads."""
+    """A stored log whose chains have lost entries and changed payloads."""
     chain = audit.build_chain(d.audit_entries(spark, sf), d.audit_keys(spark, sf)).where("audit_id % 211 <> 5")
-    return chain.withColumn("payload", F.expr("CASE WHEN audit_id % 307 = 0 THEN concat(payload, ' ') ELSE payload END"))
+    changed = F.expr("CASE WHEN audit_id % 307 = 0 THEN concat(payload, ' ') ELSE payload END")
+    return materialize(chain.withColumn("payload", changed), "audit")
 
 
 _LINKED = f"""WITH {d.CHAIN_SQL}, kept AS (SELECT *, lag(self_hash) OVER (PARTITION BY workflow_id ORDER BY occurred_at, audit_id) AS before

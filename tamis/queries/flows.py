@@ -7,7 +7,8 @@ from tamis.session import scratch_path
 from tamis.sinks import outputs
 from tamis.sources import tables
 from tamis.operators.sample import sample
-from tamis.streaming import alerts, measures
+from tamis.queries.derived import day_values, day_values_sql
+from tamis.streaming import alerts, breach, measures
 from tamis.streaming.run import drain
 
 
@@ -217,3 +218,27 @@ def q_held_alert_batch(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = alerts.evaluations(e, "ts", ["user_id"], F.col("value") > 10, "1 hour")
     return _plain_times(alerts.held_alerts_batch(rows, "user_id", "window_start", "active", 43200))
+
+
+_LIMIT = "CASE WHEN value > 2.0 * goal THEN 'CRITICAL' WHEN value > 1.2 * goal THEN 'WARNING' ELSE 'OK' END"
+
+
+@query(
+    f"""WITH h AS (SELECT *, avg(value) OVER (PARTITION BY kpi_id) AS goal FROM {day_values_sql()}),
+    s AS (SELECT *, {_LIMIT} AS severity, lag(value) OVER (PARTITION BY kpi_id ORDER BY run_at) AS previous FROM h)
+    SELECT kpi_id, run_at, previous, value AS current, round((value - previous) / nullif(previous, 0) * 100, 4) AS delta_pct, severity
+    FROM s WHERE severity <> 'OK'"""
+)
+def q_stream_breach(spark, sf):
+    goals = day_values(spark, sf).groupBy("kpi_id").agg(F.avg("value").alias("target")).withColumns(
+        {"polarity": F.lit("less_better"), "warning_pct": F.lit(120.0), "critical_pct": F.lit(200.0)}
+    )
+    days = measures.windowed(_events(spark, sf), "ts", ["event_type"], {"total": F.sum("value")}, "1 day")
+    values = days.select(F.col("event_type").alias("kpi_id"), F.col("window_start").alias("run_at"), F.round("total", 4).alias("value"))
+    base = scratch_path(spark, "breaches")
+    watch = breach.watch_breaches(goals, base, breach.runs_within(600, 86400))
+    state = scratch_path(spark, "stream-state")
+    run = values.writeStream.outputMode("update").foreachBatch(watch).option("checkpointLocation", state)
+    run.trigger(availableNow=True).start().awaitTermination()
+    out = breach.latest_breaches(spark, base)
+    return rounded(_plain_times(out.drop("threshold", "polarity")), 4, "delta_pct")

@@ -119,7 +119,7 @@ def q_flagship_kpis(spark, sf):
     CROSS JOIN (SELECT DISTINCT l_returnflag AS series FROM v) b LEFT JOIN v ON v.r_name = x AND v.l_returnflag = series"""
 )
 def q_flagship_chart(spark, sf):
-    return flagship(spark, sf).charts["viz_region_flag"]
+    return flagship(spark, sf).chart("viz_region_flag")
 
 
 _ORDER_KPIS = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,34 +61,11 @@ def drain(df: DataFrame, mode: str = "update", keys: Sequence[str] = ()) -> Data
     return found.select(*[col(k) for k in keys], *[F.col("__v")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def upsert_history(base: str, keys: Sequence[str], on_batch: Callable[[DataFrame, DataFrame | None], None] | None = None):
-    """A foreachBatch function that keeps the last row per key over all batches.
-
-    Batches are appended by epoch, so a repeated batch replaces itself; ``read_history`` gives the
-    last row per key. ``on_batch`` sees the batch and the history before it, e.g. to rate breaches.
-    """
-
-    def save(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        stored = f"{base}/epoch={epoch}"
-        batch.write.mode("overwrite").parquet(stored)
-        if on_batch is not None:
-            fresh = spark.read.schema(batch.schema).parquet(stored)
-            before = read_history(spark, base, batch.schema, keys, epoch) if epoch > 0 else None
-            on_batch(fresh, before)
-
-    return save
-
-
-def read_history(spark, base: str, schema, keys: Sequence[str], before_epoch: int | None = None) -> DataFrame:
-    """Last row per key of an upserted history."""
-    fields = [f for f in schema.fields if f.name != "epoch"]
-    rows = spark.read.schema(T.StructType([*fields, T.StructField("epoch", T.LongType())])).parquet(base)
-    if before_epoch is not None:
-        rows = rows.where(F.col("epoch") < before_epoch)
-    rest = [c for c in rows.columns if c not in (*keys, "epoch")]
-    last = F.max_by(F.struct(*[col(c) for c in rest]), F.col("epoch")).alias("__v")
-    return rows.groupBy(*[col(k) for k in keys]).agg(last).select(*[col(k) for k in keys], "__v.*")
+def late_rows(query: StreamingQuery) -> int:
+    """Rows a finished query dropped because they came later than the watermark."""
+    return sum(
+        op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators
+    )
 
 
 def publish_stream(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str | None = None, trigger: dict | None = None) -> StreamingQuery:
