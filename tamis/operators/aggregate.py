@@ -88,7 +88,8 @@ def quantiles(
     # a NULL value weighs nothing but keeps a group of only NULLs in the result
     counts = df.groupBy(*names, col(field).cast("double").alias("__v")).agg(F.count(col(field)).alias("__n"))
     if sliced is None:
-        sliced = not groups_fit(counts, keys)
+        # few rows per group settle it at once; else few distinct values per group do
+        sliced = not (groups_fit(df, keys) or groups_fit(counts, keys))
     ranked = prefix_sum(counts, keys, ["__v"], F.col("__n"), "__upto", sliced)
     if not sliced:
         sized = ranked.withColumn("__all", F.sum("__n").over(Window.partitionBy(*names)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +11,7 @@ from tamis.functions.scalars import col, row_hash
 from tamis.operators.ordered import hashable, join_on, top_per_group
 from tamis.operators.project import in_period
 from tamis.operators.reshape import top_n
+from tamis.session import materialize
 
 # The sampling strategies and the size limits of a simulation.
 STRATEGIES = ("RANDOM", "STRATIFIED", "FIRST_N", "LAST_N", "PERIOD", "GOLDEN", "BOUNDARY_VALUES", "FULL")
@@ -61,6 +61,19 @@ def _rank_hash(df: DataFrame, seed: int, key: Sequence[str] | None) -> Column:
     return row_hash(key or hashable(df), seed)
 
 
+def _cut(share: Column) -> Column:
+    """Hash below which about this share of the rows lies."""
+    bounded = F.least(share, F.lit(1.0))
+    return F.when(bounded >= 1.0, F.lit(2**63 - 1)).otherwise(
+        (bounded * F.lit(2.0**64) - F.lit(2.0**63)).cast("bigint")
+    )
+
+
+def _spare(size: Column) -> Column:
+    """Ten standard deviations above ``size``, so that a cut practically never falls short."""
+    return size + 10 * F.sqrt(size.cast("double")) + 50
+
+
 def random_rows(df: DataFrame, size: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
     """Exactly ``min(size, rows)`` rows: those with the smallest hash of key and seed.
 
@@ -69,13 +82,13 @@ def random_rows(df: DataFrame, size: int, seed: int = 42, key: Sequence[str] | N
     """
     rows = df.count()
     hashed = df.withColumn("__h", _rank_hash(df, seed, key))
+    tie = F.xxhash64(*[col(c) for c in hashable(df)])
     if rows > 4 * size:
-        share = min(1.0, (size + 10 * math.sqrt(size) + 50) / rows)
-        cut = hashed.where(F.col("__h") <= F.lit(int(-(2**63) + share * 2**64)).cast("bigint"))
-        if cut.count() >= size:
-            hashed = cut
-    names = [col(c) for c in hashable(df)]
-    return hashed.orderBy("__h", F.xxhash64(*names)).limit(size).drop("__h")
+        share = _spare(F.lit(size)) / F.lit(float(rows))
+        picked = materialize(hashed.where(F.col("__h") <= _cut(share)).orderBy("__h", tie).limit(size), "sample")
+        if picked.count() == size:
+            return picked.drop("__h")
+    return hashed.orderBy("__h", tie).limit(size).drop("__h")
 
 
 def stratum_quotas(df: DataFrame, strata: str, size: int) -> DataFrame:
@@ -106,12 +119,23 @@ def stratum_quotas(df: DataFrame, strata: str, size: int) -> DataFrame:
 
 
 def stratified(df: DataFrame, strata: str, size: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
-    """``min(size, rows)`` rows that keep the shares of one column."""
-    quotas = stratum_quotas(df, strata, size).where(F.col("quota") > 0).select(F.col("stratum").alias("__s"), "quota")
+    """``min(size, rows)`` rows that keep the shares of one column.
+
+    Each stratum is first cut to about its quota by the row hash, so only a sample-sized rest is
+    shuffled. At most ``size`` strata have a quota, which bounds the broadcast.
+    """
+    wanted = stratum_quotas(df, strata, size).where(F.col("quota") > 0)
+    quotas = materialize(wanted.select(F.col("stratum").alias("__s"), "quota", "rows"), "quotas")
     hashed = df.withColumn("__h", _rank_hash(df, seed, key))
-    best = top_per_group(hashed, [strata], ["__h"], size, "__rn")
-    joined = best.join(quotas, col(strata).eqNullSafe(F.col("__s")), "inner")
-    return joined.where(F.col("__rn") <= F.col("quota")).drop("__h", "__rn", "__s", "quota")
+    joined = hashed.join(F.broadcast(quotas), col(strata).eqNullSafe(F.col("__s")), "inner")
+    share = _spare(F.col("quota")) / F.col("rows")
+    total = quotas.agg(F.sum("quota")).first()[0] or 0
+    for rows in (joined.where(F.col("__h") <= _cut(share)), joined):
+        best = top_per_group(rows, [strata], ["__h"], size, "__rn").where(F.col("__rn") <= F.col("quota"))
+        picked = materialize(best.select(*[col(c) for c in df.columns]), "sample")
+        if picked.count() == total:
+            break
+    return picked
 
 
 def first_n(df: DataFrame, order_by: Sequence, size: int) -> DataFrame:

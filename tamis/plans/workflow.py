@@ -56,6 +56,9 @@ STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
 
 # Steps whose output is far smaller than their input.
 REDUCING = ("aggregate", "group_by", "pivot")
+# Steps that read their input more than once, and steps that are dear to run again.
+PASSES = ("window", "outlier", "normalize", "pivot")
+DEAR = ("join", "aggregate", "group_by", "pivot", "window", "normalize")
 
 
 class Result:
@@ -112,11 +115,15 @@ def run_steps(
     """Output of every step by id, in order; ``source`` is the input.
 
     The right side of a join is an earlier step or, if there is none of that name, a table. The
-    step named by ``store`` is written once and read back by all that follows.
+    step named by ``store`` is written once and read back by all that follows, and so is a joined or
+    aggregated input of a step that reads it several times.
     """
     done: dict[str, DataFrame] = {"source": source}
     current = source
+    dear = False
     for step in steps:
+        if dear and step["kind"] in PASSES:
+            current, dear = materialize(current, "input"), False
         if step["kind"] == "join":
             name = step["right"]
             right = done.get(name) if name in done else (tables or {}).get(name)
@@ -125,8 +132,9 @@ def run_steps(
             current = join.join(current, right, step["on"], step["joinType"])
         else:
             current = STEPS[step["kind"]](current, step)
+        dear = dear or step["kind"] in DEAR
         if step["id"] == store:
-            current = materialize(current, store)
+            current, dear = materialize(current, store), False
         done[step["id"]] = current
     return done
 

@@ -11,17 +11,17 @@ from tamis.session import materialize
 def _two_runs(spark, sf):
     """The same orders as two versions of a result: some rows changed, dropped, added or repeated."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    old = o.where("o_orderkey % 50 <> 1").unionByName(o.where("o_orderkey % 100 = 3"))
-    new = o.where("o_orderkey % 50 <> 2").withColumn(
+    old = o.where("o_orderstatus <> 'P' OR o_totalprice < 450000").unionByName(o.where("o_orderstatus = 'F' AND o_totalprice > 480000"))
+    new = o.where("o_orderstatus <> 'O' OR o_totalprice < 460000").withColumn(
         "o_totalprice", F.expr("CASE WHEN o_orderkey % 40 = 0 THEN o_totalprice * 1.00005D WHEN o_orderkey % 30 = 0 THEN o_totalprice + 10 ELSE o_totalprice END")
     )
     return old, new
 
 
-_OLD = """(SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 50 <> 1
-  UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 100 = 3)"""
+_OLD = """(SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P' OR o_totalprice < 450000
+  UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 480000)"""
 _NEW = """(SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 40 = 0 THEN o_totalprice * 1.00005::DOUBLE WHEN o_orderkey % 30 = 0
-  THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 50 <> 2)"""
+  THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'O' OR o_totalprice < 460000)"""
 
 
 @query(
@@ -64,30 +64,32 @@ def q_column_diff(spark, sf):
 
 
 def _kpi_pair(spark, sf):
-    """One KPI per supplier before and after; some suppliers exist on one side only."""
-    rows = table(spark, sf, "lineitem")
-    total = F.sum("l_quantity").alias("value")
-    before = rows.where("l_suppkey % 20 <> 3").groupBy(F.col("l_suppkey").alias("kpi_id")).agg(total)
-    after = rows.where("l_suppkey % 20 <> 4 AND (l_suppkey % 10 <> 7 OR l_linenumber > 1)").groupBy(F.col("l_suppkey").alias("kpi_id")).agg(total)
-    limits = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("kpi_id"), F.lit(2.0).alias("threshold"), (F.col("s_nationkey") % 2 == 0).alias("critical")
+    """One KPI per customer before and after; some customers have orders on one side only."""
+    rows = table(spark, sf, "orders")
+    kpis = lambda df: df.groupBy(F.col("o_custkey").alias("kpi_id")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    limits = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("kpi_id"),
+        F.expr("CASE WHEN c_nationkey < 20 THEN 25.0D ELSE 100000.0D END").alias("threshold"),
+        (F.col("c_nationkey") < 10).alias("critical"),
+        F.col("c_nationkey").alias("workflow_id"),
     )
-    return before, after, limits
+    return kpis(rows.where("o_orderstatus <> 'P'")), kpis(rows.where("o_orderpriority <> '1-URGENT'")), limits
 
 
-_PAIR = """WITH a AS (SELECT l_suppkey AS kpi_id, sum(l_quantity) AS previous FROM lineitem WHERE l_suppkey % 20 <> 3 GROUP BY 1),
-  b AS (SELECT l_suppkey AS kpi_id, sum(l_quantity) AS current FROM lineitem WHERE l_suppkey % 20 <> 4 AND (l_suppkey % 10 <> 7 OR l_linenumber > 1) GROUP BY 1),
+_PAIR = """WITH a AS (SELECT o_custkey AS kpi_id, round(sum(o_totalprice), 2) AS previous FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
+  b AS (SELECT o_custkey AS kpi_id, round(sum(o_totalprice), 2) AS current FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1),
   f AS (SELECT coalesce(a.kpi_id, b.kpi_id) AS kpi_id, previous, current, current - previous AS delta_abs, (current - previous) / nullif(abs(previous), 0) * 100 AS delta_pct
     FROM a FULL JOIN b ON a.kpi_id = b.kpi_id),
-  x AS (SELECT f.*, 2.0::DOUBLE AS threshold, coalesce(delta_abs = 0 OR abs(delta_pct) <= 2, false) AS within_threshold, s_nationkey % 2 = 0 AS critical
-    FROM f JOIN supplier ON s_suppkey = kpi_id)"""
+  x AS (SELECT f.*, CASE WHEN c_nationkey < 20 THEN 25.0::DOUBLE ELSE 100000.0::DOUBLE END AS threshold,
+    coalesce(delta_abs = 0 OR abs(delta_pct) <= CASE WHEN c_nationkey < 20 THEN 25.0 ELSE 100000.0 END, false) AS within_threshold, c_nationkey < 10 AS critical, c_nationkey AS workflow_id
+    FROM f JOIN customer ON c_custkey = kpi_id)"""
 
 
 @query(
-    f"""{_PAIR} SELECT kpi_id, previous, current, delta_abs, round(delta_pct, 6) AS delta_pct, threshold, within_threshold, critical FROM x"""
+    f"""{_PAIR} SELECT kpi_id, previous, current, round(delta_abs, 2) + 0.0 AS delta_abs, round(delta_pct, 6) + 0.0 AS delta_pct, threshold, within_threshold, critical FROM x"""
 )
 def q_kpi_diff(spark, sf):
-    return rounded(compare.kpi_diff(*_kpi_pair(spark, sf)), 6, "delta_pct")
+    return rounded(rounded(compare.kpi_diff(*_kpi_pair(spark, sf)), 6, "delta_pct"), 2, "delta_abs")
 
 
 @query(
@@ -98,8 +100,7 @@ def q_kpi_decision(spark, sf):
 
 
 @query(
-    f"""{_PAIR}, v AS (SELECT kpi_id, kpi_id % 5 AS workflow_id, CASE WHEN within_threshold THEN 'OK' WHEN critical AND kpi_id % 5 <> 2 THEN 'BREACH' ELSE 'WARN' END AS decision
-      FROM x WHERE kpi_id % 5 <> 1 OR within_threshold)
+    f"""{_PAIR}, v AS (SELECT kpi_id, workflow_id, CASE WHEN within_threshold THEN 'OK' WHEN critical THEN 'BREACH' ELSE 'WARN' END AS decision FROM x)
     SELECT workflow_id, CASE WHEN bool_or(decision = 'BREACH') THEN 'BLOCKED' WHEN bool_or(decision = 'WARN') THEN 'APPROVED_WITH_WARNINGS' ELSE 'APPROVED_FOR_DEPLOYMENT' END AS decision,
       NOT bool_or(decision = 'BREACH') AS within_threshold,
       coalesce(string_agg('kpi.' || CAST(kpi_id AS VARCHAR) || CASE decision WHEN 'BREACH' THEN '.breach' ELSE '.warn' END, ',' ORDER BY 'kpi.' || CAST(kpi_id AS VARCHAR) || CASE decision WHEN 'BREACH' THEN '.breach' ELSE '.warn' END)
@@ -108,10 +109,9 @@ def q_kpi_decision(spark, sf):
 )
 def q_verdict(spark, sf):
     before, after, limits = _kpi_pair(spark, sf)
-    limits = limits.withColumn("critical", F.col("critical") & (F.col("kpi_id") % 5 != 2))
     decisions = compare.kpi_decisions(compare.kpi_diff(before, after, limits))
-    decisions = decisions.withColumn("workflow_id", F.col("kpi_id") % 5).where("workflow_id <> 1 OR within_threshold")
-    out = compare.verdict(decisions.withColumn("kpi_id", F.col("kpi_id").cast("string")), keys=["workflow_id"])
+    owned = decisions.join(limits.select("kpi_id", "workflow_id"), "kpi_id")
+    out = compare.verdict(owned.withColumn("kpi_id", F.col("kpi_id").cast("string")), keys=["workflow_id"])
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -131,7 +131,7 @@ _TOP5 = "(SELECT string_agg(CAST(k AS VARCHAR), ', ' ORDER BY CAST(k AS VARCHAR)
 
 
 @query(
-    f"""WITH a AS (FROM {_TOTALS.format("")}), b AS (FROM {_TOTALS.format("WHERE l_linenumber < 7 OR l_suppkey % 10 <> 1")})
+    f"""WITH a AS (FROM {_TOTALS.format("")}), b AS (FROM {_TOTALS.format("WHERE l_linenumber < 7 OR l_tax > 0.02")})
     SELECT 'total' AS "check", CAST(CAST((SELECT sum(qty) FROM a) AS DECIMAL(38, 2)) AS VARCHAR) AS legacy,
       CAST(CAST((SELECT sum(qty) FROM b) AS DECIMAL(38, 2)) AS VARCHAR) AS current,
       abs((SELECT sum(qty) FROM b) - (SELECT sum(qty) FROM a)) / (SELECT sum(qty) FROM a) * 100 < 0.5 AS passes
@@ -145,7 +145,7 @@ def q_parity_top5(spark, sf):
     rows = table(spark, sf, "lineitem")
     total = F.sum("l_quantity").alias("qty")
     legacy = rows.groupBy("l_suppkey", "l_returnflag").agg(total)
-    current = rows.where("l_linenumber < 7 OR l_suppkey % 10 <> 1").groupBy("l_suppkey", "l_returnflag").agg(total)
+    current = rows.where("l_linenumber < 7 OR l_tax > 0.02").groupBy("l_suppkey", "l_returnflag").agg(total)
     return compare.parity_checks(legacy, current, ["l_suppkey", "l_returnflag"], "qty")
 
 
@@ -349,14 +349,14 @@ def q_active_deployment(spark, sf):
 
 
 @query(
-    f"""WITH v AS (FROM {d.VERSIONS_SQL}), f AS (SELECT workflow_id, version_id FROM v WHERE version_id % 4 = 0)
+    f"""WITH v AS (FROM {d.VERSIONS_SQL}), f AS (SELECT workflow_id, version_id FROM v)
     SELECT f.workflow_id, f.version_id AS failing_version, v.version_id AS target_version, v.deployed_at FROM f JOIN v ON v.workflow_id = f.workflow_id
     WHERE v.status = 'DEPRECATED' AND v.deployed_at IS NOT NULL AND v.version_id <> f.version_id
     QUALIFY row_number() OVER (PARTITION BY f.version_id ORDER BY v.deployed_at DESC, v.version_id DESC) = 1"""
 )
 def q_rollback_target(spark, sf):
     versions = d.versions(spark, sf)
-    return lifecycle.rollback_targets(versions, versions.where("version_id % 4 = 0"))
+    return lifecycle.rollback_targets(versions, versions)
 
 
 @query(
@@ -389,13 +389,14 @@ def q_chain_build(spark, sf):
 
 def _tampered(spark, sf):
     """A stored log whose chains have lost entries and changed payloads."""
-    chain = audit.build_chain(d.audit_entries(spark, sf), d.audit_keys(spark, sf)).where("audit_id % 211 <> 5")
-    changed = F.expr("CASE WHEN audit_id % 307 = 0 THEN concat(payload, ' ') ELSE payload END")
+    chain = audit.build_chain(d.audit_entries(spark, sf), d.audit_keys(spark, sf)).where("payload <> '{\"k\": 7}'")
+    changed = F.expr("CASE WHEN payload = '{\"k\": 8}' THEN concat(payload, ' ') ELSE payload END")
     return materialize(chain.withColumn("payload", changed), "audit")
 
 
 _LINKED = f"""WITH {d.CHAIN_SQL}, kept AS (SELECT *, lag(self_hash) OVER (PARTITION BY workflow_id ORDER BY occurred_at, audit_id) AS before
-  FROM chain WHERE audit_id % 211 <> 5), rated AS (SELECT *, parent_hash IS NOT DISTINCT FROM before AS linked, audit_id % 307 <> 0 AS intact FROM kept)"""
+  FROM chain JOIN (SELECT event_id, props FROM events) e ON event_id = audit_id WHERE props <> '{{"k": 7}}'),
+  rated AS (SELECT *, parent_hash IS NOT DISTINCT FROM before AS linked, props <> '{{"k": 8}}' AS intact FROM kept)"""
 
 
 @query(f"{_LINKED} SELECT audit_id, linked FROM rated")

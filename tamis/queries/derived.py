@@ -76,10 +76,10 @@ def deployments(spark, sf):
 SNAPSHOT_SQL = """(SELECT p_brand AS workflow_id, replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) AS field,
   CASE WHEN p_size % 2 = 0 THEN 'int' ELSE 'string' END AS type FROM part)"""
 CURRENT_SQL = """(SELECT p_brand AS workflow_id,
-  CASE WHEN p_partkey % 13 = 1 THEN upper(substr(p_name, 1, 1)) || replace(substr(p_name, 2), ' ', '_') || '_' || CAST(p_partkey AS VARCHAR)
-    ELSE replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_partkey % 13 = 2 THEN 'x' WHEN p_partkey % 13 = 3 THEN '_added_later' ELSE '' END END AS field,
-  CASE WHEN p_partkey % 17 = 1 THEN 'bigint' WHEN p_size % 2 = 0 THEN 'int' ELSE 'string' END AS type
-  FROM part WHERE p_partkey % 13 <> 4)"""
+  CASE WHEN p_size = 1 THEN upper(substr(p_name, 1, 1)) || replace(substr(p_name, 2), ' ', '_') || '_' || CAST(p_partkey AS VARCHAR)
+    ELSE replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_size = 2 THEN 'x' WHEN p_size = 3 THEN '_added_later' ELSE '' END END AS field,
+  CASE WHEN p_size IN (5, 6, 7) THEN 'bigint' WHEN p_size % 2 = 0 THEN 'int' ELSE 'string' END AS type
+  FROM part WHERE p_size <> 4)"""
 
 
 def snapshot(spark, sf):
@@ -91,11 +91,11 @@ def snapshot(spark, sf):
 
 
 def current(spark, sf):
-    return table(spark, sf, "part").where("p_partkey % 13 <> 4").selectExpr(
+    return table(spark, sf, "part").where("p_size <> 4").selectExpr(
         "p_brand AS workflow_id",
-        """CASE WHEN p_partkey % 13 = 1 THEN concat(upper(substr(p_name, 1, 1)), replace(substr(p_name, 2), ' ', '_'), '_', p_partkey)
-        ELSE concat(replace(p_name, ' ', '_'), '_', p_partkey, CASE WHEN p_partkey % 13 = 2 THEN 'x' WHEN p_partkey % 13 = 3 THEN '_added_later' ELSE '' END) END AS field""",
-        "CASE WHEN p_partkey % 17 = 1 THEN 'bigint' WHEN p_size % 2 = 0 THEN 'int' ELSE 'string' END AS type",
+        """CASE WHEN p_size = 1 THEN concat(upper(substr(p_name, 1, 1)), replace(substr(p_name, 2), ' ', '_'), '_', p_partkey)
+        ELSE concat(replace(p_name, ' ', '_'), '_', p_partkey, CASE WHEN p_size = 2 THEN 'x' WHEN p_size = 3 THEN '_added_later' ELSE '' END) END AS field""",
+        "CASE WHEN p_size IN (5, 6, 7) THEN 'bigint' WHEN p_size % 2 = 0 THEN 'int' ELSE 'string' END AS type",
     )
 
 

@@ -191,7 +191,7 @@ def q_outlier_constraint_flag(spark, sf):
     )
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice - m) / s, 6) AS l_extendedprice_norm FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice - m) / s, 6) + 0.0 AS l_extendedprice_norm FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem)")
 def q_norm_zscore(spark, sf):
     out = quality.normalize(table(spark, sf, "lineitem"), "l_extendedprice", "ZSCORE")
     return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice_norm"))
