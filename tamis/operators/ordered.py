@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.scalars import col, order_fields, ordering, row_hash
-from tamis.session import materialize, max_group_rows
+from tamis.session import KEYLESS_ROWS, materialize, max_group_rows
 
 SLICE = "__slice"
 SPREAD = "__spread"
@@ -26,7 +26,9 @@ def groups_fit(df: DataFrame, keys: Sequence[str], limit: int | None = None) ->
 
     A partial count per key; a single number reaches the driver.
     """
-    limit = max_group_rows(df.sparkSession) if limit is None else limit
+    if limit is None:
+        limit = max_group_rows(df.sparkSession)
+        limit = limit if keys else min(limit, KEYLESS_ROWS)
     if not keys:
         return df.count() <= limit
     counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame
 
@@ -148,13 +148,15 @@ def shared_step(spec: Mapping) -> str | None:
 
 def bind_kpis(steps: Mapping[str, DataFrame], kpis: Sequence[dict]) -> dict[str, list[dict]]:
     """KPIs by the last step whose output has every column they name."""
-    spark = next(iter(steps.values())).sparkSession
-    # an empty frame of the same schema resolves a name as well, without the plan of the step
-    shapes = {name: spark.createDataFrame([], df.schema) for name, df in steps.items()}
+    @cache
+    def shape(name: str) -> DataFrame:
+        """An empty frame of the same schema: it resolves names as well, without the step's plan."""
+        return steps[name].sparkSession.createDataFrame([], steps[name].schema)
+
     bound: dict[str, list[dict]] = {}
     for entry in kpis:
         for name in reversed(list(steps)):
-            if kpi.kpi_column(shapes[name], entry["expression"]) is not None:
+            if kpi.kpi_column(shape(name), entry["expression"]) is not None:
                 bound.setdefault(name, []).append(entry)
                 break
         else:

@@ -54,9 +54,8 @@ def q_source_forms(spark, sf):
 )
 def q_source_survey(spark, sf):
     rows = table(spark, sf, "conversations")
-    dump = rows.groupBy(F.col("conv_id").cast("string").alias("response_id")).agg(
-        F.collect_list(F.struct(F.concat(F.lit("q"), F.col("turn")).alias("question"), F.col("text").alias("answer"))).alias("answers")
-    )
+    answer = F.struct(F.concat(F.lit("q"), F.col("turn")).alias("question"), F.col("text").alias("answer"))
+    dump = rows.select(F.col("conv_id").cast("string").alias("response_id"), F.array(answer).alias("answers"))
     return tables.survey_responses(spark, _landed(dump, "survey", "json"), ["q0", "q1", "q2"])
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows one window group may hold before ordered operators split it over several tasks.
 GROUP_ROWS_CONF = "spark.tamis.maxGroupRows"
 GROUP_ROWS_DEFAULT = 2_000_000
+# Rows an ordered operator without keys may pass through one task.
+KEYLESS_ROWS = 50_000
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,6 +22,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

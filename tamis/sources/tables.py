@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -85,20 +85,15 @@ def form_submissions(
 
 
 def survey_responses(spark: SparkSession, path: str, questions: list[str]) -> DataFrame:
-    """Landed survey responses ``{"response_id", "answers": [{"question", "answer"}]}``, one row each.
+    """Landed survey answers as one row per response, one column per listed question.
 
-    One column per listed question. Each response is one line of JSON, so the answers are turned
-    into columns in place, without a shuffle.
+    Lines are ``{"response_id", "answers": [{"question", "answer"}]}``; a response may come in
+    several lines. Answers are combined by partial aggregates, so a response is never gathered.
     """
     raw = spark.read.schema("response_id string, answers array<struct<question:string,answer:string>>").json(path)
-    some = F.coalesce("answers", F.array().cast("array<struct<question:string,answer:string>>"))
-    found = raw.withColumn("answers", some)
-    return found.select("response_id", *[_answer(q).alias(q) for q in questions])
-
-
-def _answer(question: str) -> Column:
-    matching = F.filter("answers", lambda a: a["question"] == question)
-    return F.try_element_at(matching, F.lit(1))["answer"]
+    given = raw.select("response_id", F.explode_outer("answers").alias("a"))
+    picks = [F.max(F.when(F.col("a.question") == q, F.col("a.answer"))).alias(q) for q in questions]
+    return given.groupBy("response_id").agg(*picks)
 
 
 def keyed_snapshots(table: DataFrame, pattern: str, schema: Schema, key: str = "key", value: str = "value") -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql import types as T
 
 from tamis.functions.scalars import col
+from tamis.operators.ordered import prefix_sum
 
 HOLD = "5 minutes"
 
@@ -82,8 +83,8 @@ def held_alerts_batch(rows: DataFrame, key: str, time_field: str, active: str, h
     base = rows.select(
         col(key).cast("string").alias("key"), col(time_field).alias("at"), F.coalesce(col(active), F.lit(False)).alias("on")
     )
-    order = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    runs = base.withColumn("run", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(order)).where("on")
+    quiet = F.when(F.col("on"), 0).otherwise(1).cast("bigint")
+    runs = prefix_sum(base, ["key"], ["at"], quiet, "run").where("on")
     starts = runs.groupBy("key", "run").agg(F.min("at").alias("since"))
     late = runs.join(starts, ["key", "run"]).where(
         F.unix_micros("at") - F.unix_micros("since") >= F.lit(hold_seconds * 1_000_000)
