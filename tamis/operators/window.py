@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tamis.functions.scalars import col, order_fields, ordering, row_hash
 from tamis.operators.ordered import (
@@ -18,7 +19,7 @@ from tamis.operators.ordered import (
     top_per_group,
     value_ranks,
 )
-from tamis.session import max_group_rows
+from tamis.session import materialize, max_group_rows
 
 # The window functions of a workflow, then the framed aggregates.
 RANKING = ("ROW_NUMBER", "RANK", "DENSE_RANK", "CUME_DIST", "NTILE")
@@ -176,11 +177,17 @@ def _spread(df, alias, kind, keys, order, source, offset, default, buckets, fram
         peers = list(dict.fromkeys([*keys, *order_fields(order)]))
         edge = numbered.groupBy(*[col(p) for p in peers]).agg(F.max_by(col(src), "__rn").alias(alias))
         return join_on(numbered.drop("__rn", "__in"), edge, peers)
-    if kind in FRAMED and to_now and by_rows:
-        return _running(work, alias, kind, keys, order, src).drop("__in")
+    if kind in FRAMED and to_now:
+        if by_rows:
+            return _running(work, alias, kind, keys, order, src).drop("__in")
+        return _running_peers(work, alias, kind, keys, order, src).drop("__in")
+    if not by_rows:
+        return _value_range(work, alias, kind, keys, order, src, start, end)
     finite = start > Window.unboundedPreceding and end < Window.unboundedFollowing
-    if by_rows and finite and start <= end:
+    if finite and start <= end:
         return _halo(work, alias, kind, keys, order, src, start, end).drop("__in")
+    if kind in FRAMED and not finite:
+        return _half_open(work, alias, kind, keys, order, src, start, end).drop("__in")
     return None
 
 
@@ -198,9 +205,100 @@ def _running(df, alias, kind, keys, order, src) -> DataFrame:
         return prefix_sum(tied, keys, by, seen, alias, True).drop("__tie")
     summed = prefix_sum(tied, keys, by, F.coalesce(col(src), F.lit(0)), "__sum", True)
     counted = prefix_sum(summed, keys, by, seen, "__seen", True)
+    return counted.withColumn(alias, _from_sums(kind)).drop("__sum", "__seen", "__tie")
+
+
+def _peer_parts(df, kind, keys, order, src) -> tuple[DataFrame, list[str]]:
+    """One row per (keys, order values) with the parts the aggregate needs; ties weigh one row."""
+    peers = list(dict.fromkeys([*keys, *order_fields(order)]))
+    parts = df.groupBy(*[col(p) for p in peers]).agg(
+        (F.sum(col(src)) if kind in ("SUM", "AVG") else F.lit(0)).alias("__s"),
+        F.count(col(src)).alias("__k"),
+        (F.max(col(src)) if kind == "MAX" else F.min(col(src)) if kind == "MIN" else F.lit(0)).alias("__x"),
+    )
+    return parts, peers
+
+
+def _running_peers(df, alias, kind, keys, order, src) -> DataFrame:
+    """Running aggregate that takes in all ties of the current row."""
+    parts, peers = _peer_parts(df, kind, keys, order, src)
+    if kind in ("MIN", "MAX"):
+        found = running_extreme(parts, keys, order, F.col("__x"), alias, kind == "MAX")
+    else:
+        found = prefix_sum(parts, keys, order, F.col("__k"), "__seen", True)
+        if kind != "COUNT":
+            found = prefix_sum(found, keys, order, F.coalesce(F.col("__s"), F.lit(0)), "__sum", True)
+        found = found.withColumn(alias, _from_sums(kind))
+    return join_on(df, found.select(*[col(p) for p in peers], alias), peers)
+
+
+def _from_sums(kind: str) -> Column:
+    """SUM, AVG or COUNT from ``__sum`` and the non-NULL count ``__seen``."""
+    if kind == "COUNT":
+        return F.col("__seen")
     some = F.nullif(F.col("__seen"), F.lit(0).cast("bigint"))
-    value = F.when(some.isNotNull(), F.col("__sum")) if kind == "SUM" else F.col("__sum") / some
-    return counted.withColumn(alias, value).drop("__sum", "__seen", "__tie")
+    return F.when(some.isNotNull(), F.col("__sum")) if kind == "SUM" else F.col("__sum") / some
+
+
+def _half_open(df, alias, kind, keys, order, src, start: int, end: int) -> DataFrame:
+    """ROWS frame with one open side: the running value of the row at the other bound.
+
+    A frame open to the end is the same frame open to the start in reversed order.
+    """
+    numbered = number_rows(df, keys, order, "__rn", True)
+    size = numbered.groupBy(*[col(k) for k in keys]).agg(F.max("__rn").alias("__all"))
+    numbered = join_on(numbered, size, keys) if keys else numbered.withColumn("__all", size.scalar())
+    if end == Window.unboundedFollowing:
+        numbered = numbered.withColumn("__rn", F.col("__all") - F.col("__rn") + 1)
+        shift = -start
+    else:
+        shift = end
+    numbered = materialize(numbered, "numbered")
+    running = _running(numbered, "__run", kind, keys, ["__rn"], src)
+    at = running.select(*[col(k) for k in keys], F.col("__rn").alias("__at"), "__run")
+    asked = numbered.withColumn("__at", F.least(F.col("__rn") + shift, F.col("__all")))
+    value = F.col("__run") if kind != "COUNT" else F.coalesce("__run", F.lit(0).cast("bigint"))
+    return join_on(asked, at, [*keys, "__at"]).withColumn(alias, value).drop("__rn", "__all", "__at", "__run")
+
+
+def _value_range(df, alias, kind, keys, order, src, start: int, end: int) -> DataFrame | None:
+    """RANGE frame of finite width over one numeric order column.
+
+    Ties are combined first; then values are cut into stretches several frames wide, each with
+    copies of its neighbours' edges, and a stretch is the window's partition.
+    """
+    finite = start > Window.unboundedPreceding and end < Window.unboundedFollowing
+    fields = order_fields(order)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if kind not in FRAMED or not finite or start > end or len(fields) != 1 or not isinstance(kinds[fields[0]], NumericType):
+        return None
+    parts, peers = _peer_parts(df, kind, keys, order, src)
+    falling = not isinstance(order[0], str) and (order[0]["direction"] if isinstance(order[0], dict) else order[0][1]).upper() == "DESC"
+    place = -col(fields[0]) if falling else col(fields[0])
+    before, after = max(0, -start), max(0, end)
+    width = 16 * (before + after + 1)
+    stretch = F.floor(F.col("__p") / width)
+    inside = F.col("__p") - stretch * width
+    copies = parts.withColumn("__p", place).withColumn(
+        "__c",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.struct(stretch.alias("to"), F.lit(True).alias("own")),
+                    F.when(inside >= width - before, F.struct((stretch + 1).alias("to"), F.lit(False).alias("own"))),
+                    F.when(inside <= after, F.struct((stretch - 1).alias("to"), F.lit(False).alias("own"))),
+                )
+            )
+        ),
+    )
+    win = Window.partitionBy(*[col(k) for k in keys], F.col("__c.to")).orderBy(F.col("__p").asc_nulls_last()).rangeBetween(start, end)
+    if kind in ("MIN", "MAX"):
+        found = copies.withColumn(alias, FRAMED[kind]("__x").over(win))
+    else:
+        seen = F.coalesce(F.sum("__k").over(win), F.lit(0).cast("bigint"))
+        found = copies.withColumn("__sum", F.sum("__s").over(win)).withColumn("__seen", seen).withColumn(alias, _from_sums(kind))
+    own = found.where(F.col("__c.own")).select(*[col(p) for p in peers], alias)
+    return join_on(df, own, peers).drop("__in")
 
 
 def _halo(df, alias, kind, keys, order, src, start: int, end: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tamis.operators import quality, reshape, window
+from tamis.operators.aggregate import quantiles
 from tamis.queries.registry import query, rounded, table
 
 
@@ -266,3 +267,55 @@ def q_page(spark, sf):
 )
 def q_topk(spark, sf):
     return reshape.top_groups(table(spark, sf, "lineitem"), ["l_suppkey"], "SUM", "l_quantity", 10)
+
+
+# The forms that spread a group over tasks, forced here whatever the group sizes.
+_ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS v
+    FROM lineitem"""
+)
+def q_row_number_global(spark, sf):
+    rows = table(spark, sf, "lineitem").select(*_ITEM, "l_extendedprice")
+    return window.window(rows, "v", "ROW_NUMBER", [], [("l_extendedprice", "DESC"), *_ITEM], sliced=True).drop("l_extendedprice")
+
+
+@query("SELECT event_id, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS v FROM events")
+def q_lag_spread(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    return window.window(rows, "v", "LAG", ["event_type"], ["ts", "event_id"], "value", sliced=True).select("event_id", "v")
+
+
+@query("SELECT event_id, CAST(ntile(7) OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INTEGER) AS v FROM events")
+def q_ntile_spread(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "event_type", "value")
+    return window.window(rows, "v", "NTILE", ["event_type"], [("value", "DESC"), "event_id"], buckets=7, sliced=True).select("event_id", "v")
+
+
+@query(
+    """SELECT p_partkey, CAST(rank() OVER w AS INTEGER) AS r, CAST(dense_rank() OVER w AS INTEGER) AS d FROM part
+    WINDOW w AS (PARTITION BY p_type ORDER BY p_size DESC)"""
+)
+def q_ranks_spread(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
+    rows = window.window(rows, "r", "RANK", ["p_type"], [("p_size", "DESC")], sliced=True)
+    return window.window(rows, "d", "DENSE_RANK", ["p_type"], [("p_size", "DESC")], sliced=True).select("p_partkey", "r", "d")
+
+
+@query(
+    """SELECT p_partkey, max(p_retailprice) OVER (PARTITION BY p_type ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS v FROM part"""
+)
+def q_frame_range_spread(spark, sf):
+    frame = {"kind": "RANGE", "start": "2 PRECEDING", "end": "3 FOLLOWING"}
+    return window.window(table(spark, sf, "part"), "v", "MAX", ["p_type"], ["p_size"], "p_retailprice", frame=frame, sliced=True).select("p_partkey", "v")
+
+
+@query(
+    """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS q2
+    FROM lineitem GROUP BY l_returnflag"""
+)
+def q_quantiles_spread(spark, sf):
+    out = quantiles(table(spark, sf, "lineitem"), "l_extendedprice", {"q1": 0.25, "q2": 0.5}, ["l_returnflag"], sliced=True)
+    return rounded(out, 4)

@@ -190,3 +190,39 @@ def test_bad_frames_and_functions(hot):
         window.window(hot, "w", "MODE", ["k"], ["o"])
     with pytest.raises(ValueError):
         window.window(hot, "w", "SUM", ["k"], ["o"], "v", frame={"kind": "GROUPS"}, sliced=False)
+
+
+def same(a, b):
+    """Equal rows by id, numbers up to rounding."""
+    flat = lambda df: [(r.id, None if r.w is None else round(float(r.w), 6)) for r in df.orderBy("id").collect()]
+    assert flat(a) == flat(b)
+
+
+@pytest.mark.parametrize("function", ["SUM", "AVG", "MIN", "MAX", "COUNT"])
+def test_spread_default_frame_takes_in_ties(hot, function):
+    args = dict(alias="w", function=function, partition_by=["k"], order_by=["o"], field="v")
+    spread, plain = window.window(hot, sliced=True, **args), window.window(hot, sliced=False, **args)
+    assert "__slice" in spread._jdf.queryExecution().analyzed().toString()
+    same(spread, plain)
+
+
+@pytest.mark.parametrize("function", ["SUM", "AVG", "MIN", "COUNT"])
+@pytest.mark.parametrize(
+    "start,end",
+    [("UNBOUNDED PRECEDING", "3 FOLLOWING"), ("UNBOUNDED PRECEDING", "2 PRECEDING"), ("CURRENT ROW", "UNBOUNDED FOLLOWING"), ("2 PRECEDING", "UNBOUNDED FOLLOWING"), ("4 FOLLOWING", "UNBOUNDED FOLLOWING")],
+)
+def test_spread_half_open_frames(hot, function, start, end):
+    frame = {"kind": "ROWS", "start": start, "end": end}
+    args = dict(alias="w", function=function, partition_by=["k"], order_by=TOTAL, field="v", frame=frame)
+    same(window.window(hot, sliced=True, **args), window.window(hot, sliced=False, **args))
+
+
+@pytest.mark.parametrize("function", ["SUM", "AVG", "MAX", "COUNT"])
+@pytest.mark.parametrize("order", [["o"], [("o", "DESC")]])
+@pytest.mark.parametrize("start,end", [("3 PRECEDING", "CURRENT ROW"), ("2 PRECEDING", "5 FOLLOWING"), ("1 FOLLOWING", "2 FOLLOWING")])
+def test_spread_value_ranges(hot, function, order, start, end):
+    frame = {"kind": "RANGE", "start": start, "end": end}
+    args = dict(alias="w", function=function, partition_by=["k"], order_by=order, field="v", frame=frame)
+    spread, plain = window.window(hot, sliced=True, **args), window.window(hot, sliced=False, **args)
+    assert "__c" in spread._jdf.queryExecution().analyzed().toString()
+    same(spread, plain)
