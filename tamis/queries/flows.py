@@ -185,7 +185,9 @@ def q_stream_dedupe(spark, sf):
     return _plain_times(drain(measures.dedupe(twice, "ts"), "append"))
 
 
-@query()
+@query(
+    f"""SELECT {_WINDOW.format(3600)}, event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY ALL"""
+)
 def q_stream_p95(spark, sf):
     out = measures.quantile_5m(_events(spark, sf), "ts", "value", ["event_type"], width="1 hour")
     return _plain_times(drain(out, "update", ["window_start", "window_end", "event_type"]))
