@@ -90,7 +90,7 @@ def quantiles(
     if sliced is None:
         # few rows per group settle it at once; else few distinct values per group do
         sliced = not (groups_fit(df, keys) or groups_fit(counts, keys))
-    ranked = prefix_sum(counts, keys, ["__v"], F.col("__n"), "__upto", sliced)
+    ranked = prefix_sum(counts, keys, ["__v"], F.col("__n"), "__upto", sliced, unique=True)
     if not sliced:
         sized = ranked.withColumn("__all", F.sum("__n").over(Window.partitionBy(*names)))
     else:

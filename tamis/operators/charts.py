@@ -151,7 +151,7 @@ def bubbles(df: DataFrame, x: str, y: str, size: str) -> DataFrame:
 def axis_index(cells: DataFrame, field: str, alias: str) -> DataFrame:
     """Distinct values of a field, numbered from 0 in their order."""
     values = cells.select(col(field)).distinct()
-    return prefix_sum(values, [], [field], F.lit(1).cast("bigint"), alias).withColumn(alias, F.col(alias) - 1)
+    return prefix_sum(values, [], [field], F.lit(1).cast("bigint"), alias, unique=True).withColumn(alias, F.col(alias) - 1)
 
 
 def heatmap(df: DataFrame, x: str, y: str, value: str, aggregation: str = "SUM") -> DataFrame:

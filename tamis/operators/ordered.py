@@ -65,18 +65,20 @@ def prefix_sum(
     weight: Column,
     alias: str,
     sliced: bool | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Sum of ``weight`` over the rows of the group up to and with this one.
 
-    ``order_by`` should be total within a group, else the order of ties is free.
-    ``sliced`` forces (True) or forbids (False) the cut into range slices; None checks group sizes.
+    ``order_by`` should be total within a group, else the order of ties is free; ``unique`` says
+    that there are no ties. ``sliced`` forces (True) or forbids (False) the cut into range slices;
+    None checks group sizes.
     """
     keys = list(keys)
     sliced = (not groups_fit(df, keys)) if sliced is None else sliced
     if not sliced:
         win = Window.partitionBy(*[col(k) for k in keys]).orderBy(*ordering(order_by))
         return df.withColumn(alias, F.sum(weight).over(win.rowsBetween(Window.unboundedPreceding, 0)))
-    work, sums = _slices(df.withColumn("__w", weight), keys, order_by, {"sum": F.sum("__w")})
+    work, sums = _slices(df.withColumn("__w", weight), keys, order_by, {"sum": F.sum("__w")}, unique)
     local = Window.partitionBy(*[col(k) for k in keys], SLICE).orderBy(*ordering(order_by), SPREAD)
     running = work.withColumn(
         "__local", F.sum("__w").over(local.rowsBetween(Window.unboundedPreceding, 0))
@@ -87,13 +89,13 @@ def prefix_sum(
 
 
 def running_extreme(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence, value: Column, alias: str, largest: bool
+    df: DataFrame, keys: Sequence[str], order_by: Sequence, value: Column, alias: str, largest: bool, unique: bool = False
 ) -> DataFrame:
     """Running MIN or MAX over range slices, for groups too large for one task."""
     agg = F.max if largest else F.min
     pick = F.greatest if largest else F.least
     keys = list(keys)
-    work, parts = _slices(df.withColumn("__w", value), keys, order_by, {"ext": agg("__w")})
+    work, parts = _slices(df.withColumn("__w", value), keys, order_by, {"ext": agg("__w")}, unique)
     local = Window.partitionBy(*[col(k) for k in keys], SLICE).orderBy(*ordering(order_by), SPREAD)
     running = work.withColumn("__local", agg("__w").over(local.rowsBetween(Window.unboundedPreceding, 0)))
     carried = join_on(running, F.broadcast(_carry(parts, keys, agg("ext"))), [*keys, SLICE])
@@ -103,15 +105,20 @@ def running_extreme(
 
 
 def _slices(
-    df: DataFrame, keys: list[str], order_by: Sequence, partials: dict[str, Column]
+    df: DataFrame, keys: list[str], order_by: Sequence, partials: dict[str, Column], unique: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Cut into range slices, stored so that slice numbers never change, and aggregate each one."""
+    """Cut into range slices, stored so that slice numbers never change, and aggregate each one.
+
+    A range cut keeps ties of (keys, order) together, so unless there are none the rows get a
+    position first. Positions depend on the order rows arrive in; they are stored before use, so
+    that a task that runs again cannot move a row to another slice.
+    """
     spark = df.sparkSession
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # SPREAD splits exact copies of one (keys, order) value, which a range cut would keep together
+    placed = df.withColumn(SPREAD, F.lit(0) if unique else F.monotonically_increasing_id())
+    placed = placed if unique else materialize(placed, "positions")
     cut = (
-        df.withColumn(SPREAD, F.monotonically_increasing_id())
-        .repartitionByRange(slices, *[col(k) for k in keys], *ordering(order_by), col(SPREAD))
+        placed.repartitionByRange(slices, *[col(k) for k in keys], *ordering(order_by), col(SPREAD))
         .withColumn(SLICE, F.spark_partition_id())
     )
     stored = materialize(cut, "slices")
@@ -173,7 +180,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], order_by: Sequence, sliced:
         )
     # one pass for both sums: the pair is packed as decimal(38,0) = rows * 2^50 + distinct values
     pack = (F.col("__n").cast("decimal(38,0)") * F.lit(2**50).cast("decimal(38,0)") + F.lit(1)).cast("decimal(38,0)")
-    both = prefix_sum(counts, keys, order_by, pack, "__both", True)
+    both = prefix_sum(counts, keys, order_by, pack, "__both", True, unique=True)
     unit = F.lit(2**50).cast("decimal(38,0)")
     return (
         both.withColumn("__upto", F.floor(F.col("__both") / unit).cast("bigint"))
@@ -194,8 +201,6 @@ def top_per_group(
     tie = row_hash(hashable(df))
     order = [*ordering(order_by), F.col("__tie")]
     salted = df.withColumn("__tie", tie).withColumn("__salt", F.pmod(F.shiftright("__tie", 40), F.lit(salts)))
-    # copies of one row share its hash: spread them by position as well
-    salted = salted.withColumn("__salt", F.pmod(F.col("__salt") + F.monotonically_increasing_id(), F.lit(salts)))
     first = salted.withColumn(
         "__near", F.row_number().over(Window.partitionBy(*names, "__salt").orderBy(*order))
     ).where(F.col("__near") <= n)

@@ -223,11 +223,11 @@ def _running_peers(df, alias, kind, keys, order, src) -> DataFrame:
     """Running aggregate that takes in all ties of the current row."""
     parts, peers = _peer_parts(df, kind, keys, order, src)
     if kind in ("MIN", "MAX"):
-        found = running_extreme(parts, keys, order, F.col("__x"), alias, kind == "MAX")
+        found = running_extreme(parts, keys, order, F.col("__x"), alias, kind == "MAX", unique=True)
     else:
-        found = prefix_sum(parts, keys, order, F.col("__k"), "__seen", True)
+        found = prefix_sum(parts, keys, order, F.col("__k"), "__seen", True, unique=True)
         if kind != "COUNT":
-            found = prefix_sum(found, keys, order, F.coalesce(F.col("__s"), F.lit(0)), "__sum", True)
+            found = prefix_sum(found, keys, order, F.coalesce(F.col("__s"), F.lit(0)), "__sum", True, unique=True)
         found = found.withColumn(alias, _from_sums(kind))
     return join_on(df, found.select(*[col(p) for p in peers], alias), peers)
 
