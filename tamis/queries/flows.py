@@ -78,9 +78,9 @@ def q_source_golden(spark, sf):
     path = _landed(rows, "golden", "parquet")
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     registry = rows.agg(F.count(F.lit(1)).cast("int").alias("rows_count")).select(
-        F.lit("VOUCHERS").alias("sub_project"), F.lit("suppliers").alias("name"), F.lit(ddl).alias("schema"), "rows_count", F.lit(path).alias("storage_uri")
+        F.lit("SALES").alias("sub_project"), F.lit("suppliers").alias("name"), F.lit(ddl).alias("schema"), "rows_count", F.lit(path).alias("storage_uri")
     )
-    return sample(rows, "GOLDEN", golden=tables.golden_dataset(spark, registry, "VOUCHERS", "suppliers"))
+    return sample(rows, "GOLDEN", golden=tables.golden_dataset(spark, registry, "SALES", "suppliers"))
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
