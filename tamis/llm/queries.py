@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import kd_shards, site_spread, unit_dedup
+from tamis.llm import kd_shards, oph_fingerprint, site_spread, unit_dedup
 from tamis.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,21 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query()
+def op2_oph_fingerprint(spark, sf_dir):
+    """Fingerprints of every text and of its edited text, with their likenesses."""
+    made = oph_fingerprint.edited_prints(table(spark, sf_dir, "documents"))
+    return made.select(
+        F.col("key").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        oph_fingerprint.as_text(F.col("print")).alias("fingerprint"),
+        oph_fingerprint.as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        oph_fingerprint.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        oph_fingerprint.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+    )
+
+
 @query()
 def op4_kd_shards(spark, sf_dir):
     """All documents in 16 shards of near equal bytes, with gapless slots."""
