@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import kd_shards, oph_fingerprint, site_spread, unit_dedup
+from tamis.llm import elias_fano, kd_shards, matrix_bpe, oph_fingerprint, site_spread, unit_dedup
 from tamis.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +87,17 @@ def op8_unit_dedup(spark, sf_dir):
     return spans.select(
         F.col("key").alias("doc_id"), "start", "end", F.col("kept_key").alias("kept_doc_id"), "kept_start", "copies", F.lower(F.hex("digest")).alias("digest")
     )
+
+
+@query()
+def op9_elias_fano(spark, sf_dir):
+    """Token ids of every document, written to files with Elias-Fano boundaries and read back."""
+    written = elias_fano.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return elias_fano.read_tokens(*written, with_ids=False).withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op10_matrix_bpe(spark, sf_dir):
+    """Ids of every document by the matrix encoder, and the bytes that they decode to."""
+    coded = matrix_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
+    return coded.withColumnRenamed("key", "doc_id")
