@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import elias_fano, kd_shards, matrix_bpe, oph_fingerprint, site_spread, unit_dedup
+from tamis.llm import elias_fano, gam_quality, kd_shards, matrix_bpe, oph_fingerprint, site_spread, tiling, unit_dedup
 from tamis.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,13 @@ def op2_oph_fingerprint(spark, sf_dir):
     )
 
 
+@query()
+def op3_string_tiling(spark, sf_dir):
+    """Every document and benchmark item that the document leaks, with the share covered and the tiles."""
+    found = tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "coverage", F.size("tiles").alias("n_tiles"), "tiles")
+
+
 @query()
 def op4_kd_shards(spark, sf_dir):
     """All documents in 16 shards of near equal bytes, with gapless slots."""
@@ -67,6 +74,17 @@ def op5_site_spread(spark, sf_dir):
     return kept.select("doc_id", "lines_before", F.size("removed_lines").alias("lines_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@query()
+def op6_gam_quality(spark, sf_dir):
+    """A quality score for every document, by a model fitted on labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = gam_quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = gam_quality.score(docs, model)
+    return scored.select(
+        F.col("key").alias("doc_id"), gam_quality.held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= gam_quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 @query(
     r"""
     WITH cut AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
