@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import elias_fano, gam_quality, kd_shards, matrix_bpe, oph_fingerprint, site_spread, tiling, unit_dedup
+from tamis.llm import dart_minhash, elias_fano, gam_quality, kd_shards, matrix_bpe, oph_fingerprint, site_spread, tiling, unit_dedup
 from tamis.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,13 @@ def op6_gam_quality(spark, sf_dir):
     )
 
 
+@query()
+def op7_dart_minhash(spark, sf_dir):
+    """Every document with the class of near duplicates that it belongs to."""
+    found = dart_minhash.near_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", "class_size")
+
+
 @query(
     r"""
     WITH cut AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
