@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import dart_minhash, elias_fano, gam_quality, kd_shards, matrix_bpe, oph_fingerprint, site_spread, tiling, unit_dedup
+from tamis.llm import dart_minhash, elias_fano, gam_quality, html_templates, kd_shards, matrix_bpe, oph_fingerprint, site_spread, tiling, unit_dedup
 from tamis.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query()
+def op1_html_templates(spark, sf_dir):
+    """The main text of every page."""
+    texts = html_templates.main_texts(table(spark, sf_dir, "pages"))
+    return texts.select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query()
 def op2_oph_fingerprint(spark, sf_dir):
     """Fingerprints of every text and of its edited text, with their likenesses."""
