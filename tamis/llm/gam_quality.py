@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import arrow_schema, inputs
+from tamis.llm.common import inputs
 
 MAX_ROWS = 20_000
 BINS, PAIR_BINS = 64, 12
@@ -254,11 +254,11 @@ def score(docs: DataFrame, model: Gam, *, key: str = "doc_id", text: str = "text
 
 def keep_good(docs: DataFrame, model: Gam, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` whose text scores ``threshold`` or more, all columns as they are."""
-    place, schema = docs.columns.index(text), arrow_schema(docs.schema)
+    place = docs.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = model.score(_matrix(batch.column(place))) >= threshold
-            yield pa.RecordBatch.from_arrays(batch.columns, schema=schema).filter(pa.array(good))
+            yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(scan, docs.schema)

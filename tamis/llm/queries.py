@@ -77,7 +77,7 @@ def op4_kd_shards(spark, sf_dir):
 )
 def op5_site_spread(spark, sf_dir):
     """Every document without the lines that ten or more sites carry."""
-    kept = site_spread.drop_boilerplate(table(spark, sf_dir, "documents"))
+    kept = site_spread.drop_boilerplate(table(spark, sf_dir, "documents"), report=True)
     return kept.select("doc_id", "lines_before", F.size("removed_lines").alias("lines_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -21,8 +21,6 @@ from tamis.session import materialize
 
 MIN_SITES = 10
 LG_K = 10  # 1024 registers
-# Three relative standard errors of a sketch with 1.04 / sqrt(registers).
-MARGIN = 3 * 1.04 / 2 ** (LG_K / 2)
 
 
 def _plain(line: Column) -> Column:
@@ -54,7 +52,7 @@ def spread(found: DataFrame, *, lg_k: int = LG_K) -> DataFrame:
 
 def boilerplate(found: DataFrame, *, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """(h1, h2, sites) of lines on at least ``min_sites`` sites; ``sites`` is exact where the estimate is near."""
-    margin = 3 * 1.04 / 2 ** (lg_k / 2)
+    margin = 3 * 1.04 / 2 ** (lg_k / 2)  # three relative standard errors of a sketch
     # a line can be on no more sites than it has rows, so rarer lines need no sketch
     often = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
     often = materialize(often, "often")
@@ -74,25 +72,26 @@ def boilerplate(found: DataFrame, *, min_sites: int = MIN_SITES, lg_k: int = LG_
 
 
 def drop_boilerplate(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, report: bool = False
 ) -> DataFrame:
-    """``docs`` with boilerplate lines gone from ``text``, and the new columns ``lines_before``, ``removed_lines`` (positions)."""
+    """``docs`` with boilerplate lines gone from ``text``; all other columns as they are.
+
+    With ``report`` two columns come last: lines_before, and removed_lines (positions from 0).
+    """
     found = lines(docs, key=key, text=text, site=site)
     marked = materialize(boilerplate(found, min_sites=min_sites, lg_k=lg_k), "boilerplate")
     removed = (
         found.join(marked, ["h1", "h2"], "left_semi")
         .groupBy(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))
-        .agg(F.array_sort(F.collect_set("position")).alias("removed_lines"))
+        .agg(F.array_sort(F.collect_set("position")).alias("__removed"))
     )
     # lines travel as an array, so that taking them by position below does not split the text again
     work = docs.withColumns({"__lines": F.split(text_or_empty(text), "\n"), "__text_hash": F.xxhash64(text_or_empty(text)), "__null": F.col(text).isNull()}).drop(text)
     joined = work.join(removed, work[key].eqNullSafe(removed["__key"]) & (F.col("__text_hash") == F.col("__hash")), "left")
-    nothing = F.col("removed_lines").isNull()
+    nothing = F.col("__removed").isNull()
     count = F.size("__lines")
-    staying = F.array_except(F.sequence(F.lit(0), count - 1), F.col("removed_lines"))
+    staying = F.array_except(F.sequence(F.lit(0), count - 1), F.col("__removed"))
     kept = F.when(nothing, F.col("__lines")).otherwise(F.transform(staying, lambda i: F.get(F.col("__lines"), i)))
-    return joined.select(
-        *[F.col(c) if c != text else F.when(F.col("__null"), F.lit(None)).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns],
-        count.alias("lines_before"),
-        F.coalesce(F.col("removed_lines"), F.array().cast("array<int>")).alias("removed_lines"),
-    )
+    columns = [F.col(c) if c != text else F.when(F.col("__null"), F.lit(None)).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns]
+    told = [count.alias("lines_before"), F.coalesce(F.col("__removed"), F.array().cast("array<int>")).alias("removed_lines")]
+    return joined.select(*columns, *(told if report else []))

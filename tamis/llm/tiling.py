@@ -184,7 +184,7 @@ def blocks(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", b
         yield Items([(r["item"], r["text"]) for r in part.collect()])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row per document and item that it leaks: key, item, coverage, tiles (item_start, text_start, length in tokens)."""
     narrow = inputs(docs, key=key, text=text)
     item_kind = dict(benchmark.dtypes)[item]
@@ -192,7 +192,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     schema = _parse_datatype_string(described)
     target = arrow_schema(schema)
     out = None
-    for items in blocks(benchmark, item=item, text=text):
+    for items in blocks(benchmark, item=item, text=item_text):
 
         def scan(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -213,15 +213,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     return out
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Rows of ``docs`` that leak no item, all columns as they are."""
-    place, schema = docs.columns.index(text), arrow_schema(docs.schema)
-    for items in blocks(benchmark, item=item):
+    place = docs.columns.index(text)
+    for items in blocks(benchmark, item=item, text=item_text):
 
         def scan(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = [next(items.leaks(v.as_py() or "", coverage), None) is None for v in batch.column(place)]
-                yield pa.RecordBatch.from_arrays(batch.columns, schema=schema).filter(pa.array(clean, pa.bool_()))
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(scan, docs.schema)
     return docs

@@ -75,13 +75,14 @@ def repeated_spans(docs: DataFrame, **options) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of ``text`` and their offsets in ``removed_spans`` (array of start, end)."""
-    lists = spans.groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans"))
+    """``docs`` with the spans cut out of ``text`` and their offsets in ``removed_spans`` (array of start, end; NULL if none)."""
+    lists = spans.groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
     joined = docs.join(lists, docs[key].eqNullSafe(lists["__key"]), "left").drop("__key")
     # the kept pieces lie between the end of one span and the start of the next
     pieces = F.zip_with(
-        F.concat(F.array(F.lit(0).cast("bigint")), F.col("removed_spans.end")),
-        F.concat(F.col("removed_spans.start"), F.array(F.length(text).cast("bigint"))),
+        F.concat(F.array(F.lit(0).cast("bigint")), F.col("__spans.end")),
+        F.concat(F.col("__spans.start"), F.array(F.length(text).cast("bigint"))),
         lambda begin, stop: F.substring(F.col(text), (begin + 1).cast("int"), (stop - begin).cast("int")),
     )
-    return joined.withColumn(text, F.when(F.col("removed_spans").isNull(), F.col(text)).otherwise(F.array_join(pieces, "")))
+    cut_text = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))
+    return joined.withColumns({text: cut_text, "removed_spans": F.col("__spans")}).drop("__spans")
