@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tamis.llm.common import inputs
 
 _SPACE = re.compile(r"[ \t\r\f\v\n]+")
-_BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n")}
+_BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[ \t\r]*\n)+")}
 
 
 def cut(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, str]]:
