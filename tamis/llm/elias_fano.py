@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -153,6 +155,30 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _library_encoder(tokenizer: str) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of single matches of the pattern, straight from the library's model, which reads bytes as letters."""
+    model = _tokenizer(tokenizer).model
+    # Printable bytes stand for themselves, the others follow from U+0100 on.
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    letter = {b: b if b in printable else next(others) for b in range(256)}
+    return lambda words: [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letter))] for w in words]
+
+
+@lru_cache(maxsize=2)
+def _cache(tokenizer: str, id_bytes: int) -> PieceCache:
+    """Lives as long as the Python worker, so tasks share it."""
+    kind = {2: "H", 4: "I"}[id_bytes]
+
+    def join(ids: list[int]) -> bytes:
+        own = array(kind, ids)
+        if sys.byteorder != "little":
+            own.byteswap()
+        return own.tobytes()
+
+    return PieceCache(_library_encoder(tokenizer), join)
+
+
 def _store(folder: str, name: str, data: bytes) -> None:
     """Whole files only: a task that runs again replaces its files by the same ones."""
     from pyarrow.fs import FileSystem
@@ -194,9 +220,7 @@ def write_tokens(
         id_bytes = 2 if max(tok.get_vocab_size(), end_id + 1) <= 65536 else 4
         kind = f"<u{id_bytes}"
         end = np.array([end_id], kind).tobytes()
-        cache = PieceCache(
-            lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)], lambda ids: np.array(ids, kind).tobytes()
-        )
+        cache = _cache(tokenizer, id_bytes)
         part, nth, keys, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
         rows: list[tuple] = []
 

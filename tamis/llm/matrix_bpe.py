@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -140,6 +141,12 @@ def model(path: str) -> MatrixBpe:
     return MatrixBpe.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _cache(path: str) -> PieceCache:
+    """Piece -> (ids as 32-bit integers, ids as text). Lives as long as the Python worker, so tasks share it."""
+    return PieceCache(model(path).encode, lambda ids: (array("i", ids).tobytes(), " ".join(map(str, ids))))
+
+
 def _blocks(column: pa.Array, limit: int = BATCH_CHARS) -> Iterator[list[str]]:
     """Texts of a batch in runs of bounded length."""
     block, chars = [], 0
@@ -161,23 +168,24 @@ def encode_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: s
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
-        cache = PieceCache(bpe.encode, lambda ids: (ids, " ".join(map(str, ids))))
+        cache = _cache(path)
         for batch in batches:
             row = 0
             for texts in _blocks(batch.column(1)):
                 cut = [pieces(t) for t in texts]
                 cache.learn(cut)
-                n, lists, shas, decoded = [], [], [], []
+                ends, parts_ids, shas, decoded = [0], [], [], []
                 for parts in cut:
                     found = [cache.known[p] for p in parts if p]
-                    ids = [i for own, _ in found for i in own]
-                    n.append(len(ids))
-                    lists.append(ids)
+                    own = b"".join([ids for ids, _ in found])
+                    ends.append(ends[-1] + len(own) // 4)
+                    parts_ids.append(own)
                     shas.append(hashlib.sha256(" ".join([said for _, said in found]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(np.frombuffer(own, np.int32).tolist())).hexdigest())
                 keys = batch.column(0).slice(row, len(texts))
                 row += len(texts)
-                columns = [keys, pa.array(n, pa.int64()), *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), pa.array(shas), pa.array(decoded)]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts_ids), np.int32)))] if with_ids else []
+                columns = [keys, pa.array(np.diff(ends).astype(np.int64)), *lists, pa.array(shas), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["key", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]

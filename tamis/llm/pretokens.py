@@ -11,7 +11,7 @@ import regex
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 # A space after white space may belong to a longer run; texts that have one are cut by the pattern alone.
 _RUN = re.compile(r"\s ")
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 
 
 def pieces(text: str) -> list[str]:
@@ -26,25 +26,41 @@ def pieces(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
 
+def matches(piece: str) -> list[str]:
+    """The pattern's matches; a word, or a word and one mark, needs no search."""
+    if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        return [piece]
+    if piece[-1] in ".," and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        return [piece[:-1], piece[-1]]
+    return PATTERN.findall(piece)
+
+
 class PieceCache:
     """Piece -> encoded value. ``encode`` gets distinct matches of the pattern and returns one list of ids for each.
 
-    Memory is bounded: beyond ``CACHE_PIECES`` entries the cache starts anew before the next batch.
+    Memory is bounded by two generations of ``CACHE_PIECES`` entries: when one is full it becomes the older one, and
+    what is used again moves on to the new one, so frequent pieces stay.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], join: Callable[[list[int]], object]):
         self.encode, self.join = encode, join
         self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def learn(self, cut: Iterable[list[str]]) -> None:
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        missing = list({p for parts in cut for p in parts if p not in known})
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = []
+        for piece in {p for parts in cut for p in parts}.difference(known):
+            if piece in older:
+                known[piece] = older[piece]
+            else:
+                missing.append(piece)
         if not missing:
             return
-        matches = [PATTERN.findall(p) for p in missing]
-        distinct = list({m for found in matches for m in found})
+        found = [matches(p) if p else [] for p in missing]
+        distinct = list({m for own in found for m in own})
         ids = dict(zip(distinct, self.encode(distinct)))
-        for piece, found in zip(missing, matches):
-            known[piece] = self.join([i for m in found for i in ids[m]])
+        for piece, own in zip(missing, found):
+            known[piece] = self.join(ids[own[0]] if len(own) == 1 else [i for m in own for i in ids[m]])
