@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tamis.functions.scalars import col
 from tamis.operators.ordered import join_on
 from tamis.operators.window import window
+from tamis.session import materialize
 
 # The fields a hash covers, in this order, and the default chain order.
 FIELDS = ("audit_id", "workflow_id", "version_id", "actor_subject", "action", "payload", "occurred_at")
@@ -57,36 +58,36 @@ def build_chain(
     """Add ``parent_hash`` and ``self_hash`` to the entries of each workflow.
 
     Entry digests are computed in parallel. The chain itself is sequential by definition: only
-    digests pass in order through the task of their workflow, in batches of bounded size, and the
-    rest of the entry is joined back.
+    digests pass in order through the task of their workflow, about 150 bytes per entry in batches
+    of bounded size, and the rest of the entry is joined back by a stored row number. Entries of one
+    place in the order are chained by their digest. Entries without a workflow form a chain of their
+    own. An entry of an unknown key version has no ``self_hash``, and the next one no parent.
     """
-    ready = _with_body(entries, keys, fields)
-    digests = ready.select(
-        col("workflow_id"),
-        *[col(o) for o in order_by],
-        F.col("__body"),
-        F.col("__secret"),
+    ready = materialize(_with_body(entries, keys, fields).withColumn("__row", F.monotonically_increasing_id()), "entries")
+    owner = F.coalesce(F.concat(F.lit("="), col("workflow_id").cast("string")), F.lit("-"))
+    digests = ready.select("__row", owner.alias("__owner"), *[col(o) for o in order_by], "__body", "__secret")
+    flow = digests.repartition("__owner").sortWithinPartitions("__owner", *[col(o) for o in order_by], "__body", "__row")
+    out = T.StructType(
+        [T.StructField("__row", T.LongType()), T.StructField("parent_hash", T.StringType()), T.StructField("self_hash", T.StringType())]
     )
-    flow = digests.repartition(col("workflow_id")).sortWithinPartitions(col("workflow_id"), *[col(o) for o in order_by])
-    extra = [T.StructField("parent_hash", T.StringType()), T.StructField("self_hash", T.StringType())]
-    ids = [f for f in flow.schema.fields if f.name not in ("__body", "__secret")]
-    names = [f.name for f in ids]
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        workflow, last = object(), None
+        workflow, last = None, None
         for batch in batches:
             parents, selves = [], []
-            for w, body, secret in zip(batch["workflow_id"], batch["__body"], batch["__secret"]):
+            for w, body, secret in zip(batch["__owner"], batch["__body"], batch["__secret"]):
                 if w != workflow:
                     workflow, last = w, None
-                text = f"{secret}|{body}|{last or '-'}|{secret}"
                 parents.append(last)
-                last = hashlib.sha256(text.encode()).hexdigest()
+                if isinstance(secret, str):
+                    last = hashlib.sha256(f"{secret}|{body}|{last or '-'}|{secret}".encode()).hexdigest()
+                else:
+                    last = None
                 selves.append(last)
-            yield batch[names].assign(parent_hash=parents, self_hash=selves)
+            yield pd.DataFrame({"__row": batch["__row"], "parent_hash": parents, "self_hash": selves})
 
-    linked = flow.mapInPandas(link, T.StructType([*ids, *extra]))
-    return join_on(entries, linked, names)
+    linked = flow.select("__row", "__owner", "__body", "__secret").mapInPandas(link, out)
+    return ready.join(linked, "__row").select(*[col(c) for c in entries.columns], "parent_hash", "self_hash")
 
 
 def check_links(entries: DataFrame, order_by: Sequence[str] = ORDER) -> DataFrame:

@@ -129,8 +129,8 @@ def dual_axis(df: DataFrame, x: str, left: dict, right: dict) -> DataFrame:
     return rows.select("x", "left_value", "right_value").orderBy(F.col("x").asc_nulls_last())
 
 
-def scatter(df: DataFrame, x: str, y: str, points: int | None = 10_000, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
-    """Numeric pairs, sampled to ``points`` for display; None keeps them all."""
+def scatter(df: DataFrame, x: str, y: str, points: int | None = None, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
+    """Numeric pairs of every row; ``points`` asks for a sample of that size instead."""
     picked = df if points is None else random_rows(df, points, seed, key)
     return picked.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
 

@@ -300,16 +300,17 @@ def resolve(
 
 def json_fields(df: DataFrame, json: str, keys: Sequence[str]) -> DataFrame:
     """Distinct top-level fields of a JSON column with their JSON type, per ``keys``."""
-    entries = F.explode(F.from_json(col(json), "map<string,string>"))
-    rows = df.select(*[col(k) for k in keys], entries.alias("field", "__v"))
-    v = F.col("__v")
+    parsed = df.select(*[col(k) for k in keys], F.try_parse_json(col(json)).alias("__doc"))
+    fields = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("__doc").outer())).where("key IS NOT NULL")
+    # the type as written: a quoted number stays text
+    v = F.schema_of_variant(F.col("value"))
     kind = (
-        F.when(v.isNull(), "null")
-        .when(v.startswith("{"), "object")
-        .when(v.startswith("["), "array")
-        .when(v.isin("true", "false"), "boolean")
-        .when(v.rlike(r"^-?\d+$"), "integer")
-        .when(v.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number")
+        F.when(F.col("value").isNull() | (v == "VOID"), "null")
+        .when(v.startswith("OBJECT"), "object")
+        .when(v.startswith("ARRAY"), "array")
+        .when(v == "BOOLEAN", "boolean")
+        .when(v.isin("TINYINT", "SMALLINT", "INT", "BIGINT") | v.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
+        .when(v.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
         .otherwise("string")
     )
-    return rows.select(*[col(k) for k in keys], "field", kind.alias("type")).distinct()
+    return fields.select(*[col(k) for k in keys], F.col("key").alias("field"), kind.alias("type")).distinct()

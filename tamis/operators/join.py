@@ -91,9 +91,10 @@ def _full(left: DataFrame, right: DataFrame, pairs) -> DataFrame:
     missed = right.join(known, cond, "left_anti")
     shared = {a for a, b in pairs if a == b}
     types = dict(left.dtypes)
-    padded = [
-        (col(c).cast(types[c]) if c in shared else F.lit(None).cast(types[c])).alias(c) for c in left.columns
-    ]
+    # a key that both sides have takes the type that holds both
+    wide = {c: left.select(col(c)).union(right.select(col(c))).dtypes[0][1] for c in shared}
+    matched = matched.withColumns({c: col(c).cast(kind) for c, kind in wide.items()})
+    padded = [(col(c).cast(wide[c]) if c in shared else F.lit(None).cast(types[c])).alias(c) for c in left.columns]
     for c in right.columns:
         if c not in shared:
             padded.append(col(c).alias(f"{c}_right" if c in left.columns else c))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.scalars import col, number_label, percent_of
-from tamis.operators.ordered import top_per_group
+from tamis.operators.ordered import number_rows, top_per_group
 from tamis.operators.window import window
 
 # Default thresholds in percent of the target, and the polarities.
@@ -170,16 +170,20 @@ def breaches(history: DataFrame, run_field: str = "run_at", keys: Sequence[str]
     )
 
 
-def tiles(series: DataFrame, keys: Sequence[str], period: str, value: str, points: int = 12) -> DataFrame:
-    """Latest value per key, change against the period before, trend and the recent series.
+def tiles(series: DataFrame, keys: Sequence[str], period: str, value: str, points: int | None = None) -> DataFrame:
+    """Latest value per key, change against the period before, trend and the series of all periods.
 
-    Only the last ``points`` periods of a key are kept before they are put into one array.
+    ``points`` asks for the last periods only; they are then cut before they are put into one array.
+    A series is one value of the result, so it should be a series to look at, not raw events.
     """
-    recent = top_per_group(series, keys, [(period, "DESC")], max(2, points), "__n")
+    if points is None:
+        recent = number_rows(series, keys, [(period, "DESC")], "__n")
+    else:
+        recent = top_per_group(series, keys, [(period, "DESC")], max(2, points), "__n")
     names = [col(k) for k in keys]
     now = F.max(F.when(F.col("__n") == 1, col(value)))
     before = F.max(F.when(F.col("__n") == 2, col(value)))
-    trail = F.sort_array(F.collect_list(F.when(F.col("__n") <= points, F.struct(col(period).alias("p"), col(value).alias("v")))))
+    trail = F.sort_array(F.collect_list(F.when(F.col("__n") <= (points or F.col("__n")), F.struct(col(period).alias("p"), col(value).alias("v")))))
     packed = recent.groupBy(*names).agg(
         now.alias("value"),
         before.alias("previous"),

@@ -17,6 +17,13 @@ APPROVALS_CRITICAL = 2
 SIMULATION_MAX_DAYS = 7
 
 
+# The reasons a gate gives.
+TOO_FEW = "Approvals: "
+NO_SIMULATION = "No simulation found for this version"
+OLD_SIMULATION = "Simulation older than {days} days"
+NEEDS_SHADOW = "Critical workflow requires SHADOW strategy first"
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row with the greatest order per key, as a partial aggregate: no group is ever sorted.
 
@@ -71,13 +78,13 @@ def gate_report(
         F.array(
             F.when(
                 given < needed,
-                F.concat(F.lit("Approvals: "), given.cast("string"), F.lit("/"), needed.cast("string")),
+                F.concat(F.lit(TOO_FEW), given.cast("string"), F.lit("/"), needed.cast("string")),
             ),
-            F.when(F.lit(require_simulation) & F.col("last_simulation").isNull(), F.lit("No simulation found for this version")),
-            F.when(too_old, F.lit(f"Simulation older than {max_age_days} days")),
+            F.when(F.lit(require_simulation) & F.col("last_simulation").isNull(), F.lit(NO_SIMULATION)),
+            F.when(too_old, F.lit(OLD_SIMULATION.format(days=max_age_days))),
             F.when(
                 F.col("is_critical") & (F.col("strategy") != "SHADOW"),
-                F.lit("Critical workflow requires SHADOW strategy first"),
+                F.lit(NEEDS_SHADOW),
             ),
         )
     )

@@ -92,14 +92,11 @@ def computed(df: DataFrame, alias: str, expression: str, type: str | None = None
     return df.withColumn(alias, value.cast(spark_type(type)) if type else value)
 
 
-_RECODE_BRANCHES = 200
-
-
 def recode(df: DataFrame, field: str, alias: str, mapping: Mapping, default=None) -> DataFrame:
     """Replace codes by labels; an unknown code gives ``default``.
 
     Keys are compared as text and all results take one type: double when every value is a number,
-    else string. Long mappings become one map lookup instead of a chain of branches.
+    else string. Of keys that are equal as text the first counts.
     """
     if not mapping:
         raise ValueError(f"recode of '{field}' needs a mapping")
@@ -108,15 +105,13 @@ def recode(df: DataFrame, field: str, alias: str, mapping: Mapping, default=None
     kind = "double" if numeric else "string"
     lit = lambda v: F.lit(None).cast(kind) if v is None else F.lit(v).cast(kind)
     code = col(field).cast("string")
-    if len(mapping) <= _RECODE_BRANCHES:
-        out = None
-        for key, value in mapping.items():
-            test = code == F.lit(str(key))
-            out = F.when(test, lit(value)) if out is None else out.when(test, lit(value))
-        return df.withColumn(alias, out.otherwise(lit(default)))
-    table = F.create_map(*[c for k, v in mapping.items() for c in (F.lit(str(k)), lit(v))])
-    known = F.array_contains(F.map_keys(table), code)
-    return df.withColumn(alias, F.when(known, F.try_element_at(table, code)).otherwise(lit(default)))
+    first: dict[str, object] = {}
+    for key, value in mapping.items():
+        first.setdefault(str(key), value)
+    # a struct as value tells a NULL label from an unknown code
+    table = F.create_map(*[c for k, v in first.items() for c in (F.lit(k), F.struct(lit(v).alias("label")))])
+    found = F.try_element_at(table, code)
+    return df.withColumn(alias, F.when(found.isNotNull(), found["label"]).otherwise(lit(default)))
 
 
 def recode_by_table(

@@ -77,17 +77,11 @@ def _spare(size: Column) -> Column:
 def random_rows(df: DataFrame, size: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
     """Exactly ``min(size, rows)`` rows: those with the smallest hash of key and seed.
 
-    ``key`` should identify a row; without one all columns are hashed. A cut on the hash leaves
-    about ``size`` rows before anything is sorted; should it leave too few, the cut is dropped.
+    ``key`` should identify a row; without one all columns are hashed. Each task keeps its ``size``
+    best rows only, so no more than that meets in the last step.
     """
-    rows = df.count()
     hashed = df.withColumn("__h", _rank_hash(df, seed, key))
     tie = F.xxhash64(*[col(c) for c in hashable(df)])
-    if rows > 4 * size:
-        share = _spare(F.lit(size)) / F.lit(float(rows))
-        picked = materialize(hashed.where(F.col("__h") <= _cut(share)).orderBy("__h", tie).limit(size), "sample")
-        if picked.count() == size:
-            return picked.drop("__h")
     return hashed.orderBy("__h", tie).limit(size).drop("__h")
 
 
@@ -121,21 +115,15 @@ def stratum_quotas(df: DataFrame, strata: str, size: int) -> DataFrame:
 def stratified(df: DataFrame, strata: str, size: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
     """``min(size, rows)`` rows that keep the shares of one column.
 
-    Each stratum is first cut to about its quota by the row hash, so only a sample-sized rest is
-    shuffled. At most ``size`` strata have a quota, which bounds the broadcast.
+    Each task keeps the ``size`` best rows of a stratum at most. At most ``size`` strata have a
+    quota, which bounds the broadcast.
     """
     wanted = stratum_quotas(df, strata, size).where(F.col("quota") > 0)
     quotas = materialize(wanted.select(F.col("stratum").alias("__s"), "quota", "rows"), "quotas")
     hashed = df.withColumn("__h", _rank_hash(df, seed, key))
     joined = hashed.join(F.broadcast(quotas), col(strata).eqNullSafe(F.col("__s")), "inner")
-    share = _spare(F.col("quota")) / F.col("rows")
-    total = quotas.agg(F.sum("quota")).first()[0] or 0
-    for rows in (joined.where(F.col("__h") <= _cut(share)), joined):
-        best = top_per_group(rows, [strata], ["__h"], size, "__rn").where(F.col("__rn") <= F.col("quota"))
-        picked = materialize(best.select(*[col(c) for c in df.columns]), "sample")
-        if picked.count() == total:
-            break
-    return picked
+    best = top_per_group(joined, [strata], ["__h"], size, "__rn").where(F.col("__rn") <= F.col("quota"))
+    return best.select(*[col(c) for c in df.columns])
 
 
 def first_n(df: DataFrame, order_by: Sequence, size: int) -> DataFrame:

@@ -75,9 +75,13 @@ def window(
     if sliced:
         spread = _spread(df, alias, kind, keys, order, source, offset, default, buckets, frame)
         if spread is not None:
-            return spread
+            return _typed(spread, df, alias, kind, source)
     win = Window.partitionBy(*[col(k) for k in keys])
-    if order:
+    by_rows = frame is not None and frame.get("kind", "ROWS").upper() == "ROWS"
+    # where the place of a tied row counts, ties go by the hash of the row, as in the spread form
+    if order and (kind in ("ROW_NUMBER", "NTILE") + OFFSETS or by_rows or (kind in EDGES and frame is None)):
+        win = win.orderBy(*ordering(order), row_hash(hashable(df)))
+    elif order:
         win = win.orderBy(*ordering(order))
     elif kind in RANKING + OFFSETS:
         win = win.orderBy(row_hash(hashable(df)))
@@ -101,6 +105,14 @@ def window(
     return df.withColumn(alias, FRAMED[kind](col(source)).over(win))
 
 
+def _typed(spread: DataFrame, df: DataFrame, alias: str, kind: str, source: str) -> DataFrame:
+    """The spread form adds partial sums, which are wider; its result takes the type of the plain window."""
+    if kind not in FRAMED or kind == "COUNT":
+        return spread
+    plain = df.limit(0).agg(FRAMED[kind](col(source)).alias("v")).dtypes[0][1]
+    return spread.withColumn(alias, F.col(alias).cast(plain)) if dict(spread.dtypes)[alias] != plain else spread
+
+
 def _framed(win, frame: dict):
     start = bound(frame.get("start", "UNBOUNDED PRECEDING"))
     end = bound(frame.get("end", "CURRENT ROW"))

@@ -107,24 +107,26 @@ def q_recode_default(spark, sf):
 
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(p_name, 'unknown') AS part_label
-    FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) p ON l_partkey = p_partkey"""
+    FROM lineitem LEFT JOIN part ON l_partkey = CASE WHEN p_size > 10 THEN p_partkey ELSE -p_partkey - 1 END"""
 )
 def q_recode_table(spark, sf):
-    codes = table(spark, sf, "part").where("p_size > 10")
+    # all codes stay in the table; some are shifted out of reach, so that unknown codes occur
+    codes = table(spark, sf, "part").withColumn("p_partkey", F.expr("CASE WHEN p_size > 10 THEN p_partkey ELSE -p_partkey - 1 END"))
     out = project.recode_by_table(table(spark, sf, "lineitem"), "l_partkey", "part_label", codes, "p_partkey", "p_name", "unknown")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "part_label")
 
 
 def _labels(spark, sf):
-    return table(spark, sf, "labels").where("quality = 1")
+    return table(spark, sf, "labels").withColumn("doc_id", F.expr("CASE WHEN quality = 1 THEN doc_id ELSE doc_id + 1000000000 END"))
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", "n_chars").where("lang <> 'en' OR n_chars > 200")
+    return table(spark, sf, "documents").select(F.expr("CASE WHEN n_chars % 7 > 0 THEN doc_id END").alias("doc_id"), "lang", "n_chars")
 
 
-_DOCS = "(SELECT doc_id, lang, n_chars FROM documents WHERE lang <> 'en' OR n_chars > 200)"
-_LABELS = "(SELECT * FROM labels WHERE quality = 1)"
+# whole tables; some keys are NULL or shifted, so that every join type has rows without a match
+_DOCS = "(SELECT CASE WHEN n_chars % 7 > 0 THEN doc_id END AS doc_id, lang, n_chars FROM documents)"
+_LABELS = "(SELECT CASE WHEN quality = 1 THEN doc_id ELSE doc_id + 1000000000 END AS doc_id, quality, toxic FROM labels)"
 
 
 @query(f"SELECT d.doc_id, lang, n_chars, quality, toxic FROM {_DOCS} d JOIN {_LABELS} l ON d.doc_id = l.doc_id")

@@ -275,7 +275,7 @@ def q_drift_resolve(spark, sf):
     return drift.resolve(drifted, wanted, {"status": "new_status"})
 
 
-_JSON = """CASE WHEN event_id % 5 = 0 THEN '{"k": "' || event_type || '", "extra": 1.5}' ELSE props END"""
+_JSON = """CASE WHEN event_id % 5 = 0 THEN '{"k": "' || event_type || '", "extra": 1.5}' WHEN event_id % 5 = 1 THEN '{"k": "12", "flag": "true"}' ELSE props END"""
 
 
 @query(

@@ -49,12 +49,13 @@ def q_source_forms(spark, sf):
 
 
 @query(
-    """SELECT CAST(conv_id AS VARCHAR) AS response_id, max(text) FILTER (WHERE turn = 0) AS q0, max(text) FILTER (WHERE turn = 1) AS q1,
-      max(text) FILTER (WHERE turn = 2) AS q2 FROM conversations GROUP BY conv_id"""
+    """SELECT CAST(conv_id AS VARCHAR) AS response_id, string_agg(DISTINCT text, '; ' ORDER BY text) FILTER (WHERE turn % 3 = 0) AS q0,
+      string_agg(DISTINCT text, '; ' ORDER BY text) FILTER (WHERE turn % 3 = 1) AS q1, string_agg(DISTINCT text, '; ' ORDER BY text) FILTER (WHERE turn % 3 = 2) AS q2
+    FROM conversations GROUP BY conv_id"""
 )
 def q_source_survey(spark, sf):
     rows = table(spark, sf, "conversations")
-    answer = F.struct(F.concat(F.lit("q"), F.col("turn")).alias("question"), F.col("text").alias("answer"))
+    answer = F.struct(F.concat(F.lit("q"), F.col("turn") % 3).alias("question"), F.col("text").alias("answer"))
     dump = rows.select(F.col("conv_id").cast("string").alias("response_id"), F.array(answer).alias("answers"))
     return tables.survey_responses(spark, _landed(dump, "survey", "json"), ["q0", "q1", "q2"])
 
@@ -86,8 +87,10 @@ def q_source_golden(spark, sf):
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def q_sink_dashboard(spark, sf):
     rows = table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    path = outputs.publish_dashboard(rows, scratch_path(spark, "boards"), "orders_by_priority", ["o_orderstatus"])
-    return spark.read.parquet(path)
+    base = scratch_path(spark, "boards")
+    outputs.publish_dashboard(rows.limit(1), base, "orders_by_priority", ["o_orderstatus"])
+    outputs.publish_dashboard(rows, base, "orders_by_priority", ["o_orderstatus"])
+    return outputs.published_dashboard(spark, base, "orders_by_priority")
 
 
 @query(
@@ -122,10 +125,10 @@ def q_sink_chunks(spark, sf):
 
 
 @query(
-    """SELECT CAST(event_id AS VARCHAR) AS key, event_type, user_id FROM events WHERE event_type = 'error'"""
+    """SELECT CAST(event_id AS VARCHAR) AS key, event_type, user_id FROM events"""
 )
 def q_sink_messages(spark, sf):
-    rows = table(spark, sf, "events").where("event_type = 'error'").select("event_id", "event_type", "user_id")
+    rows = table(spark, sf, "events").select("event_id", "event_type", "user_id")
     sent = outputs.as_messages(rows, "event_id")
     body = F.from_json("value", "event_type string, user_id bigint")
     return sent.select("key", body.alias("b")).select("key", "b.*")

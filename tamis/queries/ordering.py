@@ -232,11 +232,12 @@ def q_pivot_sum(spark, sf):
 
 
 @query(
-    """SELECT p_type, count(p_partkey) FILTER (WHERE p_size = 1) AS "1", count(p_partkey) FILTER (WHERE p_size = 2) AS "2",
-      count(p_partkey) FILTER (WHERE p_size = 51) AS "51" FROM part GROUP BY p_type"""
+    "SELECT p_type, "
+    + ", ".join(f'count(p_partkey) FILTER (WHERE p_size = {n}) AS "{n}"' for n in range(1, 52))
+    + " FROM part GROUP BY p_type"
 )
 def q_pivot_count(spark, sf):
-    return reshape.pivot(table(spark, sf, "part"), ["p_type"], "p_size", "p_partkey", "COUNT", [1, 2, 51])
+    return reshape.pivot(table(spark, sf, "part"), ["p_type"], "p_size", "p_partkey", "COUNT", list(range(1, 52)))
 
 
 @query(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.functions.scalars import col
+from tamis.functions.scalars import col, ordering
 from tamis.operators.ordered import number_rows
 from tamis.session import materialize
 
@@ -17,13 +18,29 @@ REFRESH_DEFAULT_SEC = 300
 
 
 def publish_dashboard(df: DataFrame, base: str, dashboard_code: str, partition_by: Sequence[str] = ()) -> str:
-    """Replace the published result of a dashboard; returns its path."""
-    path = f"{base}/{dashboard_code}"
-    writer = df.write.mode("overwrite")
+    """Publish a new version of a dashboard's result; returns its path.
+
+    Each version is a folder of its own, complete once its ``_SUCCESS`` file is there. Readers take
+    ``published_dashboard``, so they never meet a gap, and a failed write leaves the version before.
+    """
+    path = f"{base}/{dashboard_code}/version={time.time_ns():020d}"
+    writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
 
 
+def published_dashboard(spark: SparkSession, base: str, dashboard_code: str) -> DataFrame:
+    """The newest complete version."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{base}/{dashboard_code}")
+    done = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(
+        jvm.org.apache.hadoop.fs.Path(root, "version=*/_SUCCESS")
+    )
+    if not done:
+        raise LookupError(f"dashboard '{dashboard_code}' has not been published")
+    return spark.read.parquet(max(f.getPath().getParent().toString() for f in done))
+
+
 def refresh_interval(refresh_sec: int | None = None) -> str:
     """Trigger interval of a dashboard fed by a stream."""
     seconds = REFRESH_DEFAULT_SEC if refresh_sec is None else refresh_sec
@@ -65,9 +82,7 @@ def chunked(df: DataFrame, order_by: Sequence, rows_per_chunk: int) -> DataFrame
 def write_chunks(df: DataFrame, path: str, order_by: Sequence, rows_per_chunk: int) -> None:
     """Write the ordered result as one folder per chunk, each chunk in one file."""
     parts = chunked(df, order_by, rows_per_chunk)
-    parts.repartition("sequence").sortWithinPartitions("sequence", *[col(o) for o in order_by if isinstance(o, str)]).write.partitionBy(
-        "sequence"
-    ).parquet(path)
+    parts.repartition("sequence").sortWithinPartitions("sequence", *ordering(order_by)).write.partitionBy("sequence").parquet(path)
 
 
 def as_messages(df: DataFrame, key: str | None = None) -> DataFrame:

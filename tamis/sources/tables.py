@@ -88,11 +88,13 @@ def survey_responses(spark: SparkSession, path: str, questions: list[str]) -> Da
     """Landed survey answers as one row per response, one column per listed question.
 
     Lines are ``{"response_id", "answers": [{"question", "answer"}]}``; a response may come in
-    several lines. Answers are combined by partial aggregates, so a response is never gathered.
+    several lines. Several answers to one question (multiple choice, corrections) are all kept, as
+    distinct texts in order, joined by ``; ``. The answers of one response are one row of the result.
     """
     raw = spark.read.schema("response_id string, answers array<struct<question:string,answer:string>>").json(path)
     given = raw.select("response_id", F.explode_outer("answers").alias("a"))
-    picks = [F.max(F.when(F.col("a.question") == q, F.col("a.answer"))).alias(q) for q in questions]
+    answers = {q: F.array_sort(F.collect_set(F.when(F.col("a.question") == q, F.col("a.answer")))) for q in questions}
+    picks = [F.when(F.size(found) > 0, F.array_join(found, "; ")).alias(q) for q, found in answers.items()]
     return given.groupBy("response_id").agg(*picks)
 
 

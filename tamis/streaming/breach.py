@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.scalars import col
@@ -19,7 +19,8 @@ def watch_breaches(
 
     ``goals`` holds keys, target, polarity, warning_pct and critical_pct. The state between batches
     is the last ``keep_runs`` runs per key: the windows that the stream's lateness can still change,
-    and one more. State and breaches are written per epoch, so a repeated batch replaces itself.
+    and one more. A changed run and the run after it, whose ``previous`` it is, are rated again.
+    State and breaches are written per epoch, so a repeated batch replaces itself.
     """
     ids = [*keys, run_field]
 
@@ -38,8 +39,12 @@ def watch_breaches(
         kept = top_per_group(history.drop("__new"), keys, [(run_field, "DESC")], keep_runs, "__n").drop("__n")
         kept.write.mode("overwrite").parquet(f"{base}/state/epoch={epoch}")
         rated = breaches(join_on(history.drop("__new"), goals, list(keys), "inner"), run_field, keys)
-        changed = now.select(*[col(i) for i in ids])
-        rated.join(changed, ids, "left_semi").write.mode("overwrite").parquet(f"{base}/breaches/epoch={epoch}")
+        # a key has no more runs here than the state keeps and the batch brings
+        before = F.lag("__new", 1, False).over(Window.partitionBy(*[col(k) for k in keys]).orderBy(col(run_field)))
+        touched = history.withColumn("__after", before).where(F.col("__new") | F.col("__after")).select(*[col(i) for i in ids])
+        touched.write.mode("overwrite").parquet(f"{base}/rated/epoch={epoch}")
+        again = spark.read.schema(touched.schema).parquet(f"{base}/rated/epoch={epoch}")
+        join_on(rated, again, ids, "left_semi").write.mode("overwrite").parquet(f"{base}/breaches/epoch={epoch}")
 
     return rate
 
@@ -55,5 +60,5 @@ def latest_breaches(spark: SparkSession, base: str, keys: Sequence[str] = ("kpi_
     A run that a later batch brought back under its limit is left out.
     """
     ids = [*keys, run_field]
-    rated = spark.read.parquet(f"{base}/values").groupBy(*[col(i) for i in ids]).agg(F.max("epoch").alias("epoch"))
+    rated = spark.read.parquet(f"{base}/rated").groupBy(*[col(i) for i in ids]).agg(F.max("epoch").alias("epoch"))
     return spark.read.parquet(f"{base}/breaches").join(rated, [*ids, "epoch"], "left_semi").drop("epoch")

@@ -233,3 +233,24 @@ def test_json_field_types(spark):
         ("d1", "a"): "integer", ("d1", "b"): "string", ("d1", "c"): "array", ("d1", "d"): "null", ("d1", "e"): "object", ("d1", "g"): "boolean",
         ("d1", "h"): "number", ("d2", "a"): "integer",
     }
+
+
+def test_quoted_json_values_are_text(spark):
+    df = spark.createDataFrame([("d1", '{"a": "12", "b": "true"}'), ("d2", '{"a": 12, "b": true}'), ("d3", "not json"), ("d4", None), ("d5", "[1]")], "day string, j string")
+    got = {(r.day, r.field): r.type for r in drift.json_fields(df, "j", ["day"]).collect()}
+    assert got == {("d1", "a"): "string", ("d1", "b"): "string", ("d2", "a"): "integer", ("d2", "b"): "boolean"}
+
+
+def test_chain_of_odd_entries(spark, keys):
+    """No workflow, one place twice, and a key version that nobody knows."""
+    stamp = "cast('2024-01-01' AS timestamp_ntz)"
+    rows = spark.createDataFrame(
+        [(1, None, "v1"), (2, None, "v1"), (3, 7, "v1"), (3, 7, "v1"), (4, 7, "v9"), (5, 7, "v1"), (6, 2**60, "v1"), (7, 2**60 + 1, "v1")],
+        "audit_id long, workflow_id long, key_version string",
+    ).withColumn("occurred_at", F.expr(stamp))
+    chain = sorted(audit.build_chain(rows, keys).collect(), key=lambda r: (str(r.workflow_id), r.audit_id, r.parent_hash is not None))
+    got = [(r.audit_id, r.parent_hash is None, r.self_hash is None) for r in chain]
+    assert got == [(6, True, False), (7, True, False), (3, True, False), (3, False, False), (4, False, True), (5, True, False), (1, True, False), (2, False, False)]
+    by_id = {r.audit_id: r for r in chain if r.audit_id != 3}
+    assert by_id[2].parent_hash == by_id[1].self_hash
+    assert audit.verify(audit.build_chain(rows, keys), keys).where("workflow_id = 7").first().first_break == 4

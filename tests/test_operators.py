@@ -362,3 +362,23 @@ def test_tiles_of_single_period(spark):
 def test_cast_losses(spark):
     df = spark.createDataFrame([("1",), ("x",), (None,)], "s string")
     assert tuple(scalars.cast_losses(df, {"s": "INTEGER"}).first()) == ("s", "INTEGER", 1)
+
+
+def test_full_outer_key_types(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, l string")
+    right = spark.createDataFrame([(2, "x"), (5_000_000_000, "y")], "k long, r string")
+    out = join.join(left, right, ["k"], "FULL_OUTER")
+    assert dict(out.dtypes)["k"] == "bigint"
+    assert sorted(map(tuple, out.collect())) == [(1, "a", None), (2, "b", "x"), (5_000_000_000, None, "y")]
+
+
+def test_recode_of_keys_equal_as_text(spark):
+    df = spark.createDataFrame([("1",), ("2",), (None,)], "c string")
+    big = {1: "first", "1": "second", **{str(i): f"n{i}" for i in range(3, 400)}, "2": None}
+    assert [r.s for r in project.recode(df, "c", "s", big, "other").collect()] == ["first", None, "other"]
+
+
+def test_scatter_and_tiles_keep_all_rows(spark):
+    df = spark.range(12_000).selectExpr("id", "id * 2 AS y", "id % 2 AS k")
+    assert charts.chart(df, "SCATTER", {"xField": "id", "yField": "y"}).count() == 12_000
+    assert {len(r.series) for r in kpi.tiles(df.limit(60), ["k"], "id", "y").collect()} == {30}

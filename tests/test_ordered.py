@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +228,19 @@ def test_spread_value_ranges(hot, function, order, start, end):
     spread, plain = window.window(hot, sliced=True, **args), window.window(hot, sliced=False, **args)
     assert "__c" in spread._jdf.queryExecution().analyzed().toString()
     same(spread, plain)
+
+
+@pytest.mark.parametrize(
+    "function,frame",
+    [
+        ("ROW_NUMBER", None), ("NTILE", None), ("LAG", None), ("LEAD", None), ("SUM", {"kind": "ROWS"}), ("AVG", {"kind": "ROWS", "start": "2 PRECEDING"}), ("SUM", None),
+        ("MAX", {"kind": "ROWS", "start": "CURRENT ROW", "end": "UNBOUNDED FOLLOWING"}), ("FIRST_VALUE", None), ("LAST_VALUE", {"kind": "ROWS"}), ("COUNT", {"kind": "RANGE"}),
+    ],
+)
+def test_forms_agree_on_ties_types_and_nulls(spark, function, frame):
+    rows = [(k, i // 8, None if i % 5 == 0 else Decimal(i * 7 % 11), i) for k in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, o int, v decimal(10,2), id int")
+    plain, spread = (window.window(df, "w", function, ["k"], ["o"], "v", frame=frame, sliced=s) for s in (False, True))
+    assert plain.schema["w"].dataType == spread.schema["w"].dataType
+    columns = ["k", "o", "v", "id", "w"]
+    assert sorted(map(str, plain.select(columns).collect())) == sorted(map(str, spread.select(columns).collect()))

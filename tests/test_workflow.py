@@ -24,21 +24,21 @@ def definition(**spec):
 
 
 PIPELINE = [
-    {"id": "active", "kind": "filter", "expression": "status IN ('done', 'open')"},
-    {"id": "by_region", "kind": "aggregate", "groupBy": ["region"], "aggregations": [{"alias": "total", "function": "SUM", "field": "area"}]},
+    {"id": "large", "kind": "filter", "expression": "area >= 10"},
+    {"id": "by_status", "kind": "aggregate", "groupBy": ["status"], "aggregations": [{"alias": "widest", "function": "MAX", "field": "area"}, {"alias": "fields", "function": "COUNT", "field": "area"}]},
 ]
 
 
 def test_kpi_binds_to_the_last_step_with_its_columns(plots):
-    kpis = [{"id": "kpi_rows", "expression": "SUM(area)"}, {"id": "kpi_regions", "expression": "SUM(total)"}, {"id": "kpi_all", "expression": "COUNT(*)"}]
+    kpis = [{"id": "kpi_rows", "expression": "AVG(area)"}, {"id": "kpi_status", "expression": "MIN(widest)"}, {"id": "kpi_all", "expression": "SUM(fields)"}]
     result = workflow.run(definition(pipeline=PIPELINE, kpis=kpis), source=plots)
-    assert workflow.bind_kpis(result.steps, kpis).keys() == {"active", "by_region"}
-    assert {r.kpi_id: r.value for r in result.kpis.collect()} == {"kpi_rows": 35.0, "kpi_regions": 35.0, "kpi_all": 2.0}
+    assert workflow.bind_kpis(result.steps, kpis).keys() == {"large", "by_status"}
+    assert {r.kpi_id: r.value for r in result.kpis.collect()} == {"kpi_rows": 43.0, "kpi_status": 20.0, "kpi_all": 3.0}
 
 
 def test_every_step_kind_runs(plots):
     steps = [
-        *PIPELINE[:1],
+        {"id": "known", "kind": "filter", "expression": "status <> 'lost'"},
         {"id": "flag", "kind": "outlier", "field": "area", "strategy": "HARD_BOUNDS", "upperBound": 15},
         {"id": "norm", "kind": "normalize", "field": "area", "method": "MIN_MAX"},
         {"id": "code", "kind": "recode", "field": "status", "alias": "s", "mapping": {"done": 1}, "default": 0},
@@ -78,7 +78,7 @@ def test_a_table_joins_by_name_and_limit_applies(plots, spark):
 
 
 def test_shared_step():
-    assert workflow.shared_step(definition(pipeline=PIPELINE, kpis=[{}])["spec"]) == "by_region"
+    assert workflow.shared_step(definition(pipeline=PIPELINE, kpis=[{}])["spec"]) == "by_status"
     assert workflow.shared_step(definition(pipeline=PIPELINE)["spec"]) is None
     assert workflow.shared_step(definition(pipeline=PIPELINE[:1], kpis=[{}])["spec"]) is None
 
@@ -103,6 +103,29 @@ def test_connector_options():
     assert tables.topic_options("b:1", "t", "g", True)["startingOffsets"] == "earliest"
 
 
+def test_dashboard_versions_and_ordered_chunks(spark, plots):
+    base = scratch_path(spark, "boards")
+    with pytest.raises(LookupError):
+        outputs.published_dashboard(spark, base, "b")
+    for n in (1, 4):
+        outputs.publish_dashboard(plots.limit(n), base, "b")
+        assert outputs.published_dashboard(spark, base, "b").count() == n
+    path = scratch_path(spark, "chunks")
+    outputs.write_chunks(spark.range(50), path, [("id", "DESC")], 20)
+    assert [r.id for r in spark.read.parquet(f"{path}/sequence=1").collect()] == list(range(29, 9, -1))
+
+
+def test_late_change_moves_the_next_run(spark):
+    goals = spark.createDataFrame([("a", 10.0, "less_better", 100.0, 200.0)], "kpi_id string, target double, polarity string, warning_pct double, critical_pct double")
+    base = scratch_path(spark, "late")
+    rate = breach.watch_breaches(goals, base, 5)
+    batch = lambda *rows: spark.createDataFrame(rows, "kpi_id string, run_at int, value double")
+    rate(batch(("a", 1, 10.0), ("a", 2, 30.0), ("a", 3, 40.0)), 0)
+    rate(batch(("a", 1, 50.0)), 1)
+    got = {r.run_at: (r.previous, r.current) for r in breach.latest_breaches(spark, base).collect()}
+    assert got == {1: (None, 50.0), 2: (50.0, 30.0), 3: (30.0, 40.0)}
+
+
 def test_upload_formats(spark, plots):
     for kind, fmt in (("CSV", "csv"), ("PARQUET", "parquet"), ("JSONL", "json")):
         path = scratch_path(spark, "upload")
