@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +72,26 @@ def percent_of(num: Column, den: Column) -> Column:
     return safe_ratio(num.cast("double") * 100.0, den.cast("double"))
 
 
+_EPOCH = re.compile(r"\bEXTRACT\s*\(\s*EPOCH\s+FROM\s+\(\s*([^()]+?)\s+-\s+([^()]+?)\s*\)\s*\)", re.IGNORECASE)
+_CLOCK = re.compile(r"\b(now\s*\(\s*\)|current_timestamp\b(?:\s*\(\s*\))?|current_date\b(?:\s*\(\s*\))?)", re.IGNORECASE)
+
+
+def readable(expression: str, as_of: str | None = None) -> str:
+    """An expression of a definition as Spark SQL.
+
+    ``EXTRACT(EPOCH FROM (a - b))`` becomes seconds between two times; with ``as_of`` the clock is
+    replaced by that time, so that a run can be repeated. Quoted text stays as it is.
+    """
+    parts = re.split(r"('(?:[^']|'')*')", expression)
+    for i in range(0, len(parts), 2):
+        seconds = r"((unix_micros(CAST(\1 AS TIMESTAMP)) - unix_micros(CAST(\2 AS TIMESTAMP))) / 1000000.0D)"
+        parts[i] = _EPOCH.sub(seconds, parts[i])
+        if as_of is not None:
+            day = lambda m: f"CAST('{as_of}' AS DATE)" if m[1].lower().startswith("current_date") else f"CAST('{as_of}' AS TIMESTAMP_NTZ)"
+            parts[i] = _CLOCK.sub(day, parts[i])
+    return "".join(parts)
+
+
 def hours_between(later: Column, earlier: Column) -> Column:
     """Delay in hours, from whole seconds."""
     return (F.unix_seconds(later.cast("timestamp")) - F.unix_seconds(earlier.cast("timestamp"))) / 3600.0

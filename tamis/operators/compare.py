@@ -345,14 +345,18 @@ def chart_diff(previous: DataFrame, current: DataFrame, series: str, chart_id: s
 
 
 def schema_diff(previous: DataFrame, current: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Output columns ADDED, REMOVED, RENAMED, WIDENED, PRECISION_CHANGED or TYPE_CHANGED.
-
-    A removed column and a type change that may lose values are ``blocking``.
-    """
+    """Output columns ADDED, REMOVED, RENAMED, WIDENED, PRECISION_CHANGED or TYPE_CHANGED."""
     from tamis.functions.scalars import schema_table
     from tamis.operators.drift import detect
 
-    drift = detect(schema_table(previous, "output"), schema_table(current, "output"), threshold)
+    return output_changes(detect(schema_table(previous, "output"), schema_table(current, "output"), threshold)).drop("workflow_id")
+
+
+def output_changes(drift: DataFrame) -> DataFrame:
+    """Drift rows of output schemas by kind of change, for any number of workflows.
+
+    A removed column and a type change that may lose values are ``blocking``.
+    """
     old, new = F.col("old_type"), F.col("new_type")
     pair = F.concat(old, F.lit(">"), new)
     widened = pair.isin([f"{a}>{b}" for a, b in WIDENINGS])
@@ -367,7 +371,7 @@ def schema_diff(previous: DataFrame, current: DataFrame, threshold: float = 0.85
     )
     out = drift.withColumn("change", change)
     return out.select(
-        "field", "new_field", "change", "old_type", "new_type", F.col("change").isin("REMOVED", "TYPE_CHANGED").alias("blocking")
+        "workflow_id", "field", "new_field", "change", "old_type", "new_type", F.col("change").isin("REMOVED", "TYPE_CHANGED").alias("blocking")
     )
 
 

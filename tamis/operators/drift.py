@@ -6,13 +6,14 @@ Schemas are rows ``(workflow_id, field, type)``; drift is rows
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.scalars import col, similarity, spark_type
-from tamis.operators.ordered import groups_fit, join_on
+from tamis.operators.ordered import join_on
 from tamis.session import materialize
 
 THRESHOLD = 0.85
@@ -131,59 +132,32 @@ def rename_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
     return scored.where(F.col("score") >= F.col("threshold")).drop("threshold").distinct()
 
 
-def match_renames(pairs: DataFrame, fold_rows: int = 5_000) -> DataFrame:
+def match_renames(pairs: DataFrame) -> DataFrame:
     """One-to-one matches ``(workflow_id, removed, added, score)``.
 
     Removed names take, in name order, their best added name not taken before; equal scores go to
-    the first name. Workflows with few candidate pairs are folded in one row each; if any has more
-    than ``fold_rows``, all are settled in rounds of joins instead, with the same result.
+    the first name. That order is sequential within a workflow: its candidate pairs, short names and
+    a score, pass in order through one task, which remembers the names taken.
     """
-    pairs = materialize(pairs, "pairs")
-    if groups_fit(pairs, ["workflow_id"], fold_rows):
-        return _fold_matches(pairs)
-    return _match_in_rounds(pairs)
-
-
-def _fold_matches(pairs: DataFrame) -> DataFrame:
-    entry = "struct<removed:string,score:double,added:string>"
-    ordered = F.sort_array(
-        F.collect_list(F.struct("removed", (-F.col("score")).alias("score"), "added"))
-    ).cast(f"array<{entry}>")
-    grouped = pairs.groupBy("workflow_id").agg(ordered.alias("__p"))
-    start = F.array().cast(f"array<{entry}>")
-
-    def step(taken, pair):
-        clash = F.exists(taken, lambda t: (t["removed"] == pair["removed"]) | (t["added"] == pair["added"]))
-        return F.when(clash, taken).otherwise(F.array_append(taken, pair))
-
-    matched = grouped.select("workflow_id", F.explode(F.aggregate("__p", start, step)).alias("m"))
-    return matched.select("workflow_id", "m.removed", "m.added", (-F.col("m.score")).alias("score"))
-
-
-def _match_in_rounds(pairs: DataFrame) -> DataFrame:
-    """A pair is settled when it is the best one left for the removed name and no earlier removed
-    name still competes for the added one. Each round settles at least one name per workflow."""
-    settled, left = [], pairs
-    while not left.isEmpty():
-        best = left.groupBy("workflow_id", "removed").agg(
-            F.min(F.struct((-F.col("score")).alias("s"), F.col("added").alias("a"))).alias("b")
-        )
-        first = left.groupBy("workflow_id", "added").agg(F.min("removed").alias("f"))
-        claims = best.select("workflow_id", "removed", F.col("b.a").alias("added"), (-F.col("b.s")).alias("score"))
-        won = materialize(
-            claims.join(first, ["workflow_id", "added"]).where(F.col("removed") == F.col("f")).drop("f"), "matches"
-        )
-        settled.append(won.select("workflow_id", "removed", "added", "score"))
-        left = materialize(
-            left.join(won.select("workflow_id", "removed"), ["workflow_id", "removed"], "left_anti").join(
-                won.select("workflow_id", "added"), ["workflow_id", "added"], "left_anti"
-            ),
-            "pairs",
-        )
-    out = settled[0] if settled else pairs.select("workflow_id", "removed", "added", "score")
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return out
+    kind = dict(pairs.dtypes)["workflow_id"]
+    owner = F.coalesce(F.concat(F.lit("="), F.col("workflow_id").cast("string")), F.lit("-"))
+    flow = pairs.select(owner.alias("__owner"), "workflow_id", "removed", "added", "score").repartition("__owner")
+    flow = flow.sortWithinPartitions("__owner", "removed", F.desc("score"), "added")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, done, taken = None, None, set()
+        for batch in batches:
+            keep = []
+            for own, old, new in zip(*(batch.column(n).to_pylist() for n in ("__owner", "removed", "added"))):
+                if own != here:
+                    here, done, taken = own, None, set()
+                keep.append(old != done and new not in taken)
+                if keep[-1]:
+                    done = old
+                    taken.add(new)
+            yield batch.select(["workflow_id", "removed", "added", "score"]).filter(pa.array(keep, pa.bool_()))
+
+    return flow.mapInArrow(settle, f"workflow_id {kind}, removed string, added string, score double")
 
 
 def detect(snapshot: DataFrame, current: DataFrame, threshold: float | DataFrame = THRESHOLD) -> DataFrame:
@@ -314,3 +288,16 @@ def json_fields(df: DataFrame, json: str, keys: Sequence[str]) -> DataFrame:
         .otherwise("string")
     )
     return fields.select(*[col(k) for k in keys], F.col("key").alias("field"), kind.alias("type")).distinct()
+
+
+def resolution(rated: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    """``renamed`` and ``expressions`` for ``resolve`` from one workflow's rated drift.
+
+    Renames that the policy takes without asking are followed, and type changes that it casts are
+    cast with NULL for what does not fit. A workflow has few fields, so its rows come to the driver.
+    """
+    rows = rated.where(F.col("action").isin("AUTO_BY_SIMILARITY", "AUTOCAST")).select("kind", "field", "new_field", "old_type").collect()
+    renamed = {r["field"]: r["new_field"] for r in rows if r["kind"] == "RENAMED_FIELD"}
+    quoted = lambda n: "`" + n.replace("`", "``") + "`"
+    casts = {r["field"]: f"try_cast({quoted(r['field'])} AS {r['old_type']})" for r in rows if r["kind"] == "TYPE_CHANGE"}
+    return renamed, casts

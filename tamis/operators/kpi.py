@@ -33,13 +33,17 @@ def kpi_column(df: DataFrame, text: str) -> Column | None:
     A plain scalar is taken as the MAX over the rows, so it needs no aggregate function.
     """
     sql = kpi_expression(text)
+    errors = []
     for candidate in (F.expr(sql), F.max(F.expr(sql))):
         try:
             df.agg(candidate)
-        except AnalysisException:
+        except AnalysisException as error:
+            errors.append(error)
             continue
         return candidate
-    return None
+    if any(str(e.getCondition()).startswith("UNRESOLVED_COLUMN") for e in errors):
+        return None
+    raise errors[0]  # a fault of the expression itself
 
 
 def status(

@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import cache, cached_property
 
 from pyspark.sql import DataFrame
 
+from tamis.functions.scalars import readable, schema_table, spark_type
 from tamis.operators import aggregate as agg
-from tamis.operators import charts, join, kpi, project, quality, reshape, window
+from tamis.operators import charts, drift, join, kpi, project, quality, reshape, window
 from tamis.session import materialize
+from tamis.sinks import outputs
 from tamis.sources.tables import open_source
 
 # The document kind and the limits on its lists.
 KIND = "AnalyticsWorkflow"
 VERSION_SUFFIX = "/v1"
 LIMITS = {"pipeline": 64, "kpis": 32, "visualizations": 32, "outputs": 8}
+# Outputs that services render or deliver, and the names of the drift policy.
+RENDERED = ("pdf", "pptx", "metabase", "webhook", "email")
+POLICY = {"onNewField": "on_new_field", "onRemovedField": "on_removed_field", "onTypeChange": "on_type_change", "onRenamed": "on_renamed"}
+NO_KPIS = "kpi_id string, label string, value double, unit string"
 
 
 def _window_step(df: DataFrame, s: dict) -> DataFrame:
+    if "expression" in s:
+        # an expression over the step's own window, named w; Spark runs it as one plain window
+        names = ", ".join("`" + p.replace("`", "``") + "`" for p in s.get("partitionBy", ())) or "1"
+        fields = [(o, "ASC") if isinstance(o, str) else (o["field"], o["direction"]) for o in s.get("orderBy") or ()]
+        order = ", ".join("`" + f.replace("`", "``") + f"` {d} NULLS LAST" for f, d in fields)
+        over = f"OVER (PARTITION BY {names}" + (f" ORDER BY {order})" if order else ")")
+        return project.computed(df, s["alias"], re.sub(r"\bOVER\s+w\b", lambda _: over, s["expression"], flags=re.IGNORECASE), s.get("type"))
     return window.window(
         df,
         s["alias"],
@@ -61,11 +75,21 @@ PASSES = ("window", "outlier", "normalize", "pivot")
 DEAR = ("join", "aggregate", "group_by", "pivot", "window", "normalize")
 
 
+class DriftBlocked(ValueError):
+    """The source differs from the snapshot in a way that the definition's policy does not allow."""
+
+
 class Result:
-    """Outputs of a run; KPIs and charts are built when they are asked for."""
+    """Outputs of a run; KPIs and charts are built when they are asked for.
+
+    ``drift`` holds the rated schema changes, if a snapshot was given.
+    """
 
-    def __init__(self, spec: Mapping, steps: dict[str, DataFrame], targets: DataFrame | None, row_limit: int | None):
+    def __init__(
+        self, spec: Mapping, steps: dict[str, DataFrame], targets: DataFrame | None, row_limit: int | None, drift: DataFrame | None = None
+    ):
         self.steps = steps
+        self.drift = drift
         self._spec, self._targets, self._row_limit = spec, targets, row_limit
 
     @property
@@ -89,6 +113,29 @@ class Result:
         return {v["id"]: self.chart(v["id"]) for v in self._spec.get("visualizations", [])}
 
 
+    def publish(self, base: str) -> dict[str, str | dict[str, str] | None]:
+        """Write the definition's outputs below ``base``; path or paths by output kind.
+
+        Dashboards and sheets are tables and are written. Rendered or delivered kinds (documents,
+        slides, mail, hooks, cards) are services' work: they give None.
+        """
+        done: dict[str, str | dict[str, str] | None] = {}
+        for out in self._spec.get("outputs", []):
+            kind = out["kind"]
+            if kind == "dashboard":
+                outputs.refresh_interval(out.get("refreshSec"))
+                done[kind] = outputs.publish_dashboard(self.output, base, out["dashboardCode"])
+            elif kind == "excel":
+                folder = f"{base}/{out.get('objectKey') or 'sheets'}"
+                kpis = self.kpis if self.kpis is not None else self.output.sparkSession.createDataFrame([], NO_KPIS)
+                done[kind] = outputs.export_sheets(folder, {"steps": ", ".join(self.steps)}, kpis, self.charts)
+            elif kind in RENDERED:
+                done[kind] = None
+            else:
+                raise ValueError(f"output kind '{kind}' is not supported")
+        return done
+
+
 def check(definition: Mapping) -> None:
     """Refuse a document of another kind or version, oversized lists, and unknown or repeated steps."""
     version = str(definition.get("apiVersion", ""))
@@ -173,6 +220,38 @@ def evaluate_kpis(steps: Mapping[str, DataFrame], kpis: Sequence[dict], targets:
     return out
 
 
+def settle_drift(source: DataFrame, snapshot: Mapping[str, str], policy: Mapping) -> tuple[DataFrame, DataFrame]:
+    """The source in the snapshot's schema, and the rated changes; raises where the policy blocks.
+
+    A definition has few fields, so its changes are looked at on the driver.
+    """
+    fields = "workflow_id string, field string, type string"
+    before = source.sparkSession.createDataFrame([("run", f, spark_type(t)) for f, t in snapshot.items()], fields)
+    chosen = drift.DEFAULT_POLICY | {name: policy[key] for key, name in POLICY.items() if key in policy}
+    changes = drift.detect(before, schema_table(source, "run"), float(policy.get("similarityThreshold", drift.THRESHOLD)))
+    rated = materialize(drift.apply_policy(changes, None, chosen), "drift")
+    blocked = [r["reason"] for r in rated.where("blocks").select("reason").collect()]
+    if blocked:
+        raise DriftBlocked("; ".join(sorted(str(b) for b in blocked)))
+    if rated.isEmpty():
+        return source, rated
+    renamed, casts = drift.resolution(rated)
+    return drift.resolve(source, {f: spark_type(t) for f, t in snapshot.items()}, renamed, casts), rated
+
+
+def _at(value, as_of: str | None):
+    """A definition with its expressions made readable, the clock set to ``as_of``."""
+    if isinstance(value, Mapping):
+        out = {k: _at(v, as_of) for k, v in value.items()}
+        for name in ("expression", "sqlPredicate"):
+            if isinstance(out.get(name), str):
+                out[name] = readable(out[name], as_of)
+        if out.get("source") == "computed" and isinstance(out.get("value"), str):
+            out["value"] = readable(out["value"], as_of)
+        return out
+    return [_at(v, as_of) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def run(
     definition: Mapping,
     readers: Mapping[str, Callable[[dict], DataFrame]] | None = None,
@@ -180,12 +259,20 @@ def run(
     tables: Mapping[str, DataFrame] | None = None,
     targets: DataFrame | None = None,
     row_limit: int | None = None,
+    as_of: str | None = None,
+    snapshot: Mapping[str, str] | None = None,
 ) -> Result:
-    """Steps, KPIs and chart tables of a definition. Pass ``source``, or ``readers`` by source type.
+    """Steps, KPIs and chart tables of a definition. Pass ``source``, or ``readers`` by source type
+    (``tables.file_readers`` has one for each type that lands as files).
 
     With KPIs or charts, the result of the last aggregation is stored once and shared by them.
+    ``as_of`` replaces the clock in all expressions. With ``snapshot``, the source schema that the
+    definition was made for, drift is detected and the definition's ``driftPolicy`` decides on it.
     """
     check(definition)
-    spec = definition["spec"]
+    spec = _at(definition["spec"], as_of)
     data = source if source is not None else open_source(spec["source"], readers or {})
-    return Result(spec, run_steps(data, spec.get("pipeline", []), tables, shared_step(spec)), targets, row_limit)
+    rated = None
+    if snapshot is not None:
+        data, rated = settle_drift(data, snapshot, spec.get("driftPolicy") or {})
+    return Result(spec, run_steps(data, spec.get("pipeline", []), tables, shared_step(spec)), targets, row_limit, rated)

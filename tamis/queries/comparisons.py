@@ -204,57 +204,80 @@ def q_drift_unchanged(spark, sf):
     return drift.unchanged_fields(d.snapshot(spark, sf), d.current(spark, sf))
 
 
-@query(
-    f"""WITH RECURSIVE ch AS (FROM {_CHANGES}),
-    pairs AS (SELECT r.workflow_id, r.field AS removed, a.field AS added,
+def _drift_sql(result: str, limit: str = "0.85") -> str:
+    """``result`` over ``drift``: all changes, with renames matched one to one in name order."""
+    return f"""WITH RECURSIVE ch AS (FROM {_CHANGES}), pol AS (FROM {d.POLICIES_SQL}),
+    pairs AS (SELECT r.workflow_id, r.field AS removed, a.field AS added, {limit} AS threshold,
         1.0::DOUBLE - CAST(levenshtein(r.field, a.field) AS DOUBLE) / greatest(length(r.field), length(a.field)) AS score
-      FROM ch r JOIN ch a ON r.workflow_id = a.workflow_id AND r.kind = 'REMOVED_FIELD' AND a.kind = 'NEW_FIELD'),
+      FROM ch r JOIN ch a ON r.workflow_id = a.workflow_id AND r.kind = 'REMOVED_FIELD' AND a.kind = 'NEW_FIELD' LEFT JOIN pol ON pol.workflow_id = r.workflow_id),
     cand AS (SELECT workflow_id, removed, list(struct_pack(score := score, added := added) ORDER BY score DESC, added) AS cs,
-        row_number() OVER (PARTITION BY workflow_id ORDER BY removed) AS n FROM pairs WHERE score >= 0.85 GROUP BY workflow_id, removed),
+        row_number() OVER (PARTITION BY workflow_id ORDER BY removed) AS n FROM pairs WHERE score >= threshold GROUP BY workflow_id, removed),
     walk AS (SELECT workflow_id, n, removed, cs[1] AS m, [cs[1].added] AS taken FROM cand WHERE n = 1
       UNION ALL SELECT c.workflow_id, c.n, c.removed, list_filter(c.cs, lambda x: NOT list_contains(w.taken, x.added))[1],
         list_concat(w.taken, [list_filter(c.cs, lambda x: NOT list_contains(w.taken, x.added))[1].added])
       FROM walk w JOIN cand c ON c.workflow_id = w.workflow_id AND c.n = w.n + 1),
-    matched AS (SELECT workflow_id, removed, m.added AS added, m.score AS score FROM walk WHERE m IS NOT NULL)
-    SELECT ch.workflow_id, kind, field, NULL AS new_field, old_type, new_type, NULL AS score FROM ch
+    matched AS (SELECT workflow_id, removed, m.added AS added, m.score AS score FROM walk WHERE m IS NOT NULL),
+    drift AS (SELECT ch.workflow_id, kind, field, NULL::VARCHAR AS new_field, old_type, new_type, NULL::DOUBLE AS score FROM ch
       LEFT JOIN matched a ON kind = 'REMOVED_FIELD' AND a.workflow_id = ch.workflow_id AND a.removed = field
       LEFT JOIN matched b ON kind = 'NEW_FIELD' AND b.workflow_id = ch.workflow_id AND b.added = field
       WHERE a.removed IS NULL AND b.added IS NULL
     UNION ALL SELECT m.workflow_id, 'RENAMED_FIELD', removed, added, r.old_type, n.new_type, round(score, 9) FROM matched m
-      JOIN ch r ON r.workflow_id = m.workflow_id AND r.field = removed JOIN ch n ON n.workflow_id = m.workflow_id AND n.field = added"""
-)
+      JOIN ch r ON r.workflow_id = m.workflow_id AND r.field = removed JOIN ch n ON n.workflow_id = m.workflow_id AND n.field = added),
+    rated AS (SELECT x.*, CASE kind WHEN 'NEW_FIELD' THEN coalesce(on_new_field, 'REQUIRE_MAPPING') WHEN 'REMOVED_FIELD' THEN coalesce(on_removed_field, 'BLOCK')
+        WHEN 'TYPE_CHANGE' THEN coalesce(on_type_change, 'REQUIRE_CAST') ELSE coalesce(on_renamed, 'SUGGEST') END AS action
+      FROM drift x LEFT JOIN pol ON pol.workflow_id = x.workflow_id)
+    {result}"""
+
+
+@query(_drift_sql("FROM drift"))
 def q_drift_renames(spark, sf):
     return rounded(drift.detect(d.snapshot(spark, sf), d.current(spark, sf)), 9)
 
 
-_RATED = f"""(SELECT x.workflow_id, kind, field, CASE kind WHEN 'NEW_FIELD' THEN coalesce(on_new_field, 'REQUIRE_MAPPING')
-    WHEN 'REMOVED_FIELD' THEN coalesce(on_removed_field, 'BLOCK') ELSE coalesce(on_type_change, 'REQUIRE_CAST') END AS action, old_type, new_type
-  FROM {_CHANGES} x LEFT JOIN {d.POLICIES_SQL} p ON p.workflow_id = x.workflow_id)"""
+@query(
+    _drift_sql(
+        """SELECT workflow_id, field, new_field, CASE WHEN kind = 'NEW_FIELD' THEN 'ADDED' WHEN kind = 'REMOVED_FIELD' THEN 'REMOVED' WHEN kind = 'RENAMED_FIELD' THEN 'RENAMED'
+        WHEN old_type = 'int' AND new_type = 'bigint' THEN 'WIDENED' ELSE 'TYPE_CHANGED' END AS change, old_type, new_type,
+      kind = 'REMOVED_FIELD' OR kind = 'TYPE_CHANGE' AND NOT (old_type = 'int' AND new_type = 'bigint') AS blocking FROM drift"""
+    )
+)
+def q_schema_diff(spark, sf):
+    return compare.output_changes(drift.detect(d.snapshot(spark, sf), d.current(spark, sf)))
+
+
+_LIMIT = "coalesce(similarity_threshold, 0.85)"
 
 
 def _rated(spark, sf):
-    changes = drift.field_changes(d.snapshot(spark, sf), d.current(spark, sf)).withColumns(
-        {"new_field": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}
-    )
-    return drift.apply_policy(changes, d.policies(spark, sf))
+    rules = d.policies(spark, sf)
+    limits = rules.select("workflow_id", F.coalesce("similarity_threshold", F.lit(drift.THRESHOLD)).alias("similarity_threshold"))
+    return drift.apply_policy(rounded(drift.detect(d.snapshot(spark, sf), d.current(spark, sf), limits), 9), rules.drop("similarity_threshold"))
 
 
 @query(
-    f"""SELECT workflow_id, kind, field, action, action = 'BLOCK' AS blocks, CASE
+    _drift_sql(
+        """SELECT workflow_id, kind, field, new_field, action, action = 'BLOCK' AS blocks, CASE
       WHEN kind = 'REMOVED_FIELD' AND action = 'BLOCK' THEN 'Field ' || field || ' removed from source — blocked by policy'
       WHEN kind = 'NEW_FIELD' AND action = 'BLOCK' THEN 'Field ' || field || ' added to source — blocked by policy'
       WHEN kind = 'NEW_FIELD' AND action = 'REQUIRE_MAPPING' THEN 'Field ' || field || ' added to source — explicit mapping required'
       WHEN kind = 'TYPE_CHANGE' AND action = 'BLOCK' THEN 'Field ' || field || ' type changed ' || old_type || ' → ' || new_type || ' — blocked by policy'
       WHEN kind = 'TYPE_CHANGE' AND action = 'REQUIRE_CAST' THEN 'Field ' || field || ' type changed ' || old_type || ' → ' || new_type || ' — explicit cast required'
-      END AS reason FROM {_RATED}"""
+      WHEN kind = 'RENAMED_FIELD' AND action = 'BLOCK' THEN 'Field ' || field || ' renamed to ' || new_field || ' (similarity=' || CAST(score AS VARCHAR) || ') — blocked by policy'
+      WHEN kind = 'RENAMED_FIELD' AND action = 'SUGGEST' THEN 'Field ' || field || ' likely renamed to ' || new_field || ' (similarity=' || CAST(score AS VARCHAR) || ') — confirm mapping'
+      END AS reason FROM rated""",
+        _LIMIT,
+    )
 )
 def q_drift_policy(spark, sf):
-    return _rated(spark, sf).select("workflow_id", "kind", "field", "action", "blocks", "reason")
+    return _rated(spark, sf).select("workflow_id", "kind", "field", "new_field", "action", "blocks", "reason")
 
 
 @query(
-    f"""SELECT workflow_id, bool_or(action = 'BLOCK') AS blocked, count(*) FILTER (WHERE action NOT IN ('IGNORE', 'WARN', 'AUTOCAST')) AS reasons,
-      count(*) AS changes FROM {_RATED} GROUP BY workflow_id"""
+    _drift_sql(
+        """SELECT workflow_id, bool_or(action = 'BLOCK') AS blocked, count(*) FILTER (WHERE action NOT IN ('IGNORE', 'WARN', 'AUTOCAST', 'AUTO_BY_SIMILARITY')) AS reasons,
+      count(*) AS changes FROM rated GROUP BY workflow_id""",
+        _LIMIT,
+    )
 )
 def q_drift_decisions(spark, sf):
     return drift.policy_decisions(_rated(spark, sf))

@@ -102,15 +102,19 @@ def current(spark, sf):
 POLICIES_SQL = """(SELECT DISTINCT p_brand AS workflow_id,
   CASE WHEN p_brand LIKE '%1' THEN 'IGNORE' WHEN p_brand LIKE '%2' THEN 'BLOCK' END AS on_new_field,
   CASE WHEN p_brand LIKE '%3' THEN 'WARN' END AS on_removed_field,
-  CASE WHEN p_brand LIKE '%4' THEN 'AUTOCAST' WHEN p_brand LIKE '%5' THEN 'BLOCK' END AS on_type_change FROM part WHERE p_size > 3)"""
+  CASE WHEN p_brand LIKE '%4' THEN 'AUTOCAST' WHEN p_brand LIKE '%5' THEN 'BLOCK' END AS on_type_change,
+  CASE WHEN p_brand LIKE '%1' THEN 'AUTO_BY_SIMILARITY' WHEN p_brand LIKE '%2' THEN 'BLOCK' END AS on_renamed,
+  CASE WHEN p_brand LIKE '%3' THEN 0.95::DOUBLE END AS similarity_threshold FROM part)"""
 
 
 def policies(spark, sf):
-    return table(spark, sf, "part").where("p_size > 3").selectExpr(
+    return table(spark, sf, "part").selectExpr(
         "p_brand AS workflow_id",
         "CASE WHEN p_brand LIKE '%1' THEN 'IGNORE' WHEN p_brand LIKE '%2' THEN 'BLOCK' END AS on_new_field",
         "CASE WHEN p_brand LIKE '%3' THEN 'WARN' END AS on_removed_field",
         "CASE WHEN p_brand LIKE '%4' THEN 'AUTOCAST' WHEN p_brand LIKE '%5' THEN 'BLOCK' END AS on_type_change",
+        "CASE WHEN p_brand LIKE '%1' THEN 'AUTO_BY_SIMILARITY' WHEN p_brand LIKE '%2' THEN 'BLOCK' END AS on_renamed",
+        "CASE WHEN p_brand LIKE '%3' THEN 0.95D END AS similarity_threshold",
     ).distinct()
 
 

@@ -158,6 +158,39 @@ def golden_dataset(spark: SparkSession, registry: DataFrame, sub_project: str, n
 Reader = Callable[[dict], DataFrame]
 
 
+def file_readers(spark: SparkSession, landing: str, schemas: Mapping[str, Schema] | None = None) -> dict[str, Reader]:
+    """Readers by source type for what lands as files below ``landing``.
+
+    ``schemas`` names the schema of an upload, form, survey or key pattern by its identifier; uploads and
+    forms without one are inferred from the files. Databases and topics need a connection, so their
+    readers (``jdbc_table``, ``topic_batch``) are made by the caller.
+    """
+    known = dict(schemas or {})
+
+    def forms(s: dict) -> DataFrame:
+        path = f"{landing}/forms/{s['assetUid']}"
+        schema = known.get(s["assetUid"]) or spark.read.json(path).schema
+        return form_submissions(spark, path, schema, s.get("validatedOnly", True))
+
+    def survey(s: dict) -> DataFrame:
+        path = f"{landing}/surveys/{s['surveyId']}"
+        asked = known.get(s["surveyId"])
+        if asked is None:  # a survey has few questions
+            raw = spark.read.schema("answers array<struct<question:string>>").json(path)
+            asked = sorted(r[0] for r in raw.select(F.explode("answers.question")).distinct().collect() if r[0] is not None)
+        return survey_responses(spark, path, list(asked))
+
+    def keyed(s: dict) -> DataFrame:
+        return keyed_snapshots(spark.read.schema("key string, value string").json(f"{landing}/keys"), s["keyPattern"], known[s["keyPattern"]])
+
+    return {
+        "upload": lambda s: upload(spark, f"{landing}/{s['objectKey']}", s["format"], known.get(s["objectKey"])),
+        "kobo": forms,
+        "surveymonkey": survey,
+        "dragonfly": keyed,
+    }
+
+
 def open_source(source: dict, readers: Mapping[str, Reader]) -> DataFrame:
     """The input of a definition through the reader registered for its source type."""
     kind = source["type"]

@@ -103,6 +103,64 @@ def test_connector_options():
     assert tables.topic_options("b:1", "t", "g", True)["startingOffsets"] == "earliest"
 
 
+def test_the_clock_is_an_argument(spark):
+    rows = spark.createDataFrame([("a", dt.datetime(2024, 3, 1, 12)), ("b", dt.datetime(2024, 3, 9))], "k string, at timestamp_ntz")
+    steps = [
+        {"id": "new", "kind": "filter", "expression": "at >= current_date - INTERVAL 2 DAYS AND k <> 'now()'"},
+        {"id": "age", "kind": "computed", "alias": "days", "expression": "datediff(now(), at)", "type": "INTEGER"},
+    ]
+    out = workflow.run(definition(pipeline=steps), source=rows, as_of="2024-03-10 06:00:00").output
+    assert [(r.k, r.days) for r in out.collect()] == [("b", 1)]
+
+
+def test_documented_expressions(spark):
+    rows = spark.createDataFrame(
+        [("x", 1, 10.0, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 6)), ("x", 2, 15.0, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))],
+        "g string, m int, v double, start timestamp_ntz, stop timestamp_ntz",
+    )
+    steps = [
+        {"id": "change", "kind": "window", "alias": "pct", "partitionBy": ["g"], "orderBy": ["m"], "expression": "(v - LAG(v, 1) OVER w) / LAG(v, 1) OVER w * 100"}
+    ]
+    kpis = [{"id": "kpi_hours", "expression": "AVG(EXTRACT(EPOCH FROM (stop - start)) / 3600.0)"}, {"id": "kpi_change", "expression": "AVG(pct)"}]
+    result = workflow.run(definition(pipeline=steps, kpis=kpis), source=rows)
+    assert {r.kpi_id: r.value for r in result.kpis.collect()} == {"kpi_hours": 15.0, "kpi_change": 50.0}
+    with pytest.raises(Exception, match="(?i)divide|nested|syntax|parse|type"):
+        workflow.evaluate_kpis({"source": rows}, [{"id": "kpi_x", "expression": "SUM(v) +"}])
+
+
+def test_drift_policy_of_a_definition(spark, plots):
+    snapshot = {"region": "STRING", "status": "STRING", "area": "BIGINT"}
+    with pytest.raises(workflow.DriftBlocked, match="area type changed"):
+        workflow.run(definition(driftPolicy={"onTypeChange": "BLOCK"}), source=plots, snapshot=snapshot)
+    settled = workflow.run(definition(driftPolicy={"onTypeChange": "AUTOCAST"}), source=plots, snapshot=snapshot)
+    assert dict(settled.output.dtypes)["area"] == "bigint" and settled.drift.count() == 1
+    policy = {"onRenamed": "AUTO_BY_SIMILARITY", "similarityThreshold": 0.8}
+    renamed = plots.withColumnRenamed("region", "regions")
+    assert workflow.run(definition(driftPolicy=policy), source=renamed, snapshot=snapshot | {"area": "DOUBLE"}).output.columns == ["region", "status", "area"]
+    with pytest.raises(workflow.DriftBlocked):
+        workflow.run(definition(), source=plots.drop("area"), snapshot=snapshot)
+
+
+def test_a_definition_from_files_to_outputs(spark, plots):
+    landing, base = scratch_path(spark, "landing"), scratch_path(spark, "out")
+    plots.write.parquet(f"{landing}/plots")
+    spec = definition(
+        source={"type": "upload", "format": "PARQUET", "objectKey": "plots", "sqlPredicate": "area > 5"},
+        pipeline=PIPELINE[1:],
+        kpis=[{"id": "kpi_widest", "label": "Widest", "expression": "MAX(widest)", "format": {"unit": "ha"}}],
+        visualizations=[{"id": "viz", "type": "PIE", "encoding": {"category": "status", "value": "fields"}}],
+        outputs=[{"kind": "dashboard", "dashboardCode": "plots_by_status"}, {"kind": "excel", "objectKey": "book"}, {"kind": "email", "to": ["a@b"], "template": "t"}],
+    )
+    done = workflow.run(spec, tables.file_readers(spark, landing)).publish(base)
+    assert done["email"] is None and set(done["excel"]) == {"Metadata", "KPIs", "viz"}
+    assert outputs.published_dashboard(spark, base, "plots_by_status").count() == 2
+    assert spark.read.csv(done["excel"]["KPIs"], header=True).first()["value"] == "99.0"
+    lines = ['{"response_id": "r1", "answers": [{"question": "q", "answer": "b"}, {"question": "q", "answer": "a"}]}', '{"response_id": "r2", "answers": []}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{landing}/surveys/77")
+    got = tables.open_source({"type": "surveymonkey", "surveyId": "77"}, tables.file_readers(spark, landing))
+    assert sorted(map(tuple, got.collect())) == [("r1", "a; b"), ("r2", None)]
+
+
 def test_dashboard_versions_and_ordered_chunks(spark, plots):
     base = scratch_path(spark, "boards")
     with pytest.raises(LookupError):
