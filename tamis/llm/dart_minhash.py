@@ -87,12 +87,16 @@ def _exact(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, popularity) for buckets of several nodes."""
+    """(bucket, node, popularity) for buckets of several nodes; of buckets with the same nodes one stays."""
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(placed.join(sizes, "bucket"), "buckets")
+    sizes = placed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), F.col("node"))).alias("y")
+    )
+    sizes = materialize(sizes.where("n > 1"), "sizes")
+    shared = materialize(placed.join(sizes.select("bucket", "n"), "bucket"), "buckets")
     popularity = shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("popularity"))
-    return materialize(shared.drop("n").join(popularity, "node"), "popular")
+    kept = sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return materialize(shared.drop("n").join(kept, "bucket").join(popularity, "node"), "popular")
 
 
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
