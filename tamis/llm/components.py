@@ -14,29 +14,27 @@ def _star(arcs: DataFrame) -> DataFrame:
     return arcs.join(least, F.col("u") == F.col("__u")).drop("__u")
 
 
-def _print(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """True when the edges are stars: no node points to two others, and none that is pointed to points on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return nodes.where((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("in") == 1))).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v); the label is the least node of the component.
 
-    Every step is stored in the shared folder, so lineage stays short. The number of steps grows with the logarithm of
-    the largest component.
+    Every round is stored in the shared folder, so lineage stays short. The number of rounds grows with the logarithm
+    of the largest component; edges that are stars already need none.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = _print(now)
-    while seen[0]:
+    while not _settled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "large_star")
         small = _star(large)
         small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "small_star")
-        after = _print(now)
-        if after == seen:
-            break
-        seen = after
+        now = materialize(small.where("u <> v").distinct(), "stars")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
