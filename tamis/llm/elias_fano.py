@@ -35,13 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.llm.common import inputs, text_or_empty
-from tamis.llm.pretokens import PieceCache, pieces
+from tamis.llm.pretokens import TextEncoder
 from tamis.session import materialize, scratch_path
 
 MAGIC = b"TAMISEF1"
 SAMPLE = 256
 FILE_BYTES = 8 << 20
-BLOCK_CHARS = 4_000_000
 
 
 def _bits(values: np.ndarray, width: int) -> bytes:
@@ -155,28 +154,28 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _library_encoder(tokenizer: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of single matches of the pattern, straight from the library's model, which reads bytes as letters."""
+def _library_encoder(tokenizer: str, id_bytes: int) -> Callable[[str], bytes]:
+    """Ids of one match of the pattern, straight from the library's model, which reads bytes as letters."""
     model = _tokenizer(tokenizer).model
+    kind = {2: "H", 4: "I"}[id_bytes]
     # Printable bytes stand for themselves, the others follow from U+0100 on.
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
     letter = {b: b if b in printable else next(others) for b in range(256)}
-    return lambda words: [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letter))] for w in words]
-
 
-@lru_cache(maxsize=2)
-def _cache(tokenizer: str, id_bytes: int) -> PieceCache:
-    """Lives as long as the Python worker, so tasks share it."""
-    kind = {2: "H", 4: "I"}[id_bytes]
-
-    def join(ids: list[int]) -> bytes:
-        own = array(kind, ids)
+    def encode(match: str) -> bytes:
+        own = array(kind, [t.id for t in model.tokenize(match.encode().decode("latin-1").translate(letter))])
         if sys.byteorder != "little":
             own.byteswap()
         return own.tobytes()
 
-    return PieceCache(_library_encoder(tokenizer), join)
+    return encode
+
+
+@lru_cache(maxsize=2)
+def _encoder(tokenizer: str, id_bytes: int) -> TextEncoder:
+    """Lives as long as the Python worker, so tasks share what it remembers."""
+    return TextEncoder(_library_encoder(tokenizer, id_bytes))
 
 
 def _store(folder: str, name: str, data: bytes) -> None:
@@ -220,7 +219,7 @@ def write_tokens(
         id_bytes = 2 if max(tok.get_vocab_size(), end_id + 1) <= 65536 else 4
         kind = f"<u{id_bytes}"
         end = np.array([end_id], kind).tobytes()
-        cache = _cache(tokenizer, id_bytes)
+        encoded = _encoder(tokenizer, id_bytes)
         part, nth, keys, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
         rows: list[tuple] = []
 
@@ -231,28 +230,14 @@ def write_tokens(
             rows.append((name, part, nth, len(keys), size // id_bytes))
             nth, keys, ids, size = nth + 1, [], [], 0
 
-        def encode(block_keys: list, texts: list[str]) -> None:
-            nonlocal size
-            cut = [pieces(t) for t in texts]
-            cache.learn(cut)
-            for k, words in zip(block_keys, cut):
-                own = b"".join([cache.known[w] for w in words if w]) + end
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1)):
+                own = encoded(t.as_py()) + end
                 if keys and size + len(own) > file_bytes:
                     flush()
-                keys.append(k)
+                keys.append(k.as_py())
                 ids.append(own)
                 size += len(own)
-
-        block_keys, texts, chars = [], [], 0
-        for batch in batches:
-            for k, t in zip(batch.column(0), batch.column(1)):
-                block_keys.append(k.as_py())
-                texts.append(t.as_py())
-                chars += len(texts[-1])
-                if chars >= BLOCK_CHARS:
-                    encode(block_keys, texts)
-                    block_keys, texts, chars = [], [], 0
-        encode(block_keys, texts)
         if keys:
             flush()
         yield pa.RecordBatch.from_arrays(

@@ -10,17 +10,22 @@ import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 # A space after white space may belong to a longer run; texts that have one are cut by the pattern alone.
-_RUN = re.compile(r"\s ")
+_ASCII_RUNS = tuple(c + " " for c in " \n\t\r\v\f\x1c\x1d\x1e\x1f")
+_OTHER_RUN = re.compile(r"[^\x00-\x7f\S] ")
 CACHE_PIECES = 250_000
 
 
+def has_runs(text: str) -> bool:
+    return any(run in text for run in _ASCII_RUNS) or (not text.isascii() and _OTHER_RUN.search(text) is not None)
+
+
 def pieces(text: str) -> list[str]:
     """Parts of ``text``, in order, at borders that are always borders of the pattern's matches.
 
     A match that starts at a single space between other characters takes that space, and no match goes on across it,
     so the text may be cut before each such space.
     """
-    if _RUN.search(text):
+    if has_runs(text):
         return PATTERN.findall(text)
     first, *rest = text.split(" ")
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
@@ -64,3 +69,44 @@ class PieceCache:
         ids = dict(zip(distinct, self.encode(distinct)))
         for piece, own in zip(missing, found):
             known[piece] = self.join(ids[own[0]] if len(own) == 1 else [i for m in own for i in ids[m]])
+
+
+class Recent(dict):
+    """key -> ``make(key)``, remembered in two generations of bounded size, so that frequent keys stay."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int = CACHE_PIECES):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class TextEncoder:
+    """A text's ids as bytes, from a function that encodes one match of the pattern.
+
+    In a text without runs of white space each word after a space is encoded once with its space.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.matches = Recent(encode)
+        self.words = Recent(self._word)
+
+    def _word(self, word: str) -> bytes:
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.matches[word[-1]]
+        found = matches(" " + word)
+        return self.matches.make(found[0]) if len(found) == 1 else b"".join(map(self.matches.__getitem__, found))
+
+    def __call__(self, text: str) -> bytes:
+        if has_runs(text):
+            return b"".join(map(self.matches.__getitem__, PATTERN.findall(text)))
+        first, *rest = text.split(" ")
+        return b"".join([*map(self.matches.__getitem__, PATTERN.findall(first)), *map(self.words.__getitem__, rest)])

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tamis.llm import elias_fano, matrix_bpe
-from tamis.llm.pretokens import PATTERN, PieceCache, matches, pieces
+from tamis.llm.pretokens import PATTERN, PieceCache, TextEncoder, matches, pieces
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,7 @@ def test_pieces_keep_the_matches(text):
     assert [m for p in pieces(text) for m in PATTERN.findall(p)] == PATTERN.findall(text)
     assert "".join(pieces(text)) == text
     assert all(matches(p) == PATTERN.findall(p) for p in pieces(text) if p)
+    assert TextEncoder(lambda m: f"<{m}>".encode())(text).decode() == "".join(f"<{m}>" for m in PATTERN.findall(text))
 
 
 def test_matrix_encoder(library):
