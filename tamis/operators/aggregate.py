@@ -60,7 +60,8 @@ def aggregate(
     parts = []
     if plain or not exact:
         parts.append(df.groupBy(*keys).agg(*plain))
-    parts += [quantiles(df, field, wanted, group_by) for field, wanted in exact.items()]
+    if exact:
+        parts.append(_all_quantiles(df, exact, group_by))
     out = parts[0]
     for part in parts[1:]:
         if group_by:
@@ -71,6 +72,19 @@ def aggregate(
     return out.select(*[col(g) for g in group_by], *[col(a["alias"]) for a in aggregations])
 
 
+def _all_quantiles(df: DataFrame, exact: dict[str, dict[str, float]], group_by: Sequence[str]) -> DataFrame:
+    """Quantiles of several fields in one pass: the fields become rows of (field, value) first."""
+    if len(exact) == 1:
+        ((field, wanted),) = exact.items()
+        return quantiles(df, field, wanted, group_by)
+    keys = [col(g) for g in group_by]
+    values = [F.struct(F.lit(i).alias("f"), col(field).cast("double").alias("v")) for i, field in enumerate(exact)]
+    rows = df.select(*keys, F.explode(F.array(*values)).alias("__e")).select(*keys, F.col("__e.f").alias("__f"), F.col("__e.v").alias("__x"))
+    found = quantiles(rows, "__x", {a: p for wanted in exact.values() for a, p in wanted.items()}, [*group_by, "__f"])
+    own = [F.max(F.when(F.col("__f") == i, col(a))).alias(a) for i, wanted in enumerate(exact.values()) for a in wanted]
+    return found.groupBy(*keys).agg(*own)
+
+
 def quantiles(
     df: DataFrame,
     field: str,

@@ -44,6 +44,22 @@ def bound(text: str | int) -> int:
     raise ValueError(f"frame bound '{text}' cannot be read")
 
 
+_UNITS = {"SECOND": 1, "MINUTE": 60, "HOUR": 3600, "DAY": 86_400, "WEEK": 604_800}
+
+
+def _timed(frame: dict | None) -> dict | None:
+    """A RANGE frame over time, such as ``7 DAYS PRECEDING``, with its bounds in microseconds; else None."""
+    if frame is None or frame.get("kind", "ROWS").upper() != "RANGE":
+        return None
+    out, timed = dict(frame), False
+    for side in ("start", "end"):
+        words = str(frame.get(side, "")).strip().upper().split()
+        if len(words) == 3 and words[1].rstrip("S") in _UNITS:
+            out[side] = f"{int(words[0]) * _UNITS[words[1].rstrip('S')] * 1_000_000} {words[2]}"
+            timed = True
+    return out if timed else None
+
+
 def window(
     df: DataFrame,
     alias: str,
@@ -59,8 +75,8 @@ def window(
 ) -> DataFrame:
     """Add ``alias = function OVER (PARTITION BY ... ORDER BY ... NULLS LAST)``.
 
-    ``field`` is the input of LAG, LEAD, FIRST_VALUE, LAST_VALUE and the framed aggregates; when
-    absent, ``alias`` names the input. Groups above ``spark.tamis.maxGroupRows`` (and an empty
+    A RANGE frame over a time takes bounds such as ``7 DAYS PRECEDING``. ``field`` is the input of
+    LAG, LEAD, FIRST_VALUE, LAST_VALUE and the framed aggregates; when absent, ``alias`` names the input. Groups above ``spark.tamis.maxGroupRows`` (and an empty
     ``partition_by`` with that many rows) take the form that spreads a group over tasks; ``sliced``
     forces or forbids it.
     """
@@ -70,6 +86,13 @@ def window(
     keys = list(partition_by)
     order = list(order_by)
     source = field or alias
+    if (frame_us := _timed(frame)) is not None:
+        (named,) = order_fields(order)
+        at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(named).cast("timestamp_ntz"))
+        falling = not isinstance(order[0], str) and (order[0]["direction"] if isinstance(order[0], dict) else order[0][1]).upper() == "DESC"
+        timed = df.withColumn("__at", at)
+        by = [("__at", "DESC" if falling else "ASC")]
+        return window(timed, alias, function, keys, by, source, offset, default, buckets, frame_us, sliced).drop("__at")
     if sliced is None:
         sliced = not groups_fit(df, keys)
     if sliced:

@@ -88,6 +88,26 @@ def q_frame_range(spark, sf):
     )
 
 
+_WEEK = """SELECT o_orderkey, count(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate
+  RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) AS v FROM orders"""
+
+
+def _week(spark, sf, sliced):
+    frame = {"kind": "RANGE", "start": "7 DAYS PRECEDING", "end": "CURRENT ROW"}
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    return window.window(orders, "v", "COUNT", ["o_orderpriority"], ["o_orderdate"], "o_totalprice", frame=frame, sliced=sliced).select("o_orderkey", "v")
+
+
+@query(_WEEK)
+def q_frame_range_time(spark, sf):
+    return _week(spark, sf, False)
+
+
+@query(_WEEK)
+def q_frame_range_time_spread(spark, sf):
+    return _week(spark, sf, True)
+
+
 _MONTHS = """(SELECT o_orderpriority, date_trunc('month', o_orderdate)::TIMESTAMP AS mon, round(sum(o_totalprice), 2) AS total
   FROM orders GROUP BY ALL)"""
 

@@ -1,11 +1,15 @@
 """The flagship workflow, KPIs, charts and samples."""
 
+import copy
+
 from pyspark.sql import functions as F
 
 from tamis.operators import charts, join, kpi, sample
 from tamis.plans import workflow
+from tamis.plans.simulate import simulate
 from tamis.queries.derived import day_values, day_values_sql
 from tamis.queries.registry import query, rounded, table
+from tamis.session import materialize
 
 # Net sales per brand and year: which brands lead, and how much is sold at a deep discount.
 FLAGSHIP = {
@@ -65,6 +69,7 @@ FLAGSHIP = {
     },
 }
 
+_DEEP = "0.08, 0.09, 0.1"
 _YEARS = """SELECT p_brand, CAST(year(l_shipdate) AS INTEGER) AS sale_year, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS net_sales,
     count(l_linenumber) AS sold_lines, CAST(count(*) FILTER (WHERE l_discount IN (0.08, 0.09, 0.1)) AS DOUBLE) AS deep_lines,
     max(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS best_line
@@ -115,6 +120,38 @@ def q_flagship_chart(spark, sf):
     return flagship(spark, sf).chart("viz_years").withColumn("y", F.col("y").cast("double"))
 
 
+def _next_version() -> dict:
+    """The flagship with a wider notion of a deep discount and one more column."""
+    new = copy.deepcopy(FLAGSHIP)
+    steps = new["spec"]["pipeline"]
+    next(s for s in steps if s["id"] == "deep")["mapping"]["0.07"] = 1
+    steps.append({"id": "each", "kind": "computed", "alias": "net_per_line", "expression": "CAST(net_sales AS DOUBLE) / sold_lines", "type": "DOUBLE"})
+    return new
+
+
+_SHARE = f"""(SELECT 'kpi_deep_share' AS kpi_id, count(*) FILTER (WHERE l_discount IN ({_DEEP})) * 100.0::DOUBLE / count(*) AS previous,
+  count(*) FILTER (WHERE l_discount IN (0.07, {_DEEP})) * 100.0::DOUBLE / count(*) AS current FROM lineitem)"""
+
+
+@query(
+    f"""WITH s AS (FROM {_SHARE}), groups AS ({_YEARS}),
+    moved AS (SELECT count(*) AS n FROM (SELECT p_brand, year(l_shipdate) AS y FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL
+      HAVING count(*) FILTER (WHERE l_discount = 0.07) > 0))
+    SELECT kpi_id, round(previous, 6) AS previous, round(current, 6) AS current, CASE WHEN current = previous THEN 'OK' ELSE 'BREACH' END AS decision,
+      CASE WHEN current = previous THEN 'APPROVED_FOR_DEPLOYMENT' ELSE 'BLOCKED' END AS verdict, (SELECT n FROM moved) AS rows_changed, 'ADDED' AS schema_change FROM s"""
+)
+def q_simulation_report(spark, sf):
+    """The KPI that the new version moves, the verdict, how many output rows change, and the change of the output's columns."""
+    targets = table(spark, sf, "supplier").groupBy((F.col("s_suppkey") % 3).cast("string").alias("form_id")).agg(F.count(F.lit(1)).alias("target_value"))
+    report = simulate(
+        FLAGSHIP, _next_version(), table(spark, sf, "lineitem"), ["p_brand", "sale_year"], None, tables={"part": table(spark, sf, "part")}, targets=targets
+    )
+    changed = report.rows.where("change = 'CHANGED'").agg(F.count(F.lit(1)).alias("n")).scalar()
+    schema = report.schema.agg(F.array_join(F.sort_array(F.collect_list("change")), ",").alias("c")).scalar()
+    moved = report.kpis.where("decision <> 'OK'").select("kpi_id", "previous", "current", "decision")
+    return rounded(moved.withColumns({"verdict": report.verdict.select("decision").scalar(), "rows_changed": changed, "schema_change": schema}), 6)
+
+
 _ORDER_KPIS = [
     {"id": "kpi_total", "label": "Total", "expression": "SUM(o_totalprice)", "format": {"pattern": "#,##0", "unit": "EUR", "decimals": 0},
      "target": {"source": "literal", "value": 5e9}},
@@ -357,9 +394,19 @@ def q_sample_boundary(spark, sf):
     return found.select("p_partkey", F.concat(F.array_join("boundary", ","), F.lit(",")).alias("boundary"))
 
 
-@query()
+@query("SELECT seed, least(1000, (SELECT count(*) FROM lineitem)) AS rows, least(1000, (SELECT count(*) FROM lineitem)) AS known, true AS repeatable FROM range(42, 46) t(seed)")
 def q_sample_random(spark, sf):
-    return sample.sample(table(spark, sf, "lineitem"), "RANDOM", 1000, 42)
+    """Per seed: size of the sample, how many of its rows are rows of the table, and whether dealing the table anew gives the same rows."""
+    rows = table(spark, sf, "lineitem")
+    out = None
+    for seed in range(42, 46):
+        picked = materialize(sample.sample(rows, "RANDOM", 1000, seed), "picked")
+        again = sample.sample(rows.repartition(5), "RANDOM", 1000, seed)
+        known = picked.join(rows, rows.columns, "left_semi").agg(F.count(F.lit(1))).scalar()
+        moved = picked.exceptAll(again).agg(F.count(F.lit(1))).scalar()
+        one = picked.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(seed).cast("bigint").alias("seed"), "rows", known.alias("known"), (moved == 0).alias("repeatable"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(
