@@ -35,14 +35,6 @@ def groups_fit(df: DataFrame, keys: Sequence[str], limit: int | None = None) ->
     return (counts.agg(F.max("n")).first()[0] or 0) <= limit
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """NULL-safe equality of the key columns of two frames."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[_q(k)].eqNullSafe(right[_q(k)])
-    return cond
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """NULL-safe join on equally named keys; the right side's copies are dropped."""
     renamed = right

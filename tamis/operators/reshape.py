@@ -55,9 +55,13 @@ def sort(df: DataFrame, order_by: Sequence) -> DataFrame:
 
 
 def page(df: DataFrame, order_by: Sequence, number: int = 1, size: int = 20) -> DataFrame:
-    """One page of a listing: number at least 1, size held between 1 and 100."""
+    """One page of a listing: number at least 1, size held between 1 and 100 (limits of the listing).
+
+    Equal rows follow a row hash, so pages never overlap. Pages up to the one asked for pass through
+    the last step, so deep listings should be narrowed by a filter on the order first.
+    """
     number, size = max(1, number), min(max(1, size), 100)
-    return df.orderBy(*ordering(order_by)).offset((number - 1) * size).limit(size)
+    return df.orderBy(*ordering(order_by), row_hash(hashable(df))).offset((number - 1) * size).limit(size)
 
 
 def top_n(df: DataFrame, order_by: Sequence, n: int) -> DataFrame:

@@ -41,11 +41,12 @@ def _unique_runs(spark, sf):
 
 @query(
     f"""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'ADDED' WHEN b.o_orderkey IS NULL THEN 'REMOVED'
-      WHEN a.o_orderstatus <> b.o_orderstatus OR abs(a.o_totalprice - b.o_totalprice) > abs(a.o_totalprice) * 0.0001 THEN 'CHANGED' ELSE 'SAME' END AS change
+      WHEN a.o_orderstatus <> b.o_orderstatus OR abs(a.o_totalprice - b.o_totalprice) > abs(a.o_totalprice) * 0.0001 THEN 'CHANGED' ELSE 'SAME' END AS change,
+      concat_ws(',', CASE WHEN a.o_orderstatus <> b.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN abs(a.o_totalprice - b.o_totalprice) > abs(a.o_totalprice) * 0.0001 THEN 'o_totalprice' END) AS changed
     FROM (SELECT DISTINCT * FROM {_OLD}) a FULL JOIN {_NEW} b ON a.o_orderkey = b.o_orderkey"""
 )
 def q_row_diff(spark, sf):
-    return compare.row_diff(*_unique_runs(spark, sf), ["o_orderkey"]).select("o_orderkey", "change")
+    return compare.row_diff(*_unique_runs(spark, sf), ["o_orderkey"]).select("o_orderkey", "change", F.array_join("changed", ",").alias("changed"))
 
 
 @query(
@@ -171,12 +172,16 @@ def q_chart_diff(spark, sf):
     return compare.chart_diff(*_chart_pair(spark, sf), "p_brand", "viz").drop("hash_before", "hash_after")
 
 
-@query("SELECT count(*) AS rows, true AS order_free FROM lineitem")
+@query("SELECT count(*) AS rows, true AS order_free, true AS sees_a_cell, true AS sees_a_copy FROM lineitem")
 def q_content_hash(spark, sf):
     rows = table(spark, sf, "lineitem")
     one = compare.content_hash(rows)
     other = compare.content_hash(rows.repartition(7)).select(F.col("digest").alias("d")).scalar()
-    return one.select("rows", (F.col("digest") == other).alias("order_free"))
+    digest = lambda df: compare.content_hash(df).select(F.col("digest").alias("d")).scalar()
+    first = rows.agg(F.min("l_orderkey")).scalar()
+    cell = digest(rows.withColumn("l_tax", F.when(F.col("l_orderkey") == first, F.col("l_tax") + 1).otherwise(F.col("l_tax"))))
+    copy = digest(rows.unionByName(rows.limit(1)))
+    return one.select("rows", (F.col("digest") == other).alias("order_free"), (F.col("digest") != cell).alias("sees_a_cell"), (F.col("digest") != copy).alias("sees_a_copy"))
 
 
 @query(
