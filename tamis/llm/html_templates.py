@@ -9,7 +9,8 @@ slot if all its occurrences lie there. What lies between backbone tokens are slo
 hosts without such elements, slots with more plain than linked words) carry the main text; template runs outside
 articles and everything in menus, headers, footers, sidebars, notices, adverts, forms and comments are left out.
 
-Defined results: NULL and empty pages have the text "". A host with fewer than three pages, or a page that lacks half
+Defined results: NULL and empty pages have the text "". If all runs of a page outside articles belong to the template,
+as where a host has copies of one page only, they are its text. A host with fewer than three pages, or a page that lacks half
 of its host's backbone, is one slot. A URL without a host belongs to the host "". Text without any tags is main text.
 Repeated pages are extracted each. A page that ends within a tag or element is read as far as it goes. An empty table
 gives an empty table. Other columns are not read.
@@ -176,14 +177,20 @@ def _main_text(html: str, backbone: list[int], nested: set[int], plain: set[int]
     inside = {s for e, s, d in zip(events, slots, data) if d and e.at.level == level} if level else None
     if inside is None and plain is not None and any(slots):
         inside = plain
-    out = []
-    for e, t, s in zip(events, tokens, slots):
-        if e.text is None:
-            if e.block:
-                out.append(" ")
-        elif not e.at.aside and e.at.level == level and (inside is None or s in inside) and (level or t not in template):
-            out.append(entities.unescape(e.text))
-    return " ".join("".join(out).split())
+    found = ""
+    # where all pages of a host are alike, nothing but template remains; then the page's own data are its text
+    for strict in (True, False):
+        out = []
+        for e, t, s in zip(events, tokens, slots):
+            if e.text is None:
+                if e.block:
+                    out.append(" ")
+            elif not e.at.aside and e.at.level == level and (not strict or ((inside is None or s in inside) and (level or t not in template))):
+                out.append(entities.unescape(e.text))
+        found = " ".join("".join(out).split())
+        if found:
+            break
+    return found
 
 
 def main_texts(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -31,6 +31,11 @@ def test_pages_without_articles(spark):
     assert got == {i: f"Own text n{i} of this page" for i in range(6)}
 
 
+def test_a_host_of_copies(spark):
+    pages = [page(i, "<html><body><nav>Menu</nav><div><p>One text</p><p>for all</p></div></body></html>") for i in range(5)]
+    assert dict(texts(spark, pages)) == {i: "One text for all" for i in range(5)}
+
+
 def test_odd_pages(spark):
     cut = SHELL.format(t="t", body="<article><p>Kept to the end")[: SHELL.format(t="t", body="<article><p>Kept to the end").index("to the end") + 10]
     pages = [
