@@ -183,6 +183,7 @@ def file_readers(spark: SparkSession, landing: str, schemas: Mapping[str, Schema
     def keyed(s: dict) -> DataFrame:
         return keyed_snapshots(spark.read.schema("key string, value string").json(f"{landing}/keys"), s["keyPattern"], known[s["keyPattern"]])
 
+    # The source types of a definition that land as files.
     return {
         "upload": lambda s: upload(spark, f"{landing}/{s['objectKey']}", s["format"], known.get(s["objectKey"])),
         "kobo": forms,
