@@ -209,7 +209,8 @@ def write_tokens(
     uri = folder if "://" in folder else (folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
     narrow = inputs(docs, key=key, text=text).select(F.col("key").cast("bigint").alias("key"), text_or_empty().alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = narrow.repartitionByRange(parts, F.asc_nulls_first("key")).sortWithinPartitions(F.asc_nulls_first("key"), F.xxhash64("text"))
+    order = [F.asc_nulls_first("key"), F.xxhash64("text").asc()]  # equal keys can be cut too
+    ordered = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
