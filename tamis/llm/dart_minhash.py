@@ -30,7 +30,7 @@ from tamis.llm.components import components
 from tamis.session import materialize
 
 COORDINATES, ROWS, SIMILARITY = 100, 5, 0.8
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 120_000
 
 
 def _node(text: str) -> bytes:

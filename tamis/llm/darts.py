@@ -13,7 +13,7 @@ import numpy as np
 import xxhash
 
 SHINGLE = 5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 class WordHash(dict):

@@ -26,7 +26,7 @@ from tamis.llm.common import inputs
 from tamis.llm.pretokens import PieceCache, pieces
 
 NEVER = np.int32(2**31 - 1)
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 class PairTable:

@@ -12,7 +12,8 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 # A space after white space may belong to a longer run; texts that have one are cut by the pattern alone.
 _ASCII_RUNS = tuple(c + " " for c in " \n\t\r\v\f\x1c\x1d\x1e\x1f")
 _OTHER_RUN = re.compile(r"[^\x00-\x7f\S] ")
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
+RECENT_WORDS = 250_000
 
 
 def has_runs(text: str) -> bool:
@@ -74,7 +75,7 @@ class PieceCache:
 class Recent(dict):
     """key -> ``make(key)``, remembered in two generations of bounded size, so that frequent keys stay."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int = CACHE_PIECES):
+    def __init__(self, make: Callable[[str], bytes], limit: int = RECENT_WORDS):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
