@@ -11,12 +11,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``BATCH_BYTES`` at most, however long its texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def inputs(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under the operator's own names.
 
     Other columns never meet an operator's internal names, so extra columns cannot clash.
     """
-    return docs.select(*[docs[source].alias(name) for name, source in columns.items()])
+    return bounded_batches(docs).select(*[docs[source].alias(name) for name, source in columns.items()])
 
 
 def text_or_empty(column: str = "text") -> Column:

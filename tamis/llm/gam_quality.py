@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import inputs
+from tamis.llm.common import bounded_batches, inputs
 
 MAX_ROWS = 20_000
 BINS, PAIR_BINS = 64, 12
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: Gam, *, key: str = "doc_id", text: str = "text
 
 def keep_good(docs: DataFrame, model: Gam, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` whose text scores ``threshold`` or more, all columns as they are."""
-    place = docs.columns.index(text)
+    place = bounded_batches(docs).columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from tamis.llm.common import arrow_schema, inputs, text_or_empty
+from tamis.llm.common import arrow_schema, bounded_batches, inputs, text_or_empty
 
 MIN_TILE, COVERAGE = 5, 0.6
 BLOCK_BYTES = 16_000_000
@@ -215,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Rows of ``docs`` that leak no item, all columns as they are."""
-    place = docs.columns.index(text)
+    place = bounded_batches(docs).columns.index(text)
     for items in blocks(benchmark, item=item, text=item_text):
 
         def scan(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
