@@ -5,8 +5,9 @@ coordinates give 20 bands of 5; two texts of weighted Jaccard similarity 0.8 sha
 Buckets of a band never give all their pairs. In rounds, each bucket that still holds several classes compares its
 members with its next leaders (1, then 2, 4, ...), the members that share most buckets with others; an exact check of
 both whole texts decides each link, and linked classes become one. A member that the leader does not match meets the
-next leaders, so texts that are joined by a chain of links come together. Rounds end when no bucket has members of
-different classes left to compare, or when four or more new leaders per bucket brought no link.
+next leaders, so texts that are joined by a chain of links come together. Buckets that still hold several classes after
+seven leaders are finished exactly: their members are joined by their rarest shingles (``_rest``), one of which any two
+texts of the wanted similarity share, so no pair of a bucket stays untested that could be a link.
 
 Defined results: words are compared in lower case, so texts with the same words are copies, whatever their white space;
 copies are grouped by a 128-bit hash before all else. NULL counts as empty; texts without words are copies of each
@@ -30,6 +31,7 @@ from tamis.llm.components import components
 from tamis.session import materialize
 
 COORDINATES, ROWS, SIMILARITY = 100, 5, 0.8
+LEADER_ROUNDS = 3
 BLOCK_WORDS = 120_000
 
 
@@ -86,6 +88,39 @@ def _exact(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(scan, "a binary, b binary")
 
 
+def _rest(still: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of nodes of different labels that may have a similarity of ``least`` or more.
+
+    Shingles have one order, rarest first, and x is the first that two texts have in common. Then all they share lies
+    from x on, so the weight from x on is in both at least the overlap that the similarity asks for. Shingles that
+    come later are no keys of the join, so what a whole bucket has in common makes no pairs.
+    """
+    nodes = still.select("node", "label").distinct()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = darts.WordHash()
+        for batch in batches:
+            for i, text in enumerate(batch.column(2)):
+                ids, counts = darts.shingles(text.as_py(), words)
+                row = pa.array(np.full(len(ids), i))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(ids.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(np.full(len(ids), int(counts.sum())))],
+                    ["node", "label", "token", "weight", "total"],
+                )
+
+    found = materialize(
+        nodes.join(texts, "node").select("node", "label", "text").mapInArrow(scan, "node binary, label binary, token bigint, weight bigint, total bigint"), "tokens"
+    )
+    often = found.groupBy("token").agg(F.count(F.lit(1)).alias("often"), (F.min("label") < F.max("label")).alias("mixed"))
+    ahead = F.sum("weight").over(Window.partitionBy("node").orderBy("often", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
+    keyed = found.join(often, "token").withColumn("onward", F.col("total") - ahead)
+    keyed = materialize(keyed.where(F.col("mixed") & (F.col("onward") >= least * F.col("total") - 1e-6)).select("token", "node", "label", "total", "onward"), "prefixes")
+    other = keyed.select("token", *[F.col(n).alias(f"{n}_b") for n in ("node", "label", "total", "onward")])
+    enough = F.least("onward", "onward_b") * (1 + least) >= (F.col("total") + F.col("total_b")) * least - 1e-6
+    pairs = keyed.join(other, (keyed["token"] == other["token"]) & (F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")) & enough)
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node, popularity) for buckets of several nodes; of buckets with the same nodes one stays."""
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -112,27 +147,27 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     found = rows_of.join(wanted.withColumnsRenamed({"key": "__key", "text_hash": "__hash"}), F.col("key").eqNullSafe(F.col("__key")) & (F.col("text_hash") == F.col("__hash")))
     texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
     tried, leaders, passed = None, 1, 0
-    while True:
+    for turn in range(LEADER_ROUNDS + 1):
         now = members.join(labels, "node")
         open_buckets = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         still = materialize(now.join(open_buckets, "bucket", "left_semi"), "open")
-        by_rank = Window.partitionBy("bucket").orderBy(F.desc("popularity"), "node")
-        first = still.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= passed + leaders).where(F.col("rank") > passed)
-        lead = first.select("bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-        pairs = still.join(lead, "bucket").where("label <> leader_label").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        if still.isEmpty():
+            break
+        if turn < LEADER_ROUNDS:
+            by_rank = Window.partitionBy("bucket").orderBy(F.desc("popularity"), "node")
+            first = still.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= passed + leaders).where(F.col("rank") > passed)
+            lead = first.select("bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+            pairs = still.join(lead, "bucket").where("label <> leader_label").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        else:
+            pairs = _rest(still, texts, similarity)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty() and still.isEmpty():
-            break
         links = materialize(_exact(pairs, texts, similarity), "links")
-        linked = not links.isEmpty()
-        if linked:
+        if not links.isEmpty():
             edges = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("u")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("v")), "b")
             roots = components(edges.select("u", "v")).select(F.col("node").alias("label"), F.col("label").alias("root"))
             labels = materialize(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        elif leaders >= 4:
-            break
         tried = pairs if tried is None else tried.unionByName(pairs)
         passed, leaders = passed + leaders, leaders * 2
     labelled = signed.select("key", "text_hash", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

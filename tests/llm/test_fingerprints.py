@@ -98,6 +98,20 @@ def test_large_group_of_chained_copies(spark):
     assert got == classes_by_force(dict(enumerate(texts)))
 
 
+def test_copies_among_alike_texts(spark):
+    """Buckets of texts of similarity 0.79, all unlike; in each family two late ones are near copies all the same."""
+    texts = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(180)]
+        tails = [[f"f{family}t{k}x{j}" for j in range(24)] for k in range(60)]
+        tails[-1][:2] = tails[-2][:2]
+        texts += [" ".join(base + tail) for tail in tails]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["key"]: r["class_id"] for r in dart_minhash.near_classes(df).collect()}
+    want = classes_by_force(dict(enumerate(texts)))
+    assert got == want and len(set(want.values())) == len(texts) - 4
+
+
 def test_odd_near_duplicates(odd, none):
     rows = dart_minhash.near_classes(odd).collect()
     assert len(rows) == odd.count()
