@@ -173,9 +173,20 @@ def _library_encoder(tokenizer: str, id_bytes: int) -> Callable[[str], bytes]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(tokenizer: str, id_bytes: int) -> TextEncoder:
-    """Lives as long as the Python worker, so tasks share what it remembers."""
-    return TextEncoder(_library_encoder(tokenizer, id_bytes))
+def _encoder(tokenizer: str, id_bytes: int) -> Callable[[str], bytes]:
+    """Lives as long as the Python worker, so tasks share what it remembers.
+
+    The library takes added tokens out of a text before its pattern; texts that may hold one go to the library whole.
+    """
+    tok, plain = _tokenizer(tokenizer), TextEncoder(_library_encoder(tokenizer, id_bytes))
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> bytes:
+        if any(t in text for t in added):
+            return np.array(tok.encode(text, add_special_tokens=False).ids, f"<u{id_bytes}").tobytes()
+        return plain(text)
+
+    return encode
 
 
 def _store(folder: str, name: str, data: bytes) -> None:

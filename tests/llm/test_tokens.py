@@ -91,6 +91,14 @@ def test_files(odd, none, small, spark, sf):
     assert elias_fano.read_tokens(*elias_fano.write_tokens(none, JSON, end_id=2)).collect() == []
 
 
+def test_added_tokens_in_texts():
+    tok = Tokenizer.from_file(JSON)
+    encode = elias_fano._encoder(JSON, 2)
+    mark = "<|endoftext|>"
+    for text in (f"foo {mark} bar", mark, f"{mark}{mark}", f" {mark}", f"a{mark} b\n\n{mark}", f"{mark[:-1]} {mark[1:]}", "<|endof text|>", "no mark"):
+        assert np.frombuffer(encode(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_one_document_by_select():
     ids = [np.arange(n, dtype="<u2").tobytes() for n in (3, 0, 5)]
     file = elias_fano.TokenFile(elias_fano.pack([None, 4, 9], ids, 2))
