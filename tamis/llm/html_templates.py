@@ -5,11 +5,12 @@ element tree. Over all pages of a host, tokens with the same occurrence vector (
 equivalence class; vectors are compared by a sum of hashes, which partial aggregation merges, so no host's pages meet
 in one task. Classes of at least three tokens on at least half of the host's pages are large enough. The widest class
 that each page has once is the host's backbone; a class is valid if its tokens keep one order, and nests in a backbone
-slot if all its occurrences lie there. What lies between backbone tokens are slots. Slots inside an article (or, for
-hosts without such elements, slots with more plain than linked words) carry the main text; template runs outside
-articles and everything in menus, headers, footers, sidebars, notices, adverts, forms and comments are left out.
+slot if all its occurrences lie there. What lies between backbone tokens are slots. The runs of articles (or, for
+pages without such elements, of slots with more plain than linked words) carry the main text. Template runs are left
+out, in articles those that fill a whole block, such as share lines, unless they have half of the article's words; so
+is everything in menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
-Defined results: NULL and empty pages have the text "". If all runs of a page outside articles belong to the template,
+Defined results: NULL and empty pages have the text "". If all runs of a page belong to the template,
 as where a host has copies of one page only, they are its text. A host with fewer than three pages, or a page that lacks half
 of its host's backbone, is one slot. A URL without a host belongs to the host "". Text without any tags is main text.
 Repeated pages are extracted each. A page that ends within a tag or element is read as far as it goes. An empty table
@@ -173,19 +174,22 @@ def _main_text(html: str, backbone: list[int], nested: set[int], plain: set[int]
     template = {*backbone, *nested}
     data = [e.text is not None and not e.at.aside and not e.text.isspace() for e in events]
     level = max((e.at.level for e, d in zip(events, data) if d), default=0)
-    # a slot is of the article if its data lie in one; hosts without articles have their plain slots
-    inside = {s for e, s, d in zip(events, slots, data) if d and e.at.level == level} if level else None
-    if inside is None and plain is not None and any(slots):
-        inside = plain
+    # articles rank first, whatever slot they lie in; pages without them have their plain slots
+    inside = plain if not level and any(slots) else None
+    framed = _frame(events, tokens, template, level) if level else template
     found = ""
     # where all pages of a host are alike, nothing but template remains; then the page's own data are its text
     for strict in (True, False):
         out = []
-        for e, t, s in zip(events, tokens, slots):
+        for i, (e, t, s) in enumerate(zip(events, tokens, slots)):
             if e.text is None:
                 if e.block:
                     out.append(" ")
-            elif not e.at.aside and e.at.level == level and (not strict or ((inside is None or s in inside) and (level or t not in template))):
+            elif e.at.aside or e.at.level != level:
+                continue
+            elif e.text.isspace():
+                out.append(e.text)
+            elif not strict or ((inside is None or s in inside) and (i if level else t) not in framed):
                 out.append(entities.unescape(e.text))
         found = " ".join("".join(out).split())
         if found:
@@ -193,6 +197,24 @@ def _main_text(html: str, backbone: list[int], nested: set[int], plain: set[int]
     return found
 
 
+def _frame(events: list[markup.Event], tokens: list[int | None], template: set[int], level: int) -> set[int]:
+    """Places of an article's template runs: those of blocks that hold nothing else, as a repeated run within a sentence is its part.
+
+    None if they have half of the article's words or more; then the pages are copies of an article rather than framed.
+    """
+    blocks: list[list[int]] = [[]]
+    for i, e in enumerate(events):
+        if e.text is None:
+            if e.block and e.name not in ("<br>", "</br>"):
+                blocks.append([])
+        elif not e.at.aside and e.at.level == level and not e.text.isspace():
+            blocks[-1].append(i)
+    framed = [i for own in blocks if all(tokens[i] in template for i in own) for i in own]
+    if 2 * sum(_words(events[i]) for i in framed) >= sum(_words(events[i]) for own in blocks for i in own):
+        return set()
+    return set(framed)
+
+
 def main_texts(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: key, url, text."""
     work = _pages(pages, key, url, html)

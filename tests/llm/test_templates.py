@@ -31,6 +31,15 @@ def test_pages_without_articles(spark):
     assert got == {i: f"Own text n{i} of this page" for i in range(6)}
 
 
+def test_template_runs_in_articles(spark):
+    """No class or tag tells the share line and the note; a repeated run within a paragraph stays."""
+    body = "<article><div>Share this page with others</div><p>Own words {i} of a longer text <b>and</b> <i>more</i> {i}</p><div><span>Published by</span> <b>us</b></div></article>"
+    pages = [page(i, SHELL.format(t=f"t{i}", body=body.format(i=f"n{i}"))) for i in range(6)]
+    assert dict(texts(spark, pages)) == {i: f"Own words n{i} of a longer text and more n{i}" for i in range(6)}
+    copies = [page(i, SHELL.format(t=f"t{i}", body=f"<article><p>One long text that all pages have</p><p>Date {i}</p></article>")) for i in range(6)]
+    assert dict(texts(spark, copies)) == {i: f"One long text that all pages have Date {i}" for i in range(6)}
+
+
 def test_a_host_of_copies(spark):
     pages = [page(i, "<html><body><nav>Menu</nav><div><p>One text</p><p>for all</p></div></body></html>") for i in range(5)]
     assert dict(texts(spark, pages)) == {i: "One text for all" for i in range(5)}
