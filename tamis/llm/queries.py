@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import dart_minhash, elias_fano, gam_quality, html_templates, kd_shards, matrix_bpe, oph_fingerprint, site_spread, tiling, unit_dedup
+from tamis.llm import dart_minhash, elias_fano, gam_quality, html_templates, kd_shards, matrix_bpe, oph_fingerprint, site_spread, tiling, turn_repair, unit_dedup, whitening
 from tamis.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,30 @@ def op10_matrix_bpe(spark, sf_dir):
     """Ids of every document by the matrix encoder, and the bytes that they decode to."""
     coded = matrix_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
     return coded.withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op11_turn_repair(spark, sf_dir):
+    """Faults, cheapest repair and digest of the repaired turns of every conversation, after known damage."""
+    rows = turn_repair.damaged(turn_repair.turns(table(spark, sf_dir, "conversations")))
+    found, mended = turn_repair.repair(rows)
+    digests = turn_repair.digests(mended).withColumnRenamed("key", "same")
+    joined = found.join(digests, F.col("key").eqNullSafe(F.col("same")))
+    return joined.select(F.col("key").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.col("sha256").alias("repaired_sha256"))
+
+
+@query()
+def op12_whitening(spark, sf_dir):
+    """Every usable embedding whitened along up to 16 components, one row each."""
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    shares = F.lit([float(v / model.trace) for v in model.values]) if len(model.values) else F.lit(None).cast("array<double>")
+    placed = rows.select("key", "n", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return placed.select(
+        F.col("key").alias("vec_id"),
+        (F.col("place") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.element_at(shares, F.col("place") + 1).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
