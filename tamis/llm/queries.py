@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import dart_minhash, elias_fano, gam_quality, html_templates, kd_shards, matrix_bpe, oph_fingerprint, site_spread, tiling, turn_repair, unit_dedup, whitening
+from tamis.llm import dart_minhash, elias_fano, gam_quality, html_templates, kd_shards, matrix_bpe, multiprobe, oph_fingerprint, site_spread, tiling, turn_repair, unit_dedup, whitening
 from tamis.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +160,10 @@ def op12_whitening(spark, sf_dir):
         F.element_at(shares, F.col("place") + 1).alias("explained"),
         F.lit(model.identity_error).alias("identity_error"),
     )
+
+
+@query()
+def op13_multiprobe(spark, sf_dir):
+    """The 20 nearest rows of every twentieth embedding, by largest inner product."""
+    found = multiprobe.nearest(table(spark, sf_dir, "embeddings"), F.col("key") % 20 == 0)
+    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("found").alias("vec_id"), "score")

@@ -130,21 +130,18 @@ def by_lengths(initials: list[str], faults: list[int]) -> tuple[int, str]:
     """(cost, audit) of the cheapest repair, ties to the ASCII-least audit, over all feasible target lengths."""
     n = len(initials)
     table = _table(initials, faults, _greedy_cost(initials, faults))
-    found = [(table[0][k], _trace(initials, faults, table, k, None), k) for k in table[0] if k % 2 == 0 and table[0][k] <= _least(table)]
-    for k in sorted({k for row in table for k in row if k and k % 2 == 0}):
+    least = min(v for k, v in table[0].items() if k % 2 == 0)
+    found = [(v, _trace(initials, faults, table, k, None)) for k, v in table[0].items() if k % 2 == 0 and v == least]
+    for k in sorted({k for row in table for k in row if k and k % 2 == 0}) if "s" in initials else ():
         lead = [FAR] * (n + 1)
         for i in range(n - 1, -1, -1):
             stays, more = _step_costs(initials[i], faults[i])
             keep = table[i + 1].get(k, FAR) + more if stays and initials[i] == "s" else FAR
             lead[i] = min(lead[i + 1] + DELETE, keep)
-        if n and lead[0] <= min(x[0] for x in found):
-            found.append((lead[0], _trace(initials, faults, table, k, lead), k))
-    cost, audit, _ = min(found)
-    return cost, audit
-
-
-def _least(table: list[dict[int, int]]) -> int:
-    return min(v for k, v in table[0].items() if k % 2 == 0)
+        if lead[0] <= least:
+            least = lead[0]
+            found.append((lead[0], _trace(initials, faults, table, k, lead)))
+    return min(found)
 
 
 def by_phases(initials: list[str], faults: list[int]) -> tuple[int, str]:

@@ -162,6 +162,8 @@ def fit(rows: DataFrame, length: int, components: int = COMPONENTS) -> Model:
     some = values > 16 * length * jacobi_davidson.EPS * max(values[0], 0.0)
     values, vectors = values[some], vectors[:, some]
     count = len(values)
+    if not count:
+        return Model(length, n, sums, values, vectors, trace, 0.0)
 
     def moments(x: np.ndarray) -> np.ndarray:
         w = _centre(x, n, sums)[0] @ vectors / np.sqrt(values)
