@@ -70,14 +70,22 @@ def prefix_sum(
     if not sliced:
         win = Window.partitionBy(*[col(k) for k in keys]).orderBy(*ordering(order_by))
         return df.withColumn(alias, F.sum(weight).over(win.rowsBetween(Window.unboundedPreceding, 0)))
-    work, sums = _slices(df.withColumn("__w", weight), keys, order_by, {"sum": F.sum("__w")}, unique)
-    local = Window.partitionBy(*[col(k) for k in keys], SLICE).orderBy(*ordering(order_by), SPREAD)
-    running = work.withColumn(
-        "__local", F.sum("__w").over(local.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    carried = join_on(running, F.broadcast(_carry(sums, keys, F.sum("sum"))), [*keys, SLICE])
-    total = F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))
-    return carried.withColumn(alias, total).drop("__local", "__before", "__w", SLICE, SPREAD)
+    return _sliced_sums(df, keys, order_by, {alias: weight}, unique)
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order_by: Sequence, weights: dict[str, Column], unique: bool = False) -> DataFrame:
+    """Several prefix sums over one cut into range slices."""
+    return _sliced_sums(df, list(keys), order_by, weights, unique)
+
+
+def _sliced_sums(df: DataFrame, keys: list[str], order_by: Sequence, weights: dict[str, Column], unique: bool) -> DataFrame:
+    inputs = {f"__w{i}": w for i, w in enumerate(weights.values())}
+    work, sums = _slices(df.withColumns(inputs), keys, order_by, {w: F.sum(w) for w in inputs}, unique)
+    local = Window.partitionBy(*[col(k) for k in keys], SLICE).orderBy(*ordering(order_by), SPREAD).rowsBetween(Window.unboundedPreceding, 0)
+    running = work.withColumns({f"{w}l": F.sum(w).over(local) for w in inputs})
+    carried = join_on(running, F.broadcast(_carry(sums, keys, {f"{w}b": F.sum(w) for w in inputs})), [*keys, SLICE])
+    totals = {alias: F.col(f"{w}l") + F.coalesce(F.col(f"{w}b"), F.lit(0)) for alias, w in zip(weights, inputs)}
+    return carried.withColumns(totals).drop(*[w + x for w in inputs for x in ("", "l", "b")], SLICE, SPREAD)
 
 
 def running_extreme(
@@ -90,7 +98,7 @@ def running_extreme(
     work, parts = _slices(df.withColumn("__w", value), keys, order_by, {"ext": agg("__w")}, unique)
     local = Window.partitionBy(*[col(k) for k in keys], SLICE).orderBy(*ordering(order_by), SPREAD)
     running = work.withColumn("__local", agg("__w").over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    carried = join_on(running, F.broadcast(_carry(parts, keys, agg("ext"))), [*keys, SLICE])
+    carried = join_on(running, F.broadcast(_carry(parts, keys, {"__before": agg("ext")})), [*keys, SLICE])
     return carried.withColumn(alias, pick("__local", "__before")).drop(
         "__local", "__before", "__w", SLICE, SPREAD
     )
@@ -118,17 +126,12 @@ def _slices(
     return stored, sums
 
 
-def _carry(sums: DataFrame, keys: list[str], total: Column) -> DataFrame:
-    """Per (keys, slice) that has earlier slices: their total. At most one row per slice."""
-    earlier = (
-        Window.partitionBy(*[col(k) for k in keys])
-        .orderBy(SLICE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    spans = sums.withColumn("__before", total.over(earlier)).withColumn(
-        "__nth", F.row_number().over(Window.partitionBy(*[col(k) for k in keys]).orderBy(SLICE))
-    )
-    return spans.where(F.col("__nth") > 1).select(*[col(k) for k in keys], SLICE, "__before")
+def _carry(sums: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Per (keys, slice) that has earlier slices: their totals. At most one row per slice."""
+    in_order = Window.partitionBy(*[col(k) for k in keys]).orderBy(SLICE)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    spans = sums.withColumns({name: total.over(earlier) for name, total in totals.items()}).withColumn("__nth", F.row_number().over(in_order))
+    return spans.where(F.col("__nth") > 1).select(*[col(k) for k in keys], SLICE, *totals)
 
 
 def number_rows(

@@ -15,6 +15,7 @@ from tamis.operators.ordered import (
     join_on,
     number_rows,
     prefix_sum,
+    prefix_sums,
     running_extreme,
     top_per_group,
     value_ranks,
@@ -216,14 +217,19 @@ def _spread(df, alias, kind, keys, order, source, offset, default, buckets, fram
         if by_rows:
             return _running(work, alias, kind, keys, order, src).drop("__in")
         return _running_peers(work, alias, kind, keys, order, src).drop("__in")
-    if not by_rows:
-        return _value_range(work, alias, kind, keys, order, src, start, end)
     finite = start > Window.unboundedPreceding and end < Window.unboundedFollowing
+    if not by_rows:
+        if finite and kind in ("MIN", "MAX"):
+            return _value_range(work, alias, kind, keys, order, src, start, end)
+        found = _range_frame(work, alias, kind, keys, order, src, start, end)
+        return found if found is None else found.drop("__in")
     if finite and start <= end:
         return _halo(work, alias, kind, keys, order, src, start, end).drop("__in")
     if kind in FRAMED and not finite:
         return _half_open(work, alias, kind, keys, order, src, start, end).drop("__in")
-    return None
+    if not finite:
+        return _edge_row(work, alias, kind, keys, order, src, start, end).drop("__in")
+    return work.withColumn(alias, F.lit(0).cast("bigint") if kind == "COUNT" else F.lit(None).cast(dict(work.dtypes)[src])).drop("__in")
 
 
 def _attach(df: DataFrame, one_per_group: DataFrame, keys: list[str], alias: str) -> DataFrame:
@@ -296,8 +302,134 @@ def _half_open(df, alias, kind, keys, order, src, start: int, end: int) -> DataF
     return join_on(asked, at, [*keys, "__at"]).withColumn(alias, value).drop("__rn", "__all", "__at", "__run")
 
 
+def _edge_row(df, alias, kind, keys, order, src, start: int, end: int) -> DataFrame:
+    """FIRST or LAST over a ROWS frame with one open side: the value of the row whose number is the frame's bound.
+
+    At the open side that is the group's first or last row, if the frame has any row at all.
+    """
+    numbered = number_rows(df, keys, order, "__rn", True)
+    size = numbered.groupBy(*[col(k) for k in keys]).agg(F.max("__rn").alias("__all"))
+    numbered = join_on(numbered, size, keys) if keys else numbered.withColumn("__all", size.scalar())
+    numbered = materialize(numbered, "numbered")
+    first = F.lit(1).cast("bigint") if start == Window.unboundedPreceding else F.greatest(F.lit(1), F.col("__rn") + start)
+    last = F.col("__all") if end == Window.unboundedFollowing else F.least("__all", F.col("__rn") + end)
+    at = F.when(first <= last, first if kind == "FIRST_VALUE" else last)
+    wanted = numbered.select(*[col(k) for k in keys], F.col("__rn").alias("__at"), col(src).alias("__edge"))
+    found = join_on(numbered.withColumn("__at", at), wanted, [*keys, "__at"])
+    return found.withColumn(alias, F.col("__edge")).drop("__rn", "__all", "__at", "__edge")
+
+
+def _range_frame(df, alias, kind, keys, order, src, start: int, end: int) -> DataFrame | None:
+    """RANGE frame over one numeric order column, whatever its width and density.
+
+    Rows of one value are combined first. Each value then asks twice, at its two bounds, among the values themselves: in
+    the order of values and asks, the running totals at an ask hold all values on one side of that bound. The running
+    totals come from slices cut by rows, so a dense field is spread like any other. A sum over the frame is the
+    difference of two totals, which is exact: integers and decimals by type, doubles by ``_exact_parts``.
+    """
+    fields = order_fields(order)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if len(fields) != 1 or not isinstance(kinds[fields[0]], NumericType):
+        return None
+    open_start, open_end = start == Window.unboundedPreceding, end == Window.unboundedFollowing
+    if not open_start and not open_end and start > end:
+        return df.withColumn(alias, F.lit(0).cast("bigint") if kind == "COUNT" else F.lit(None).cast(dict(df.dtypes)[src]))
+    falling = not isinstance(order[0], str) and (order[0]["direction"] if isinstance(order[0], dict) else order[0][1]).upper() == "DESC"
+    if kind in EDGES:
+        peers = list(dict.fromkeys([*keys, *fields]))
+        pick = F.min_by if kind == "FIRST_VALUE" else F.max_by
+        parts = df.withColumn("__tie", row_hash(hashable(df))).groupBy(*[col(p) for p in peers]).agg(pick(col(src), "__tie").alias("__x"), F.lit(1).cast("bigint").alias("__one"))
+    else:
+        parts, peers = _peer_parts(df, kind, keys, order, src)
+    place = -col(fields[0]) if falling else col(fields[0])
+    parts = materialize(parts.withColumn("__p", place).withColumn("__nul", F.col("__p").isNull().cast("int")), "values")
+    if kind in EDGES:
+        sums = {"one": F.col("__one")}
+    elif kind in ("MIN", "MAX"):
+        sums = {}
+    else:
+        sums = {"k": F.col("__k"), **(_exact_parts(parts) if kind != "COUNT" else {})}
+    weighed = parts.withColumns({f"__v_{n}": w for n, w in sums.items()})
+    names = [f"__v_{n}" for n in sums] if sums else ["__x"]
+    shift = {0: start, 2: end}  # asks just before and just after the values of their bound
+    wanted = [side for side in (0, 2) if not (open_start if side == 0 else open_end)]
+    asked = weighed.select(*[col(k) for k in keys], "__p", "__nul", F.lit(1).alias("__side"), F.col("__p").alias("__own"), *names)
+    for side in wanted:
+        kindred = dict(weighed.dtypes)
+        ask = weighed.select(
+            *[col(k) for k in keys], (F.col("__p") + F.lit(shift[side])).cast(kindred["__p"]).alias("__p"), "__nul", F.lit(side).alias("__side"), F.col("__p").alias("__own"),
+            *[F.lit(None if n == "__x" else 0).cast(kindred[n]).alias(n) for n in names],
+        )
+        asked = asked.unionByName(ask)
+    forward = [("__nul", "ASC"), ("__p", "ASC"), ("__side", "ASC")]
+    own = [*keys, "__own"]
+    if not sums:
+        by = [(n, "DESC") for n, _ in forward] if open_end else forward
+        got = running_extreme(asked, keys, by, F.col("__x"), "__found", kind == "MAX", unique=True).where(F.col("__side") != 1)
+        values = join_on(parts.withColumn("__own", F.col("__p")), got.select(*[col(k) for k in own], "__found"), own)
+        return join_on(df, values.select(*[col(p) for p in peers], F.col("__found").alias(alias)), peers)
+    got = materialize(prefix_sums(asked, keys, forward, {f"__t{n}": F.col(n) for n in names}, unique=True), "totals")
+    zero = lambda n: F.lit(0).cast(dict(got.dtypes)[n])
+    at = {side: {n: F.max(F.when(F.col("__side") == side, F.col(f"__t{n}"))) for n in names} for side in wanted}
+    flat = got.groupBy(*[col(k) for k in own]).agg(*[c.alias(f"__{side}{n}") for side in wanted for n, c in at[side].items()], F.max(F.when(F.col("__side") == 1, F.col(f"__t{names[0]}"))).alias("__nth"))
+    if open_end:
+        whole = weighed.groupBy(*[col(k) for k in keys]).agg(*[F.sum(n).alias(f"__2{n}") for n in names])
+        flat = join_on(flat, whole, keys) if keys else flat.join(F.broadcast(whole))
+    low = lambda n: zero(f"__t{n}") if open_start else F.col(f"__0{n}")
+    if kind in EDGES:
+        n = names[0]
+        index = F.when(low(n) < F.col(f"__2{n}"), low(n) + 1 if kind == "FIRST_VALUE" else F.col(f"__2{n}"))
+        flat = flat.withColumn("__want", index.cast("bigint"))
+        values = join_on(parts.withColumn("__own", F.col("__p")), flat.select(*[col(k) for k in own], "__want", "__nth"), own)
+        values = materialize(values, "indexed")
+        chosen = values.select(*[col(k) for k in keys], F.col("__nth").cast("bigint").alias("__want"), F.col("__x").alias("__found"))
+        found = join_on(values.select(*[col(p) for p in peers], "__want"), chosen, [*keys, "__want"])
+        return join_on(df, found.select(*[col(p) for p in peers], F.col("__found").alias(alias)), peers)
+    inside = {n: F.col(f"__2{n}") - low(n) for n in names}
+    result = flat.withColumn("__seen", inside["__v_k"].cast("bigint"))
+    if kind != "COUNT":
+        result = result.withColumn("__sum", _joined_parts({n[4:]: c for n, c in inside.items()}))
+    result = result.withColumn(alias, _from_sums(kind))
+    values = join_on(parts.withColumn("__own", F.col("__p")), result.select(*[col(k) for k in own], alias), own)
+    return join_on(df, values.select(*[col(p) for p in peers], alias), peers)
+
+
+def _exact_parts(parts: DataFrame) -> dict[str, Column]:
+    """Weights whose running totals are exact and can be subtracted, from the column ``__s``.
+
+    A double is cut into a multiple of a step so coarse that no total of such multiples is rounded, and a small rest;
+    values that are not finite are counted, since they would swallow the totals after them.
+    """
+    kind = dict(parts.dtypes)["__s"]
+    s = F.col("__s")
+    if kind not in ("double", "float"):
+        return {"exact": F.coalesce(s, F.lit(0)).cast("decimal(38,0)" if not kind.startswith("decimal") else kind)}
+    s = s.cast("double")
+    finite = s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))
+    # all totals stay under 2^52 steps
+    most = parts.where(finite).agg(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.max(F.abs(s)), F.lit(1e-250)))) + F.ceil(F.log2(F.count(F.lit(1)) + 1)) - 52).alias("step"))
+    step = F.coalesce(most.scalar(), F.lit(1.0))
+    coarse = F.when(finite, F.rint(s / step) * step).otherwise(0.0)
+    count = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
+    return {
+        "coarse": coarse,
+        "rest": F.when(finite, s - coarse).otherwise(0.0),
+        "nan": count(F.isnan(s)),
+        "up": count(s == float("inf")),
+        "down": count(s == float("-inf")),
+    }
+
+
+def _joined_parts(inside: dict[str, Column]) -> Column:
+    if "exact" in inside:
+        return inside["exact"]
+    up, down = inside["up"] > 0, inside["down"] > 0
+    odd = F.when((inside["nan"] > 0) | (up & down), F.lit(float("nan"))).when(up, F.lit(float("inf"))).when(down, F.lit(float("-inf")))
+    return F.coalesce(odd, inside["coarse"] + inside["rest"])
+
+
 def _value_range(df, alias, kind, keys, order, src, start: int, end: int) -> DataFrame | None:
-    """RANGE frame of finite width over one numeric order column.
+    """MIN or MAX over a RANGE frame of finite width over one numeric order column.
 
     Ties are combined first; then values are cut into stretches several frames wide, each with
     copies of its neighbours' edges, and a stretch is the window's partition.
@@ -305,7 +437,7 @@ def _value_range(df, alias, kind, keys, order, src, start: int, end: int) -> Dat
     finite = start > Window.unboundedPreceding and end < Window.unboundedFollowing
     fields = order_fields(order)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    if kind not in FRAMED or not finite or start > end or len(fields) != 1 or not isinstance(kinds[fields[0]], NumericType):
+    if not finite or start > end or len(fields) != 1 or not isinstance(kinds[fields[0]], NumericType):
         return None
     parts, peers = _peer_parts(df, kind, keys, order, src)
     falling = not isinstance(order[0], str) and (order[0]["direction"] if isinstance(order[0], dict) else order[0][1]).upper() == "DESC"
@@ -327,11 +459,7 @@ def _value_range(df, alias, kind, keys, order, src, start: int, end: int) -> Dat
         ),
     )
     win = Window.partitionBy(*[col(k) for k in keys], F.col("__c.to")).orderBy(F.col("__p").asc_nulls_last()).rangeBetween(start, end)
-    if kind in ("MIN", "MAX"):
-        found = copies.withColumn(alias, FRAMED[kind]("__x").over(win))
-    else:
-        seen = F.coalesce(F.sum("__k").over(win), F.lit(0).cast("bigint"))
-        found = copies.withColumn("__sum", F.sum("__s").over(win)).withColumn("__seen", seen).withColumn(alias, _from_sums(kind))
+    found = copies.withColumn(alias, FRAMED[kind]("__x").over(win))
     own = found.where(F.col("__c.own")).select(*[col(p) for p in peers], alias)
     return join_on(df, own, peers).drop("__in")
 

@@ -333,6 +333,35 @@ def q_frame_range_spread(spark, sf):
     return window.window(table(spark, sf, "part"), "v", "MAX", ["p_type"], ["p_size"], "p_retailprice", frame=frame, sliced=True).select("p_partkey", "v")
 
 
+@query(
+    """SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS near, count(*) OVER w AS n, round(sum(o_totalprice) OVER
+      (PARTITION BY o_orderpriority ORDER BY o_totalprice RANGE BETWEEN UNBOUNDED PRECEDING AND 1000 PRECEDING), 2) AS below FROM orders
+    WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice RANGE BETWEEN 50000 PRECEDING AND 50000 FOLLOWING)"""
+)
+def q_frame_range_dense(spark, sf):
+    """Frames that hold a large part of a dense field."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    wide = {"kind": "RANGE", "start": "50000 PRECEDING", "end": "50000 FOLLOWING"}
+    below = {"kind": "RANGE", "start": "UNBOUNDED PRECEDING", "end": "1000 PRECEDING"}
+    for alias, function, frame in (("near", "SUM", wide), ("n", "COUNT", wide), ("below", "SUM", below)):
+        rows = window.window(rows, alias, function, ["o_orderpriority"], ["o_totalprice"], "o_totalprice", frame=frame, sliced=True)
+    return rows.select("o_orderkey", F.round("near", 2).alias("near"), "n", F.round("below", 2).alias("below"))
+
+
+@query(
+    """SELECT event_id, first_value(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND UNBOUNDED FOLLOWING) AS a,
+      last_value(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 4 FOLLOWING) AS b,
+      last_value(user_id) OVER (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN 9 PRECEDING AND 2 FOLLOWING) AS c FROM events"""
+)
+def q_edges_spread(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "event_type", "ts", "value", "user_id")
+    order = ["ts", "event_id"]
+    rows = window.window(rows, "a", "FIRST_VALUE", ["event_type"], order, "value", frame={"start": "3 PRECEDING", "end": "UNBOUNDED FOLLOWING"}, sliced=True)
+    rows = window.window(rows, "b", "LAST_VALUE", ["event_type"], order, "value", frame={"start": "UNBOUNDED PRECEDING", "end": "4 FOLLOWING"}, sliced=True)
+    near = {"kind": "RANGE", "start": "9 PRECEDING", "end": "2 FOLLOWING"}
+    return window.window(rows, "c", "LAST_VALUE", ["event_type"], ["event_id"], "user_id", frame=near, sliced=True).select("event_id", "a", "b", "c")
+
+
 @query(
     """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS q2
     FROM lineitem GROUP BY l_returnflag"""

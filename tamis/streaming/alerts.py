@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,16 +14,16 @@ from pyspark.sql import types as T
 
 from tamis.functions.scalars import col
 from tamis.operators.ordered import prefix_sum
+from tamis.streaming.measures import seconds, windowed
 
 HOLD = "5 minutes"
+ALERT = "key string, since timestamp, fired_at timestamp"
 
 
 def evaluations(
     df: DataFrame, time_field: str, keys: Sequence[str], condition: Column, interval: str = "30 seconds", lateness: str | None = None
 ) -> DataFrame:
     """One row per key and interval: did the condition occur? Bounds the rows a key sends on."""
-    from tamis.streaming.measures import windowed
-
     return windowed(df, time_field, keys, {"active": F.bool_or(condition)}, interval, None, lateness)
 
 
@@ -90,3 +92,71 @@ def held_alerts_batch(rows: DataFrame, key: str, time_field: str, active: str, h
         F.unix_micros("at") - F.unix_micros("since") >= F.lit(hold_seconds * 1_000_000)
     )
     return late.groupBy("key", "run").agg(F.first("since").alias("since"), F.min("at").alias("fired_at")).drop("run")
+
+
+def partial_evaluations(events: DataFrame, key: str, time_field: str, condition: Column, interval: str) -> DataFrame:
+    """(key, start_us, active, latest): events of a task combined by key and interval, before any shuffle.
+
+    A key that sends very many events reaches its state as one row per task and interval. ``latest`` is the newest
+    event time of a row, for the watermark.
+    """
+    us = F.unix_micros(col(time_field))
+    width = int(seconds(interval) * 1_000_000)
+    fed = events.where(us.isNotNull()).select(
+        col(key).cast("string").alias("key"), (us - F.pmod(us, F.lit(width))).alias("start_us"), F.coalesce(condition, F.lit(False)).alias("active"), us.alias("us")
+    )
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by(["key", "start_us"]).aggregate([("active", "max"), ("us", "max")])
+            yield from found.select(["key", "start_us", "active_max", "us_max"]).rename_columns(["key", "start_us", "active", "us"]).to_batches()
+
+    return fed.mapInArrow(combine, "key string, start_us bigint, active boolean, us bigint").select("key", "start_us", "active", F.timestamp_micros("us").alias("latest"))
+
+
+def live_held_alerts(
+    events: DataFrame, key: str, time_field: str, condition: Column, interval: str = "30 seconds", hold: str = HOLD, lateness: str = "10 minutes", idle: str = "1 day"
+) -> DataFrame:
+    """Stream of ``(key, since, fired_at)`` straight from raw events, in one stateful step.
+
+    An interval of a key is evaluated when the watermark has passed its end, so events may come in any order within
+    ``lateness``; until then it waits in the state, and an event-time timer wakes a key that gets no more events. The
+    alert fires once the condition held at each evaluation for ``hold``, and is re-armed by an evaluation without it or
+    by a pause of more than ``idle`` between evaluations. After such a pause the state of a key is removed, so keys
+    that are gone leave nothing behind.
+    """
+    width, hold_us, idle_us = (int(seconds(x) * 1_000_000) for x in (interval, hold, idle))
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since, fired, last, waiting = state.get if state.exists else (-1, False, -1, "{}")
+        open_at = {int(k): v for k, v in json.loads(waiting).items()}
+        if not state.hasTimedOut:
+            for batch in batches:
+                for start, active in zip(batch["start_us"], batch["active"]):
+                    open_at[int(start)] = bool(active) or open_at.get(int(start), False)
+        passed = state.getCurrentWatermarkMs() * 1000
+        fires = []
+        for at in sorted(t for t in open_at if t + width <= passed):
+            active = open_at.pop(at)
+            if last >= 0 and at - last > idle_us:
+                since, fired = -1, False
+            last = at
+            if not active:
+                since, fired = -1, False
+                continue
+            since = at if since < 0 else since
+            if not fired and at - since >= hold_us:
+                fired = True
+                fires.append((since, at))
+        wake = min(open_at) + width if open_at else last + width + idle_us
+        if wake <= passed:
+            state.remove()
+        else:
+            state.update((since, fired, last, json.dumps(open_at)))
+            state.setTimeoutTimestamp(-(-wake // 1000))
+        if fires:
+            yield pd.DataFrame({"key": [name[0]] * len(fires), "since": pd.to_datetime([f[0] for f in fires], unit="us"), "fired_at": pd.to_datetime([f[1] for f in fires], unit="us")})
+
+    parts = partial_evaluations(events, key, time_field, condition, interval).withWatermark("latest", lateness)
+    kept = "since bigint, fired boolean, last bigint, waiting string"
+    return parts.groupBy("key").applyInPandasWithState(step, ALERT, kept, "append", GroupStateTimeout.EventTimeTimeout)

@@ -58,7 +58,7 @@ def windowed(
     )
 
 
-def _seconds(width: str) -> float:
+def seconds(width: str) -> float:
     count, unit = width.split()
     return float(count) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
@@ -66,7 +66,7 @@ def _seconds(width: str) -> float:
 def rate(df: DataFrame, time_field: str, keys: Sequence[str], width: str = RATE_WINDOW, slide: str | None = EVALUATION, lateness: str | None = "10 minutes") -> DataFrame:
     """Events per second over a sliding window."""
     out = windowed(df, time_field, keys, {"events": F.count(F.lit(1))}, width, slide, lateness)
-    return out.withColumn("per_second", F.col("events") / _seconds(width))
+    return out.withColumn("per_second", F.col("events") / seconds(width))
 
 
 def quantile_5m(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tamis.functions.scalars import col
+from tamis.plans import workflow
 from tamis.session import scratch_path
 from tamis.sinks.outputs import as_messages, refresh_interval
 
@@ -72,3 +73,20 @@ def publish_stream(df: DataFrame, servers: str, topic: str, checkpoint: str, key
     """Send a stream of rows to a topic of a Kafka-compatible broker."""
     writer = as_messages(df, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def run_scheduled(
+    definition: Mapping, arrivals: DataFrame, base: str, checkpoint: str, tables: Mapping[str, DataFrame] | None = None, refresh_sec: int | None = None
+) -> StreamingQuery:
+    """Run a definition on what arrives, as its ``schedule`` says; each run writes ``base/epoch=``.
+
+    A manual or cron schedule takes what has arrived since the last run and ends; an event schedule goes on and runs
+    for every micro-batch. A repeated run replaces its own result, so none counts twice after a restart.
+    """
+
+    def once(batch: DataFrame, epoch: int) -> None:
+        workflow.run(definition, source=batch, tables=tables).output.write.mode("overwrite").parquet(f"{base}/epoch={epoch}")
+
+    schedule = definition["spec"].get("schedule")
+    writer = arrivals.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger_of(schedule, refresh_sec)).start()

@@ -1,5 +1,6 @@
 """The forms that spread a hot group over tasks equal the plain ones."""
 
+import math
 import random
 
 import numpy as np
@@ -220,13 +221,12 @@ def test_spread_half_open_frames(hot, function, start, end):
 
 
 @pytest.mark.parametrize("function", ["SUM", "AVG", "MAX", "COUNT"])
-@pytest.mark.parametrize("order", [["o"], [("o", "DESC")]])
-@pytest.mark.parametrize("start,end", [("3 PRECEDING", "CURRENT ROW"), ("2 PRECEDING", "5 FOLLOWING"), ("1 FOLLOWING", "2 FOLLOWING")])
+@pytest.mark.parametrize("order,start,end", [(["o"], "3 PRECEDING", "CURRENT ROW"), ([("o", "DESC")], "2 PRECEDING", "5 FOLLOWING"), (["o"], "1 FOLLOWING", "2 FOLLOWING")])
 def test_spread_value_ranges(hot, function, order, start, end):
     frame = {"kind": "RANGE", "start": start, "end": end}
     args = dict(alias="w", function=function, partition_by=["k"], order_by=order, field="v", frame=frame)
     spread, plain = window.window(hot, sliced=True, **args), window.window(hot, sliced=False, **args)
-    assert "__c" in spread._jdf.queryExecution().analyzed().toString()
+    assert ("__c" if function == "MAX" else "__own") in spread._jdf.queryExecution().analyzed().toString()
     same(spread, plain)
 
 
@@ -244,3 +244,64 @@ def test_forms_agree_on_ties_types_and_nulls(spark, function, frame):
     assert plain.schema["w"].dataType == spread.schema["w"].dataType
     columns = ["k", "o", "v", "id", "w"]
     assert sorted(map(str, plain.select(columns).collect())) == sorted(map(str, spread.select(columns).collect()))
+
+
+EDGE_FRAMES = [("UNBOUNDED PRECEDING", "3 FOLLOWING"), ("UNBOUNDED PRECEDING", "2 PRECEDING"), ("CURRENT ROW", "UNBOUNDED FOLLOWING"), ("2 PRECEDING", "UNBOUNDED FOLLOWING"), ("4 FOLLOWING", "UNBOUNDED FOLLOWING")]
+
+
+@pytest.mark.parametrize("function,start,end", [(("FIRST_VALUE", "LAST_VALUE")[i % 2], *f) for i, f in enumerate(EDGE_FRAMES)])
+def test_spread_edges_of_half_open_frames(hot, function, start, end):
+    args = dict(alias="w", function=function, partition_by=["k"], order_by=TOTAL, field="v", frame={"kind": "ROWS", "start": start, "end": end})
+    spread = window.window(hot, sliced=True, **args)
+    assert "__rn" in spread._jdf.queryExecution().analyzed().toString()
+    same(spread, window.window(hot, sliced=False, **args))
+
+
+@pytest.mark.parametrize(
+    "function,order,start,end",
+    [("SUM", ["o"], *EDGE_FRAMES[0]), ("AVG", [("o", "DESC")], *EDGE_FRAMES[3]), ("MIN", ["o"], *EDGE_FRAMES[1]), ("MAX", [("o", "DESC")], *EDGE_FRAMES[4]), ("COUNT", ["o"], *EDGE_FRAMES[4])],
+)
+def test_spread_half_open_value_ranges(hot, function, order, start, end):
+    args = dict(alias="w", function=function, partition_by=["k"], order_by=order, field="v", frame={"kind": "RANGE", "start": start, "end": end})
+    spread = window.window(hot, sliced=True, **args)
+    assert "__own" in spread._jdf.queryExecution().analyzed().toString()
+    same(spread, window.window(hot, sliced=False, **args))
+
+
+@pytest.mark.parametrize("function,start,end", [("FIRST_VALUE", *EDGE_FRAMES[3]), ("LAST_VALUE", *EDGE_FRAMES[1]), ("FIRST_VALUE", "2 PRECEDING", "1 FOLLOWING"), ("LAST_VALUE", "1 FOLLOWING", "3 FOLLOWING")])
+def test_spread_edges_of_value_ranges(hot, function, start, end):
+    args = dict(alias="w", function=function, partition_by=["k"], order_by=["o"], field="o", frame={"kind": "RANGE", "start": start, "end": end})
+    same(window.window(hot, sliced=True, **args), window.window(hot, sliced=False, **args))
+
+
+@pytest.mark.parametrize("start,end", [("3 FOLLOWING", "1 FOLLOWING"), ("1 PRECEDING", "2 PRECEDING")])
+def test_empty_frames(hot, start, end):
+    for kind in ("ROWS", "RANGE"):
+        for function, want in (("SUM", None), ("COUNT", 0), ("LAST_VALUE", None)):
+            args = dict(alias="w", function=function, partition_by=["k"], order_by=["o"], field="v", frame={"kind": kind, "start": start, "end": end})
+            assert {r.w for r in window.window(hot, sliced=True, **args).collect()} == {want}
+
+
+def test_wide_frame_over_a_dense_field_runs_in_many_tasks(spark):
+    df = spark.range(4000).select(F.lit("k").alias("k"), (F.col("id") / 4000).alias("o"), F.col("id").cast("double").alias("v"), F.col("id").alias("id"))
+    frame = {"kind": "RANGE", "start": "3 PRECEDING", "end": "3 FOLLOWING"}
+    out = window.window(df, "w", "SUM", ["k"], ["o"], "v", frame=frame, sliced=True)
+    assert {r.w for r in out.collect()} == {4000 * 3999 / 2}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition" not in plan.split("totals")[0] or "__slice" in plan
+
+
+def test_double_sums_over_ranges_are_as_exact_as_plain_ones(spark):
+    rng = np.random.default_rng(1)
+    values = [float(v) * 10.0 ** float(e) for v, e in zip(rng.normal(size=300), rng.integers(-8, 9, 300))]
+    values[40], values[90], values[91], values[200] = float("nan"), float("inf"), float("-inf"), None
+    df = spark.createDataFrame([(i, i // 2, v) for i, v in enumerate(values)], "id int, o int, v double")
+    got = window.window(df, "w", "SUM", [], ["o"], "v", frame={"kind": "RANGE", "start": "5 PRECEDING", "end": "5 FOLLOWING"}, sliced=True)
+    for r in got.collect():
+        inside = [v for i, v in enumerate(values) if abs(i // 2 - r.o) <= 5 and v is not None]
+        odd = [v for v in inside if not np.isfinite(v)]
+        if odd:
+            want = sum(odd)
+            assert (np.isnan(r.w) and np.isnan(want)) or r.w == want
+        else:
+            assert r.w == pytest.approx(math.fsum(inside), rel=1e-12, abs=1e-9)
