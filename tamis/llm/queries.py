@@ -101,20 +101,26 @@ def op7_dart_minhash(spark, sf_dir):
 
 @query(
     r"""
-    WITH cut AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-    numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS nth FROM cut),
-    placed AS (SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM numbered),
-    plain AS (SELECT doc_id, coalesce(ahead, 0) AS s, coalesce(ahead, 0) + length(line) AS e,
-                     trim(regexp_replace(lower(line), '[ \t\r\f\v]+', ' ', 'g')) AS unit FROM placed),
-    units AS (SELECT * FROM plain WHERE length(unit) - length(replace(unit, ' ', '')) >= 49),
-    ranked AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(s) OVER w AS kept_start, row_number() OVER w AS nth,
-                      count(*) OVER (PARTITION BY unit) AS copies
-               FROM units WINDOW w AS (PARTITION BY unit ORDER BY doc_id, s))
-    SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", kept_doc_id, CAST(kept_start AS BIGINT) AS kept_start, copies, md5(unit) AS digest FROM ranked WHERE nth > 1
+    WITH cut AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS parts FROM documents WHERE text IS NOT NULL),
+    numbered AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS place FROM cut),
+    laid AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
+                    trim(regexp_replace(lower(part), '[ \t\r\f\v\n]+', ' ', 'g')) AS unit FROM numbered),
+    units AS (SELECT doc_id, unit, row_number() OVER w AS nth, ahead + length(part) - length(ltrim(part, e' \t\r\f\v\n')) AS s, ahead + length(rtrim(part, e' \t\r\f\v\n')) AS e,
+                     length(unit) - length(replace(unit, ' ', '')) + 1 AS words FROM laid WHERE unit <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+    beside AS (SELECT *, coalesce(lag(words) OVER w, 0) AS words_before, coalesce(lead(words) OVER w, 0) AS words_after FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY nth)),
+    ranked AS (SELECT *, first_value(doc_id) OVER w AS kept_doc, first_value(s) OVER w AS kept_s, first_value(nth) OVER w AS kept_nth, row_number() OVER w > 1 AS loses,
+                      count(*) OVER (PARTITION BY unit) AS copies FROM beside WINDOW w AS (PARTITION BY unit ORDER BY doc_id, s)),
+    again AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM ranked WHERE copies > 1),
+    measured AS (SELECT *, sum(words) OVER r + arg_min(words_before, nth) OVER r + arg_max(words_after, nth) OVER r AS long,
+                        sum(CASE WHEN loses THEN words ELSE 0 END) OVER (PARTITION BY doc_id, run, kept_doc, kept_nth - nth) AS same
+                 FROM again WINDOW r AS (PARTITION BY doc_id, run)),
+    judged AS (SELECT *, max(same) OVER (PARTITION BY doc_id, run) AS in_order FROM measured)
+    SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", kept_doc AS kept_doc_id, CAST(kept_s AS BIGINT) AS kept_start, copies, md5(unit) AS digest
+    FROM judged WHERE loses AND long >= 50 AND in_order >= 15
     """
 )
 def op8_unit_dedup(spark, sf_dir):
-    """Every line of 50 words or more that an earlier document or line already has, with its original offsets."""
+    """Every sentence or line end of a repeated run that an earlier place already has, with its original offsets."""
     spans = unit_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     return spans.select(
         F.col("key").alias("doc_id"), "start", "end", F.col("kept_key").alias("kept_doc_id"), "kept_start", "copies", F.lower(F.hex("digest")).alias("digest")

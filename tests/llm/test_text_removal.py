@@ -38,17 +38,65 @@ def test_spread_near_the_threshold(spark):
 
 def test_units(odd, none):
     spans = unit_dedup.repeated_spans(odd)
-    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
-    got = [(r["key"], r["kept_key"], texts[r["key"]][r["start"] : r["end"]].lower(), texts[7][r["kept_start"] :].split("\n")[0]) for r in spans.collect()]
-    assert got == [(8, 7, PASSAGE, PASSAGE)]
+    texts = defaultdict(list)
+    for r in odd.collect():
+        texts[r["doc_id"]].append(r["text"])
+    got = [(r["key"], r["kept_key"], r["start"], r["end"], r["kept_start"]) for r in spans.collect() if r["key"] == 8]
+    assert got == [(8, 7, len("Own start.\n"), len(texts[8][0]), 0)]
     cut = {r["doc_id"]: (r["text"], r["removed_spans"]) for r in unit_dedup.remove_spans(odd, spans).collect()}
     assert cut[8][0] == "Own start.\n" and cut[8][1][0]["start"] == len("Own start.\n") and cut[6] == (LONG, None) and cut[2] == (None, None)
     assert unit_dedup.repeated_spans(none).collect() == []
+    assert unit_dedup.remove_spans(odd, spans).columns == [*odd.columns, "removed_spans"]
+
+
+def test_spans_keep_to_their_text(spark):
+    passage = ". ".join(f"alpha beta gamma delta{i}" for i in range(20)) + "."
+    docs = spark.createDataFrame([(1, passage), (2, "Own words first. " + passage), (2, "Another text of the same id, " * 5)], "doc_id int, text string")
+    out = sorted(r["text"] for r in unit_dedup.remove_spans(docs, unit_dedup.repeated_spans(docs)).where("doc_id = 2").collect())
+    assert out[0] == "Another text of the same id, " * 5 and out[1].replace(" ", "") == "Ownwordsfirst."
 
 
-def test_paragraph_units():
+def test_units_of_each_kind():
     text = "a b\nc d\n\n \nE  f\n\ng"
-    assert list(unit_dedup.cut(text, "paragraph", 2)) == [(0, 7, "a b c d"), (11, 15, "e f")]
+    assert list(unit_dedup.cut(text, "paragraph")) == [(0, 7, "a b c d"), (11, 15, "e f"), (17, 18, "g")]
+    assert list(unit_dedup.cut(" a b\n\nC. d", "line")) == [(1, 4, "a b"), (6, 10, "c. d")]
+    assert list(unit_dedup.cut("A b. c?!d\n . ", "sentence")) == [(0, 4, "a b."), (5, 8, "c?!"), (8, 9, "d"), (11, 12, ".")]
+
+
+def spans_by_force(docs):
+    """Runs of repeated units, document by document, as the docstring says."""
+    cut = {k: list(unit_dedup.cut(t, "sentence")) for k, t in docs}
+    first, count = {}, Counter()
+    for k in sorted(cut):
+        for nth, (start, _, plain) in enumerate(cut[k]):
+            first.setdefault(plain, (k, start, nth))
+            count[plain] += 1
+    out = set()
+    for k, own in cut.items():
+        at = 0
+        while at < len(own):
+            end = at
+            while end < len(own) and count[own[end][2]] > 1:
+                end += 1
+            if end > at:
+                words = [len(p.split()) for _, _, p in own]
+                same = Counter()
+                for i in range(at, end):
+                    if first[own[i][2]] != (k, own[i][0], i):
+                        same[first[own[i][2]][0], first[own[i][2]][2] - i] += words[i]
+                if sum(words[max(0, at - 1) : end + 1]) >= 50 and max(same.values(), default=0) >= 15:
+                    out |= {(k, *own[i][:2], *first[own[i][2]][:2]) for i in range(at, end) if first[own[i][2]] != (k, own[i][0], i)}
+            at = max(end, at + 1)
+    return out
+
+
+def test_runs_against_brute_force(spark, small):
+    rng = np.random.default_rng(6)
+    pool = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"], rng.integers(1, 9))) + "." for _ in range(60)]
+    docs = [(int(k), " ".join(pool[i] for i in np.concatenate([np.arange(a, a + rng.integers(1, 15)) % 60 for a in rng.integers(0, 60, 4)]))) for k in range(80)]
+    docs += [(1000 + int(k), t) for k, t in zip(small.doc_id, small.text)]
+    got = unit_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(r["key"], r["start"], r["end"], r["kept_key"], r["kept_start"]) for r in got} == spans_by_force(docs) and got
 
 
 def tiles_by_force(item, text, least):
