@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.llm import darts
-from tamis.llm.common import inputs, text_or_empty
+from tamis.llm.common import frugal, hidden, inputs, text_or_empty
 from tamis.llm.components import components
 from tamis.session import materialize
 
@@ -66,7 +66,7 @@ def sign(docs: DataFrame, *, key: str = "doc_id", text: str = "text", coordinate
                     ["key", "text_hash", "node", "bands"],
                 )
 
-    return narrow.mapInArrow(scan, f"key {kind}, text_hash bigint, node binary, bands array<bigint>")
+    return narrow.mapInArrow(frugal(scan), f"key {kind}, text_hash bigint, node binary, bands array<bigint>")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -85,7 +85,7 @@ def _exact(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return both.mapInArrow(scan, "a binary, b binary")
+    return both.mapInArrow(frugal(scan), "a binary, b binary")
 
 
 def _rest(still: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -109,7 +109,7 @@ def _rest(still: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 )
 
     found = materialize(
-        nodes.join(texts, "node").select("node", "label", "text").mapInArrow(scan, "node binary, label binary, token bigint, weight bigint, total bigint"), "tokens"
+        nodes.join(texts, "node").select("node", "label", "text").mapInArrow(frugal(scan), "node binary, label binary, token bigint, weight bigint, total bigint"), "tokens"
     )
     often = found.groupBy("token").agg(F.count(F.lit(1)).alias("often"), (F.min("label") < F.max("label")).alias("mixed"))
     ahead = F.sum("weight").over(Window.partitionBy("node").orderBy("often", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
@@ -142,9 +142,10 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     nodes = materialize(nodes, "nodes")
     members = _buckets(nodes)
     labels = materialize(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    own = hidden("key", "hash")
     wanted = nodes.join(labels.select("node"), "node", "left_semi").select("node", F.col("at.key").alias("key"), F.col("at.text_hash").alias("text_hash"))
     rows_of = inputs(docs, key=key, text=text).select("key", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    found = rows_of.join(wanted.withColumnsRenamed({"key": "__key", "text_hash": "__hash"}), F.col("key").eqNullSafe(F.col("__key")) & (F.col("text_hash") == F.col("__hash")))
+    found = rows_of.join(wanted.withColumnsRenamed({"key": own["key"], "text_hash": own["hash"]}), F.col("key").eqNullSafe(F.col(own["key"])) & (F.col("text_hash") == F.col(own["hash"])))
     texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
     tried, leaders, passed = None, 1, 0
     for turn in range(LEADER_ROUNDS + 1):
@@ -184,10 +185,11 @@ def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("text_hash").alias("text_hash"))
     kept = found.groupBy("label").agg(F.min(order).alias("kept"))
     marked = found.join(kept, "label").withColumn("stays", order.eqNullSafe(F.col("kept")))
-    names = {"key": "__key", "text_hash": "__hash"}
+    own = hidden("key", "hash")
+    names = {"key": own["key"], "text_hash": own["hash"]}
     gone = marked.where("NOT stays").select("key", "text_hash").distinct().withColumnsRenamed(names)
     twice = materialize(marked.where("stays").groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").withColumnsRenamed(names), "twice")
-    same = lambda other: docs[key].eqNullSafe(other["__key"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == other["__hash"])
+    same = lambda other: docs[key].eqNullSafe(other[own["key"]]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == other[own["hash"]])
     rest = docs.join(gone, same(gone), "left_anti")
     if twice.isEmpty():
         return rest

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.common import inputs, text_or_empty
+from tamis.llm.common import frugal, inputs, text_or_empty
 from tamis.llm.pretokens import TextEncoder
 from tamis.session import materialize, scratch_path
 
@@ -97,11 +97,9 @@ class EliasFano:
 
     def get(self, i: int) -> int:
         upper = self.select(i) - i
-        value = 0
-        for k in range(self.width):
-            bit = i * self.width + k
-            value |= ((int(self.low[bit >> 3]) >> (bit & 7)) & 1) << k
-        return (upper << self.width) | value
+        bit = i * self.width
+        held = int.from_bytes(self.low[bit >> 3 : (bit + self.width + 7) >> 3].tobytes(), "little") >> (bit & 7)
+        return (upper << self.width) | (held & ((1 << self.width) - 1))
 
     def all(self) -> np.ndarray:
         """All numbers as int64."""
@@ -147,6 +145,9 @@ class TokenFile:
         return self.ids[self.ends.get(i) : self.ends.get(i + 1)]
 
 
+BULK_WORDS, TEXTS_AT_ONCE, READ_ROWS = 400, 256, 1024
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -172,19 +173,38 @@ def _library_encoder(tokenizer: str, id_bytes: int) -> Callable[[str], bytes]:
     return encode
 
 
+def _bulk_encoder(tokenizer: str, id_bytes: int) -> Callable[[list[str]], list[bytes]]:
+    """Ids of many words of letters, each after a space, by one call of the library for a few hundred of them."""
+    tok, one = _tokenizer(tokenizer), _library_encoder(tokenizer, id_bytes)
+
+    def encode(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        groups = [words[i : i + BULK_WORDS] for i in range(0, len(words), BULK_WORDS)]
+        for group, found in zip(groups, tok.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids, of = np.array(found.ids, f"<u{id_bytes}").tobytes(), np.array(found.word_ids, np.int64)
+            starts = np.flatnonzero(np.diff(of, prepend=-1)) * id_bytes
+            if len(starts) == len(group):
+                out += [ids[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)])]
+            else:
+                out += [one(" " + w) for w in group]
+        return out
+
+    return encode
+
+
 @lru_cache(maxsize=2)
-def _encoder(tokenizer: str, id_bytes: int) -> Callable[[str], bytes]:
+def _encoder(tokenizer: str, id_bytes: int) -> Callable[[list[str]], list[bytes]]:
     """Lives as long as the Python worker, so tasks share what it remembers.
 
     The library takes added tokens out of a text before its pattern; texts that may hold one go to the library whole.
     """
-    tok, plain = _tokenizer(tokenizer), TextEncoder(_library_encoder(tokenizer, id_bytes))
+    tok, plain = _tokenizer(tokenizer), TextEncoder(_library_encoder(tokenizer, id_bytes), _bulk_encoder(tokenizer, id_bytes))
     added = [t.content for t in tok.get_added_tokens_decoder().values()]
 
-    def encode(text: str) -> bytes:
-        if any(t in text for t in added):
-            return np.array(tok.encode(text, add_special_tokens=False).ids, f"<u{id_bytes}").tobytes()
-        return plain(text)
+    def encode(texts: list[str]) -> list[bytes]:
+        whole = [any(t in text for t in added) for text in texts]
+        rest = iter(plain.encode([t for t, w in zip(texts, whole) if not w]))
+        return [np.array(tok.encode(t, add_special_tokens=False).ids, f"<u{id_bytes}").tobytes() if w else next(rest) for t, w in zip(texts, whole)]
 
     return encode
 
@@ -243,13 +263,15 @@ def write_tokens(
             nth, keys, ids, size = nth + 1, [], [], 0
 
         for batch in batches:
-            for k, t in zip(batch.column(0), batch.column(1)):
-                own = encoded(t.as_py()) + end
-                if keys and size + len(own) > file_bytes:
-                    flush()
-                keys.append(k.as_py())
-                ids.append(own)
-                size += len(own)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                for k, own in zip(some.column(0).to_pylist(), encoded(some.column(1).to_pylist())):
+                    own += end
+                    if keys and size + len(own) > file_bytes:
+                        flush()
+                    keys.append(k)
+                    ids.append(own)
+                    size += len(own)
         if keys:
             flush()
         yield pa.RecordBatch.from_arrays(
@@ -257,7 +279,7 @@ def write_tokens(
             ["file", "part", "nth", "documents", "tokens"],
         )
 
-    manifest = ordered.mapInArrow(write, "file string, part int, nth int, documents bigint, tokens bigint")
+    manifest = ordered.mapInArrow(frugal(write), "file string, part int, nth int, documents bigint, tokens bigint")
     return materialize(manifest, "manifest"), folder
 
 
@@ -282,15 +304,20 @@ def read_tokens(manifest: DataFrame, folder: str, *, with_ids: bool = True) -> D
         for batch in batches:
             for name, blob in zip(batch.column(0), batch.column(1)):
                 file = TokenFile(blob.as_py())
-                ends = file.ends.all()
-                ids = [file.ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(file.ids.astype(np.int32)))] if with_ids else []
-                columns = [pa.array([name.as_py()] * len(file)), pa.array(file.keys(), pa.int64()), pa.array(ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), *lists]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                keys = file.keys()
+                for low in range(0, len(file), READ_ROWS):
+                    # each document's bounds come from selects; only those of a few documents are held at once
+                    high = min(low + READ_ROWS, len(file))
+                    bounds = [file.ends.get(i) for i in range(low, high + 1)]
+                    own = [file.ids[a:b] for a, b in zip(bounds, bounds[1:])]
+                    crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in own]
+                    offsets = np.array(bounds, np.int64)
+                    lists = [pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(file.ids[bounds[0] : bounds[-1]].astype(np.int32)))] if with_ids else []
+                    columns = [pa.array([name.as_py()] * len(own)), pa.array(keys[low:high], pa.int64()), pa.array(offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64()), *lists]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["file", "key", "within", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
     kinds = ["string", "bigint", "bigint", "bigint", "bigint", *(["array<int>"] if with_ids else [])]
-    found = blobs.mapInArrow(read, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    found = blobs.mapInArrow(frugal(read), ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
     placed = found.join(file_starts(manifest), "file").withColumn("start", F.col("within") + F.col("first_token"))
     return placed.select("key", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

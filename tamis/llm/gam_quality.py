@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bounded_batches, inputs
+from tamis.llm.common import bounded_batches, frugal, inputs
 
 MAX_ROWS = 20_000
 BINS, PAIR_BINS = 64, 12
@@ -238,7 +238,7 @@ def _measure(df: DataFrame, text: str, *others: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x[:, k]) for k in range(len(FEATURES))]], [*batch.schema.names, *FEATURES])
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
-    return df.mapInArrow(scan, kinds + ", " + ", ".join(f"{n} double" for n in FEATURES))
+    return df.mapInArrow(frugal(scan), kinds + ", " + ", ".join(f"{n} double" for n in FEATURES))
 
 
 def score(docs: DataFrame, model: Gam, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,7 +249,7 @@ def score(docs: DataFrame, model: Gam, *, key: str = "doc_id", text: str = "text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], ["key", "score"])
 
-    return narrow.mapInArrow(scan, f"key {dict(narrow.dtypes)['key']}, score double")
+    return narrow.mapInArrow(frugal(scan), f"key {dict(narrow.dtypes)['key']}, score double")
 
 
 def keep_good(docs: DataFrame, model: Gam, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -261,4 +261,4 @@ def keep_good(docs: DataFrame, model: Gam, *, text: str = "text", threshold: flo
             good = model.score(_matrix(batch.column(place))) >= threshold
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(frugal(scan), docs.schema)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tamis.llm.common import inputs
+from tamis.llm.common import frugal, inputs
 from tamis.llm.pretokens import PieceCache, pieces
 
 NEVER = np.int32(2**31 - 1)
@@ -190,4 +190,4 @@ def encode_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: s
 
     names = ["key", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
     kinds = [kind, "bigint", *(["array<int>"] if with_ids else []), "string", "string"]
-    return narrow.mapInArrow(scan, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    return narrow.mapInArrow(frugal(scan), ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))

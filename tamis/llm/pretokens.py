@@ -12,8 +12,11 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 # A space after white space may belong to a longer run; texts that have one are cut by the pattern alone.
 _ASCII_RUNS = tuple(c + " " for c in " \n\t\r\v\f\x1c\x1d\x1e\x1f")
 _OTHER_RUN = re.compile(r"[^\x00-\x7f\S] ")
+# What is remembered is bounded in bytes: so many pieces, none of them longer than this; longer ones are encoded anew.
 CACHE_PIECES = 100_000
 RECENT_WORDS = 250_000
+LONGEST_KEPT = 64
+GROUP_CHARS = 1_000_000
 
 
 def has_runs(text: str) -> bool:
@@ -52,8 +55,12 @@ class PieceCache:
         self.encode, self.join = encode, join
         self.known: dict[str, object] = {}
         self.older: dict[str, object] = {}
+        self.long: list[str] = []
 
     def learn(self, cut: Iterable[list[str]]) -> None:
+        """Make all pieces of ``cut`` known; long ones are known until the next call only."""
+        for piece in self.long:
+            del self.known[piece]
         if len(self.known) > CACHE_PIECES:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -63,6 +70,7 @@ class PieceCache:
                 known[piece] = older[piece]
             else:
                 missing.append(piece)
+        self.long = [p for p in missing if len(p) > LONGEST_KEPT]
         if not missing:
             return
         found = [matches(p) if p else [] for p in missing]
@@ -83,31 +91,64 @@ class Recent(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 class TextEncoder:
-    """A text's ids as bytes, from a function that encodes one match of the pattern.
+    """Texts' ids as bytes, from a function that encodes one match of the pattern and one that encodes many words.
 
-    In a text without runs of white space each word after a space is encoded once with its space.
+    In a text without runs of white space each word after a space is encoded once with its space. Words of letters that
+    a group of texts has and that are not known yet go to ``bulk`` at once, which gets them without their spaces.
     """
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, encode: Callable[[str], bytes], bulk: Callable[[list[str]], list[bytes]]):
         self.matches = Recent(encode)
         self.words = Recent(self._word)
+        self.bulk = bulk
 
     def _word(self, word: str) -> bytes:
         if word[-1:] in (".", ",") and word[:-1].isalpha():
             return self.words[word[:-1]] + self.matches[word[-1]]
+        if "\n" in word:
+            # a line break between other characters is a match of its own
+            first, *rest = word.split("\n")
+            if first and not first[-1].isspace() and all(x and not x[0].isspace() and not x[-1].isspace() for x in rest):
+                return self.words[first] + b"".join([self.matches["\n"] + self._plain(x) for x in rest])
         found = matches(" " + word)
         return self.matches.make(found[0]) if len(found) == 1 else b"".join(map(self.matches.__getitem__, found))
 
-    def __call__(self, text: str) -> bytes:
-        if has_runs(text):
-            return b"".join(map(self.matches.__getitem__, PATTERN.findall(text)))
-        first, *rest = text.split(" ")
-        return b"".join([*map(self.matches.__getitem__, PATTERN.findall(first)), *map(self.words.__getitem__, rest)])
+    def _plain(self, part: str) -> bytes:
+        return b"".join(map(self.matches.__getitem__, matches(part)))
+
+    def _learn(self, cut: list[list[str]]) -> None:
+        fresh = set().union(*cut).difference(self.words)
+        bare = {w[:-1] if w[-1:] in (".", ",") else w for w in fresh}
+        simple = [w for w in bare if w.isalpha() and len(w) <= LONGEST_KEPT and w not in self.words and w not in self.words.older]
+        for word, ids in zip(simple, self.bulk(simple)):
+            self.words.put(word, ids)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= GROUP_CHARS):
+                chars += len(texts[end])
+                end += 1
+            cut = [None if has_runs(t) else t.split(" ") for t in texts[at:end]]
+            self._learn([c[1:] for c in cut if c])
+            for text, parts in zip(texts[at:end], cut):
+                if parts is None:
+                    out.append(b"".join(map(self.matches.__getitem__, PATTERN.findall(text))))
+                else:
+                    out.append(b"".join([*map(self.matches.__getitem__, PATTERN.findall(parts[0])), *map(self.words.__getitem__, parts[1:])]))
+            at = end
+        return out

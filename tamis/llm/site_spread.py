@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import inputs, text_or_empty
+from tamis.llm.common import hidden, inputs, text_or_empty
 from tamis.session import materialize
 
 MIN_SITES = 10
@@ -78,20 +78,21 @@ def drop_boilerplate(
 
     With ``report`` two columns come last: lines_before, and removed_lines (positions from 0).
     """
-    found = lines(docs, key=key, text=text, site=site)
+    found = materialize(lines(docs, key=key, text=text, site=site), "lines")
     marked = materialize(boilerplate(found, min_sites=min_sites, lg_k=lg_k), "boilerplate")
+    own = hidden("key", "hash", "removed", "lines", "text_hash", "null")
     removed = (
         found.join(marked, ["h1", "h2"], "left_semi")
-        .groupBy(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))
-        .agg(F.array_sort(F.collect_set("position")).alias("__removed"))
+        .groupBy(F.col("key").alias(own["key"]), F.col("text_hash").alias(own["hash"]))
+        .agg(F.array_sort(F.collect_set("position")).alias(own["removed"]))
     )
     # lines travel as an array, so that taking them by position below does not split the text again
-    work = docs.withColumns({"__lines": F.split(text_or_empty(text), "\n"), "__text_hash": F.xxhash64(text_or_empty(text)), "__null": F.col(text).isNull()}).drop(text)
-    joined = work.join(removed, work[key].eqNullSafe(removed["__key"]) & (F.col("__text_hash") == F.col("__hash")), "left")
-    nothing = F.col("__removed").isNull()
-    count = F.size("__lines")
-    staying = F.array_except(F.sequence(F.lit(0), count - 1), F.col("__removed"))
-    kept = F.when(nothing, F.col("__lines")).otherwise(F.transform(staying, lambda i: F.get(F.col("__lines"), i)))
-    columns = [F.col(c) if c != text else F.when(F.col("__null"), F.lit(None)).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns]
-    told = [count.alias("lines_before"), F.coalesce(F.col("__removed"), F.array().cast("array<int>")).alias("removed_lines")]
+    work = docs.withColumns({own["lines"]: F.split(text_or_empty(text), "\n"), own["text_hash"]: F.xxhash64(text_or_empty(text)), own["null"]: F.col(text).isNull()}).drop(text)
+    joined = work.join(removed, work[key].eqNullSafe(removed[own["key"]]) & (F.col(own["text_hash"]) == F.col(own["hash"])), "left")
+    gone, cut = F.col(own["removed"]), F.col(own["lines"])
+    count = F.size(cut)
+    staying = F.array_except(F.sequence(F.lit(0), count - 1), gone)
+    kept = F.when(gone.isNull(), cut).otherwise(F.transform(staying, lambda i: F.get(cut, i)))
+    columns = [F.col(c) if c != text else F.when(F.col(own["null"]), F.lit(None)).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns]
+    told = [count.alias("lines_before"), F.coalesce(gone, F.array().cast("array<int>")).alias("removed_lines")]
     return joined.select(*columns, *(told if report else []))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from tamis.llm.common import arrow_schema, bounded_batches, inputs, text_or_empty
+from tamis.llm.common import arrow_schema, bounded_batches, frugal, inputs, text_or_empty
 
 MIN_TILE, COVERAGE = 5, 0.6
 BLOCK_BYTES = 16_000_000
@@ -208,7 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
                     schema=target,
                 )
 
-        found = narrow.mapInArrow(scan, schema)
+        found = narrow.mapInArrow(frugal(scan), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -223,5 +223,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
                 clean = [next(items.leaks(v.as_py() or "", coverage), None) is None for v in batch.column(place)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = docs.mapInArrow(frugal(scan), docs.schema)
     return docs

@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.common import inputs, text_or_empty
+from tamis.llm.common import frugal, hidden, inputs, text_or_empty
 from tamis.session import materialize
 
 _SPACE = re.compile(r"[ \t\r\f\v\n]+")
@@ -71,7 +70,7 @@ def units(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str
 
     narrow = inputs(docs, key=key, text=text).select("key", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     kind = dict(narrow.dtypes)["key"]
-    return narrow.mapInArrow(scan, ", ".join(f"`{n}` {t or kind}" for n, t in _COLUMNS.items()))
+    return narrow.mapInArrow(frugal(scan), ", ".join(f"`{n}` {t or kind}" for n, t in _COLUMNS.items()))
 
 
 def repeated_spans(docs: DataFrame, *, run_words: int = RUN_WORDS, same_words: int = SAME_WORDS, **options) -> DataFrame:
@@ -104,7 +103,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, key: str = "doc_id", text
 
     Spans belong to a key and a text, so rows of one key with other texts keep theirs.
     """
-    mine = {n: f"__{n}_{uuid.uuid4().hex}" for n in ("key", "hash", "spans")}  # names no input column can have
+    mine = hidden("key", "hash", "spans")
     lists = spans.groupBy(F.col("key").alias(mine["key"]), F.col("text_hash").alias(mine["hash"])).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(mine["spans"]))
     same = docs[key].eqNullSafe(lists[mine["key"]]) & (F.xxhash64(text_or_empty(text)) == lists[mine["hash"]])
     joined = docs.join(lists, same, "left").drop(mine["key"], mine["hash"])

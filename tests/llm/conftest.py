@@ -14,7 +14,7 @@ SCHEMA = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("n_chars", T.LongType()),
         # names that the operators use inside
-        *[T.StructField(n, T.StringType()) for n in ("key", "label", "node", "bucket", "text_hash", "slice", "tie", "print", "shard", "size", "line", "score", "removed_lines", "file")],
+        *[T.StructField(n, T.StringType()) for n in ("key", "label", "node", "bucket", "text_hash", "slice", "tie", "print", "shard", "size", "line", "score", "removed_lines", "file", "__lines", "__key", "__hash", "__spans", "__removed", "__null")],
     ]
 )
 
@@ -37,7 +37,7 @@ def rows():
     }
     out = [(k, t) for k, t in texts.items()]
     out += [(7, texts[7]), (7, texts[7]), (None, "a row without id, of more than five words"), (None, None), (20, "same id twice, first of two"), (20, "same id twice, second of two")]
-    return [(k, t, "en", None if k == 5 else f"src{i % 3}", len(t or ""), *["x"] * 14) for i, (k, t) in enumerate(out)]
+    return [(k, t, "en", None if k == 5 else f"src{i % 3}", len(t or ""), *["x"] * 20) for i, (k, t) in enumerate(out)]
 
 
 @pytest.fixture(scope="session")

@@ -33,7 +33,7 @@ def test_pieces_keep_the_matches(text):
     assert [m for p in pieces(text) for m in PATTERN.findall(p)] == PATTERN.findall(text)
     assert "".join(pieces(text)) == text
     assert all(matches(p) == PATTERN.findall(p) for p in pieces(text) if p)
-    assert TextEncoder(lambda m: f"<{m}>".encode())(text).decode() == "".join(f"<{m}>" for m in PATTERN.findall(text))
+    assert TextEncoder(lambda m: f"<{m}>".encode(), lambda words: [f"< {w}>".encode() for w in words]).encode([text])[0].decode() == "".join(f"<{m}>" for m in PATTERN.findall(text))
 
 
 def test_matrix_encoder(library):
@@ -96,10 +96,33 @@ def test_added_tokens_in_texts():
     encode = elias_fano._encoder(JSON, 2)
     mark = "<|endoftext|>"
     for text in (f"foo {mark} bar", mark, f"{mark}{mark}", f" {mark}", f"a{mark} b\n\n{mark}", f"{mark[:-1]} {mark[1:]}", "<|endof text|>", "no mark"):
-        assert np.frombuffer(encode(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode([text])[0], "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_one_document_by_select():
     ids = [np.arange(n, dtype="<u2").tobytes() for n in (3, 0, 5)]
     file = elias_fano.TokenFile(elias_fano.pack([None, 4, 9], ids, 2))
     assert file.keys() == [None, 4, 9] and [file.document(i).tolist() for i in range(3)] == [[0, 1, 2], [], [0, 1, 2, 3, 4]]
+
+
+def test_bulk_words_and_line_breaks():
+    """Known and new words in one call, breaks inside words, marks, letters of many scripts, very long words."""
+    tok = Tokenizer.from_file(JSON)
+    encode = elias_fano._encoder(JSON, 2)
+    rng = np.random.default_rng(9)
+    parts = ["word", "Naïve", "größer", "日本語", "don't", "x1", "end.", "a,", "\n", ".\n", "\n\n", "e\u0301t\u00e9", "\u00a0b", "z" * 90, "ʼn", "…", "ﬁn", "\t", "--"]
+    texts = ["".join(str(rng.choice(parts)) + str(rng.choice(["", " ", " ", "\n"])) for _ in range(rng.integers(0, 30))) for _ in range(600)]
+    for turn in range(2):
+        for text, own in zip(texts, encode(texts)):
+            assert np.frombuffer(own, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_reading_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(elias_fano, "FILE_BYTES", 1 << 20)
+    docs = spark.createDataFrame([(i, "ab " * (i % 7)) for i in range(3000)], "doc_id bigint, text string")
+    got = elias_fano.read_tokens(*elias_fano.write_tokens(docs, JSON, end_id=2)).orderBy("key").collect()
+    start = 0
+    for r in got:
+        assert r["start"] == start and r["n_tokens"] == len(r["ids"])
+        start += r["n_tokens"]
+    assert [r["key"] for r in got] == list(range(3000))
