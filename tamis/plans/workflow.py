@@ -27,8 +27,11 @@ NO_KPIS = "kpi_id string, label string, value double, unit string"
 
 def _window_step(df: DataFrame, s: dict) -> DataFrame:
     if "expression" in s:
-        # an expression over the step's own window, named w; Spark runs it as one plain window
-        names = ", ".join("`" + p.replace("`", "``") + "`" for p in s.get("partitionBy", ())) or "1"
+        # an expression over the step's own window, named w; Spark runs it as one plain window, so without a
+        # partition the whole table would pass through one task, and the function form is asked for
+        if not s.get("partitionBy"):
+            raise ValueError(f"step '{s.get('id')}': a window expression needs partitionBy; without one use function and field")
+        names = ", ".join("`" + p.replace("`", "``") + "`" for p in s["partitionBy"])
         fields = [(o, "ASC") if isinstance(o, str) else (o["field"], o["direction"]) for o in s.get("orderBy") or ()]
         order = ", ".join("`" + f.replace("`", "``") + f"` {d} NULLS LAST" for f, d in fields)
         over = f"OVER (PARTITION BY {names}" + (f" ORDER BY {order})" if order else ")")

@@ -36,12 +36,14 @@ def workflows(spark, sf):
     )
 
 
-APPROVALS_SQL = "(SELECT l_orderkey AS version_id, 'user:' || CAST(l_suppkey % 3 AS VARCHAR) AS approver_subject FROM lineitem WHERE l_linestatus = 'F')"
+APPROVALS_SQL = """(SELECT l_orderkey + CASE WHEN l_linestatus = 'F' THEN 0 ELSE 100000000 END AS version_id,
+  'user:' || CAST(l_suppkey % 3 AS VARCHAR) AS approver_subject FROM lineitem)"""
 
 
 def approvals(spark, sf):
-    return table(spark, sf, "lineitem").where("l_linestatus = 'F'").selectExpr(
-        "l_orderkey AS version_id", "concat('user:', l_suppkey % 3) AS approver_subject"
+    # open lines approve versions of another range of ids, so some versions have no approval
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey + CASE WHEN l_linestatus = 'F' THEN 0 ELSE 100000000 END AS version_id", "concat('user:', l_suppkey % 3) AS approver_subject"
     )
 
 

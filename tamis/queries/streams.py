@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from tamis.queries.flows import _plain_times
 from tamis.queries.registry import query, table
 from tamis.session import scratch_path
+from tamis.sources import topic_log
+from tamis.sources.tables import decode_messages
 from tamis.streaming import alerts, late, measures
 from tamis.streaming.run import drain, run_scheduled
 
@@ -109,3 +111,46 @@ def q_stream_scheduled(spark, sf):
             events.where(arrival == i).coalesce(1).write.mode("append").parquet(path)
         run_scheduled(definition, measures.event_stream(spark, path, events.schema, files_per_batch=1), base, state).awaitTermination()
     return spark.read.parquet(base).select("came", "event_type", "total", "n")
+
+
+_BODY = "event_id bigint, ts timestamp_ntz, event_type string, value double"
+
+
+def _sent(spark, sf, path, low, high):
+    """Append the events of a range of days to a topic log, keyed by user."""
+    events = table(spark, sf, "events").where((_day() >= low) & (_day() < high)).select("user_id", "event_id", "ts", "event_type", "value")
+    topic_log.append(events, path, "user_id", "ts")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS message_key, ts AS message_time, event_id, event_type, value FROM events")
+def q_source_topic_log(spark, sf):
+    path = scratch_path(spark, "topic")
+    _sent(spark, sf, path, -9999, 12)
+    _sent(spark, sf, path, 12, 9999)
+    return _plain_times(topic_log.log_batch(spark, path, _BODY)).select("message_key", "message_time", "event_id", "event_type", "value")
+
+
+@query(
+    """SELECT 'all' AS reader, event_id, event_type, value FROM events
+    UNION ALL SELECT 'new', event_id, event_type, value FROM events WHERE date_diff('day', DATE '2024-01-01', ts::DATE) >= 10"""
+)
+def q_stream_topic_resume(spark, sf):
+    """Two groups read a topic in three sittings, the second and third by new queries that know nothing but their group.
+
+    The first group starts at the beginning, the other at what comes after it was there. No message is lost or read twice.
+    """
+    path, base = scratch_path(spark, "topic"), scratch_path(spark, "taken")
+    for sitting, (low, high) in enumerate(((-9999, 10), (10, 20), (20, 9999))):
+        _sent(spark, sf, path, low, high)
+        for group in ("all", "new"):
+            if group == "new" and sitting == 0:
+                topic_log.finish(path, group, topic_log.Log(path).refresh())  # there from now on
+                continue
+
+            def write(batch, epoch, folder=f"{base}/reader={group}/sitting={sitting}"):
+                decode_messages(batch, _BODY).select("event_id", "event_type", "value").write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+            stream = topic_log.log_stream(spark, path, group, from_beginning=group == "all")
+            state = scratch_path(spark, "stream-state")
+            stream.writeStream.foreachBatch(topic_log.consume(path, group, write)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(base).select("reader", "event_id", "event_type", "value")

@@ -12,6 +12,7 @@ GROUP_ROWS_CONF = "spark.tamis.maxGroupRows"
 GROUP_ROWS_DEFAULT = 2_000_000
 # Rows an ordered operator without keys may pass through one task.
 KEYLESS_ROWS = 50_000
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -44,9 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL_DIRS:  # the setting itself cannot be changed once a session runs
+        _LOCAL_DIRS[name] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_DIRS[name]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.session import scratch_path
+from tamis.sources import topic_log
 from tamis.streaming import alerts, late, run
 from tests.test_workflow import EVENTS, at, stream_of
 
@@ -97,3 +98,65 @@ def test_event_schedule_runs_for_what_arrives(spark):
     finally:
         query.stop()
     assert [r.event_id for r in spark.read.parquet(base).collect()] == [2]
+
+
+def sent(spark, path, ids):
+    rows = spark.createDataFrame([(f"k{i % 5}", i, at(i)) for i in ids], "k string, i int, t timestamp")
+    topic_log.append(rows, path, "k", "t", 3)
+
+
+def test_log_offsets_are_gapless_and_ordered(spark):
+    path = scratch_path(spark, "topic")
+    sent(spark, path, range(40))
+    sent(spark, path, range(40, 55))
+    rows = spark.read.parquet(f"{path}/log").orderBy("partition", "offset").collect()
+    for p in {r.partition for r in rows}:
+        own = [r for r in rows if r.partition == p]
+        assert [r.offset for r in own] == list(range(len(own))) and [r.timestamp for r in own] == sorted(r.timestamp for r in own)
+    assert topic_log.log_batch(spark, path, "i int").count() == 55
+    assert topic_log.Log(path).refresh() == {p: sum(r.partition == p for r in rows) for p in {r.partition for r in rows}}
+
+
+def test_log_stream_resumes_from_its_checkpoint(spark):
+    path, out, state = (scratch_path(spark, n) for n in ("topic", "out", "state"))
+    for ids in (range(20), range(20, 50)):
+        sent(spark, path, ids)
+        found = topic_log.log_stream(spark, path, from_beginning=True).select("offset", "partition", "value")
+        run.write_epochs(found, out, "append", state).awaitTermination()
+    rows = spark.read.parquet(out)
+    assert rows.count() == 50 == rows.select("partition", "offset").distinct().count()
+
+
+def test_log_groups(spark):
+    path = scratch_path(spark, "topic")
+    assert topic_log.log_batch(spark, path, "i int").collect() == [] and topic_log.finished(path, "g") is None
+    sent(spark, path, range(10))
+    topic_log.finish(path, "g", {0: 2, 1: 1})
+    topic_log.finish(path, "g", {0: 1, 2: 4})
+    assert topic_log.finished(path, "g") == {0: 2, 1: 1, 2: 4}
+    got = []
+
+    def fails_once(batch, epoch):
+        if not got:
+            got.append("failed")
+            raise RuntimeError("sink is gone")
+        got.extend(r.offset for r in batch.collect())
+
+    for _ in range(2):
+        step = topic_log.consume(path, "late", fails_once)
+        stream = topic_log.log_stream(spark, path, "late", from_beginning=True).writeStream.foreachBatch(step)
+        try:
+            stream.option("checkpointLocation", scratch_path(spark, "s")).trigger(availableNow=True).start().awaitTermination()
+        except Exception as error:
+            assert "sink is gone" in str(error)
+    assert len(got) == 11 and sum(topic_log.finished(path, "late").values()) == 10
+
+
+def test_new_group_starts_at_the_end(spark):
+    path = scratch_path(spark, "topic")
+    sent(spark, path, range(10))
+    reader = topic_log._Stream(path, "n", False)
+    start = reader.initialOffset()
+    sent(spark, path, range(10, 16))
+    parts = reader.partitions(start, reader.latestOffset())
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 6

@@ -345,3 +345,22 @@ def test_breaches_over_batches(spark):
     assert got == [(at(120), 5.0, 12.0, "WARNING")]
     second = spark.read.parquet(f"{base}/breaches").where("epoch = 1").first()
     assert (second.previous, second.current, second.severity, second.threshold) == (5.0, 25.0, "CRITICAL", 20.0)
+
+
+def test_local_session_without_a_folder_of_its_own(spark, monkeypatch):
+    from tamis import session
+
+    class Plain:
+        """A session whose settings name no checkpoint folder and refuse to be changed."""
+
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+            @staticmethod
+            def set(key, value):
+                raise AssertionError("static settings cannot be changed")
+
+    first = session.shared_dir(Plain)
+    assert first == session.shared_dir(Plain) and first.rsplit("/", 1)[0]
