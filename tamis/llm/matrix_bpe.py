@@ -2,12 +2,16 @@
 
 Distinct pieces of a batch are laid out as rows of matrices, one matrix per length bucket. In every round each row
 merges its leftmost pair of least rank; ranks of pairs come from an open-addressing hash table in numpy arrays. Rows
-that have no pair left are taken out and the others close the gap of their merge (compaction). Only the two pairs
-beside a merge are looked up again.
+that have no pair left are taken out and the others close the gaps of their merges (compaction).
+
+Two things keep the rounds of long pieces few, with the same ids. The pairs of a row that share its least rank are
+merged in one round, unless a merge among them makes a pair of lower rank, which would come first; then only the
+leftmost is. And a long piece is cut where no token of the vocabulary spans the border, so that no merge can cross it;
+its parts are rows of their own.
 
 Defined results: NULL counts as empty; an empty text has no ids. Any text round-trips, since all 256 bytes have ranks.
-Repeated rows each get their row. Very long texts are cut into pieces first; a single piece of many thousand bytes
-without a border takes one round per merge. An empty table gives an empty table. Other columns are not read.
+Repeated rows each get their row. Very long texts are cut into pieces first, very long pieces as above. An empty table
+gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ from tamis.llm.pretokens import PieceCache, pieces
 
 NEVER = np.int32(2**31 - 1)
 BATCH_CHARS = 2_000_000
+LONG_BYTES = 256  # longer pieces are cut where no token can span
+SHORT = 32  # wider matrices merge all pairs of the least rank in one round
+_BASE = 0x9E3779B97F4A7C15
 
 
 class PairTable:
@@ -68,6 +75,14 @@ class PairTable:
         return out
 
 
+def _longer(windows: np.ndarray, codes: np.ndarray, n: int, to: int) -> np.ndarray:
+    """Hashes of all runs of ``to`` bytes from those of all runs of ``n`` bytes."""
+    for k in range(n, to):
+        count = len(codes) - k
+        windows = windows[:count] * np.uint64(_BASE) + codes[k:].astype(np.uint64) + np.uint64(1)
+    return windows
+
+
 class MatrixBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = {i: token for token, i in ranks.items()}
@@ -75,6 +90,11 @@ class MatrixBpe:
         pairs = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = (np.array(x, np.int32) for x in zip(*pairs)) if pairs else (np.empty(0, np.int32),) * 3
         self.table = PairTable(left, right, merged)
+        by_length: dict[int, list[bytes]] = {}
+        for token in ranks:
+            by_length.setdefault(len(token), []).append(token)
+        # hashes of all tokens of a length, in order
+        self.spans = {n: np.unique(_longer(np.zeros(n * len(own), np.uint64), np.frombuffer(b"".join(own), np.uint8), 0, n)[::n]) for n, own in sorted(by_length.items()) if n > 1}
 
     @classmethod
     def from_file(cls, path: str) -> MatrixBpe:
@@ -83,7 +103,37 @@ class MatrixBpe:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word; no merge crosses the border of a word."""
-        raw = [w.encode() for w in words]
+        raw, owner = [], []
+        for w, word in enumerate(words):
+            data = word.encode()
+            parts = [data] if len(data) <= LONG_BYTES else self.parts(data)
+            raw += parts
+            owner += [w] * len(parts)
+        found = self._encode_parts(raw)
+        if len(raw) == len(words):
+            return found
+        out: list[list[int]] = [[] for _ in words]
+        for w, ids in zip(owner, found):
+            out[w] += ids
+        return out
+
+    def parts(self, data: bytes) -> list[bytes]:
+        """``data`` cut at the borders that lie inside no token found in it. A hash that meets by chance only keeps a border whole."""
+        codes = np.frombuffer(data, np.uint8)
+        windows, length = np.zeros(len(codes), np.uint64), 0
+        inside = np.zeros(len(codes) + 1, np.int32)  # +1 where a token's inner borders begin, -1 where they end
+        for n, hashes in self.spans.items():
+            if n > len(codes):
+                break
+            windows, length = _longer(windows, codes, length, n), n
+            at = np.searchsorted(hashes, windows)
+            starts = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == windows)
+            inside[starts + 1] += 1
+            inside[starts + n] -= 1
+        cuts = np.flatnonzero(np.cumsum(inside) == 0)  # the first is 0, the last the end
+        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def _encode_parts(self, raw: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(raw)
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         buckets = np.ceil(np.log2(np.maximum(lengths, 1))).astype(int)
@@ -111,25 +161,51 @@ class MatrixBpe:
                 rows, size, matrix, ranks, least = (x[~ended] for x in (rows, size, matrix, ranks, least))
                 if not len(rows):
                     return
-            at = ranks.argmin(axis=1)  # the first of equal ranks
-            each = np.arange(len(rows))
-            matrix[each, at] = least
-            # what stands right of the merged pair moves one to the left
-            width = int(size.max()) - 1
-            source = np.arange(width)[None, :] + (np.arange(width)[None, :] > at[:, None])
-            matrix = np.take_along_axis(matrix, source, axis=1)
-            size = size - 1
-            matrix[np.arange(width)[None, :] >= size[:, None]] = -1
-            if width < 2:
-                ranks = np.empty((len(rows), 0), np.int32)
-                continue
-            pairs = np.arange(width - 1)[None, :]
-            ranks = np.take_along_axis(np.pad(ranks, ((0, 0), (0, 1)), constant_values=NEVER), pairs + (pairs > at[:, None]), axis=1)
-            ranks[pairs >= (size - 1)[:, None]] = NEVER
-            for side in (-1, 0):
-                p = at + side
-                ok = (p >= 0) & (p < size - 1)
-                ranks[each[ok], p[ok]] = self.table.find(matrix[each[ok], p[ok]], matrix[each[ok], p[ok] + 1])
+            matrix, ranks, size = self._merge(matrix, ranks, size, least)
+
+    def _merge(self, matrix: np.ndarray, ranks: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge the pairs of each row that have its least rank, from the left."""
+        height, width = matrix.shape
+        if width <= SHORT:  # hardly any pair comes twice
+            row, at = np.arange(height), ranks.argmin(axis=1)
+        else:
+            row, at = np.nonzero(ranks == least[:, None])
+            # of pairs that overlap one another in a chain every second one is merged
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+            chain = np.flatnonzero(new)
+            odd = (np.arange(len(row)) - np.repeat(chain, np.diff(np.append(chain, len(row))))) % 2
+            row, at = row[odd == 0], at[odd == 0]
+        token = least[row]
+        before = np.where(at > 0, matrix[row, at - 1], -1)  # as it is when the pair's turn comes
+        same = row[1:] == row[:-1]
+        follows = np.concatenate([[False], same & (at[1:] == at[:-1] + 2)])
+        before[follows] = token[follows]
+        after = np.where(at + 2 < width, matrix[row, np.minimum(at + 2, width - 1)], -1)
+        left, right = self.table.find(before, token), self.table.find(token, after)
+        if same.any():
+            early = np.zeros(height, bool)
+            early[row[(left < token) | (right < token)]] = True
+            keep = ~early[row] | np.concatenate([[True], ~same])
+            row, at, token, left, right, follows = (x[keep] for x in (row, at, token, left, right, follows & ~early[row]))
+        # the right half of a merged pair goes; what stands right of it closes the gap
+        matrix[row, at] = token
+        stays = np.arange(width) < size[:, None]
+        stays[row, at + 1] = False
+        size = size - np.bincount(row, minlength=height)
+        narrow = int(size.max())
+        filled = np.arange(narrow) < size[:, None]
+        merged = np.full((height, narrow), -1, np.int32)
+        merged[filled] = matrix[stays]
+        # a pair's rank moves along with its left token; pairs beside a merge were looked up above
+        moved = np.pad(ranks, ((0, 0), (0, 1)), constant_values=NEVER)
+        ok = at > 0
+        moved[row[ok], at[ok] - 1] = left[ok]
+        moved[row, at] = right
+        moved[row[follows], at[follows] - 2] = left[follows]  # the token before is a merged one
+        out = np.full((height, narrow), NEVER, np.int32)
+        out[filled] = moved[stays]
+        return merged, out[:, : narrow - 1], size
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])

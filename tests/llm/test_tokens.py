@@ -48,6 +48,39 @@ def test_matrix_encoder(library):
     assert [bpe.decode(ids) for ids in got] == [w.encode() for w in words]
 
 
+def test_long_pieces():
+    """Cut where no token spans, and equal pairs merged at once: the ids of the library, in few rounds."""
+    with open(RANKS, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    whole = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    bpe = matrix_bpe.model(RANKS)
+    rnd = random.Random(3)
+    alphabets = ["ab", "aab ", "the and ing", "ABCDEFGHabcdefgh0123+/", "  \n-=", "日本語中文大学生", "etaoinshrdlu"]
+    words = ["".join(rnd.choices(a, k=k)) for a in alphabets for k in (30, 40, 255, 257, 1000, 5000)] + ["a" * k for k in (1, 33, 63, 4097)]
+    assert bpe.encode(words) == [whole.encode_ordinary(w) for w in words]
+    for a in alphabets[3:]:
+        text = "".join(rnd.choices(a, k=100_000)).encode()
+        parts = bpe.parts(text)
+        assert b"".join(parts) == text and max(map(len, parts)) < 1000
+
+
+def test_merges_that_make_a_lower_pair_wait_for_it():
+    """Ranks where a merged pair meets its neighbour below its own rank, so that equal pairs may not go at once."""
+    rnd = random.Random(5)
+    for _ in range(60):
+        made = [bytes([b]) for b in range(256)]
+        while len(made) < 290:
+            token = rnd.choice(made[97:99] + made[256:]) + rnd.choice(made[97:99] + made[256:])
+            if token not in made and len(token) <= 8:
+                made.append(token)
+        order = made[256:]
+        rnd.shuffle(order)
+        ranks = {t: i for i, t in enumerate(made[:256] + order)}
+        whole = tiktoken.Encoding("odd", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        words = ["".join(rnd.choices("ab", k=k)) for k in (10, 33, 40, 90, 300, 400)]
+        assert matrix_bpe.MatrixBpe(ranks).encode(words) == [whole.encode_ordinary(w) for w in words]
+
+
 def test_encode_documents(library, odd, none):
     got = sorted(((r["key"], r["n_tokens"], r["ids"], r["ids_sha256"], r["decoded_sha256"]) for r in matrix_bpe.encode_documents(odd, RANKS).collect()), key=str)
     want = []
