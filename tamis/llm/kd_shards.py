@@ -1,13 +1,14 @@
 """Sharding by k-d tree partitioning, in DataFrame functions only.
 
-Rows are points in a space of metadata dimensions, each scaled to 0..1. A node that holds more than the target splits
+Rows are points in a space of metadata dimensions, each scaled to 0..1. Copies of one text are one point: they take the
+metadata of the copy of the least key. A node that holds more than the target splits
 along its widest dimension at the weighted median (weights are bytes), until leaves reach the target. The median is
-found without sorting: histograms of weights over the split order are aggregated per node, three times ever finer, so
+found without sorting: histograms of weights over the split order are aggregated per node, five times ever finer, so
 that a pass shuffles a bounded number of bins per task and no node's rows ever meet in one task.
 
-The split order is the dimension's value and, within equal values, a hash of the row; a value that a third of all
-rows share can therefore be cut anywhere. Equal texts are not held together, since one group of copies may outweigh a
-shard.
+The split order is the dimension's value, within equal values a hash of the text, and within equal texts a hash of the
+row. A cut that falls among the copies of a text moves to the nearer end of the group, so that equal texts stay in one
+shard, unless that would move more than ``GROUP_SLACK`` of a shard's bytes: a group that outweighs the balance is cut.
 
 Defined results: sizes are UTF-8 bytes of the text plus 1, so NULL and empty texts weigh 1. NULL metadata is a value of
 its own, below all others. Repeated rows are told apart by a stored row number and dealt like other rows. An empty
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from tamis.llm.common import inputs, text_or_empty
 from tamis.session import materialize
 
-# A split order is an integer of 48 bits: 24 bits of the dimension's value and 24 bits of the row's hash.
-VALUE_BITS, HASH_BITS, STEP_BITS = 24, 24, 12
+# A split order is an integer of 60 bits: of the dimension's value, of the text's hash and of the row's hash.
+VALUE_BITS, TEXT_BITS, ROW_BITS, STEP_BITS = 24, 24, 12, 12
+GROUP_SLACK = 0.02
 
 
 def _unit(column: str, kind: str) -> Column:
@@ -46,10 +48,16 @@ def points(docs: DataFrame, *, key: str, text: str, dimensions: Sequence[str]) -
         "key",
         size.alias("size"),
         F.crc32(text_or_empty()).alias("text_crc32"),
+        F.xxhash64(text_or_empty()).alias("group"),
         F.log2(size).alias("d0"),
         *[_unit(f"m{i}", kinds[f"m{i}"]).alias(f"d{i + 1}") for i in range(len(dimensions))],
     )
     stored = materialize(raw, "points")
+    # of copies, one speaks for all; texts without copies speak for themselves
+    own = [*names]
+    first = stored.groupBy("group").agg(F.count(F.lit(1)).alias("copies"), F.min_by(F.struct(*own), F.struct("key", "row")).alias("first")).where("copies > 1")
+    stored = stored.join(first.select("group", "first"), "group", "left").withColumns({d: F.when(F.col("first").isNotNull(), F.col("first")[d]).otherwise(F.col(d)) for d in own})
+    stored = materialize(stored.drop("first"), "grouped")
     ends = stored.agg(*[f(F.nanvl(F.col(d), F.lit(None))).alias(f"{f.__name__}_{d}") for d in names for f in (F.min, F.max)]).first()
 
     def scaled(d: str) -> Column:
@@ -59,12 +67,13 @@ def points(docs: DataFrame, *, key: str, text: str, dimensions: Sequence[str]) -
         # NULL and NaN come before the least value
         return F.coalesce(F.nanvl((F.col(d) - low) / (high - low), F.lit(-0.01)), F.lit(-0.01))
 
-    return stored.select("row", "key", "size", "text_crc32", *[scaled(d).alias(d) for d in names])
+    return stored.select("row", "key", "size", "text_crc32", "group", *[scaled(d).alias(d) for d in names])
 
 
 def _order(dimension: Column) -> Column:
     value = F.floor((dimension + 0.02) / 1.04 * (2**VALUE_BITS - 1)).cast("bigint")
-    return F.shiftleft(value, HASH_BITS) + F.xxhash64("row").bitwiseAND(F.lit(2**HASH_BITS - 1))
+    text = F.shiftrightunsigned("group", 64 - TEXT_BITS)
+    return F.shiftleft(value, TEXT_BITS + ROW_BITS) + F.shiftleft(text, ROW_BITS) + F.xxhash64("row").bitwiseAND(F.lit(2**ROW_BITS - 1))
 
 
 def _cuts(placed: DataFrame, plan: dict[int, tuple[str, int]], names: list[str]) -> dict[int, tuple[str, int]]:
@@ -72,7 +81,7 @@ def _cuts(placed: DataFrame, plan: dict[int, tuple[str, int]], names: list[str])
 
     ``plan``: node -> (dimension, leaves). The driver sees one row per node and step, that is at most the shard count.
     """
-    width = VALUE_BITS + HASH_BITS
+    width = VALUE_BITS + TEXT_BITS + ROW_BITS
     order = F.lit(None).cast("bigint")
     for d in names:
         nodes = [n for n, (picked, _) in plan.items() if picked == d]
@@ -83,6 +92,8 @@ def _cuts(placed: DataFrame, plan: dict[int, tuple[str, int]], names: list[str])
     # bytes that should lie left of the cut; both sides get leaves in proportion
     wanted = {n: totals.get(n, 0) * (leaves // 2) / leaves for n, (_, leaves) in plan.items()}
     prefix = {n: 0 for n in plan}  # leading bits of the cut, found step by step
+    slack = {n: GROUP_SLACK * totals.get(n, 0) / leaves for n, (_, leaves) in plan.items()}
+    settled: dict[int, int] = {}
     for step in range(1, width // STEP_BITS + 1):
         shift = width - step * STEP_BITS
         inside = F.lit(False)
@@ -95,7 +106,7 @@ def _cuts(placed: DataFrame, plan: dict[int, tuple[str, int]], names: list[str])
             bins.withColumn("upto", F.sum("bytes").over(upto))
             .where(F.col("upto") > target)
             .groupBy("node")
-            .agg(F.min(F.struct("bin", (F.col("upto") - F.col("bytes")).alias("before"))).alias("at"))
+            .agg(F.min(F.struct("bin", (F.col("upto") - F.col("bytes")).alias("before"), "bytes")).alias("at"))
             .collect()
         )
         hit = {r["node"]: r["at"] for r in found}
@@ -106,7 +117,13 @@ def _cuts(placed: DataFrame, plan: dict[int, tuple[str, int]], names: list[str])
             else:  # nothing lies right of the cut
                 prefix[n] = (prefix[n] + 1) * 2**STEP_BITS
                 wanted[n] = 0
-    return {n: (plan[n][0], prefix[n]) for n in plan}
+        if shift == ROW_BITS:
+            # the bin is one text: the cut goes to its nearer end unless that moves too much
+            for n, at in hit.items():
+                left, right = wanted[n], at["bytes"] - wanted[n]
+                if min(left, right) <= slack[n]:
+                    settled[n] = (prefix[n] + (left > right)) << ROW_BITS
+    return {n: (plan[n][0], settled.get(n, prefix[n])) for n in plan}
 
 
 def kd_shards(

@@ -46,6 +46,55 @@ def test_hot_value_and_uneven_leaves(spark):
     assert len({r["shard"] for r in by_bytes}) == 5
 
 
+def test_copies_stay_together(spark):
+    """Copies with metadata of their own share a shard, and bytes stay near equal; a group beyond a shard is cut."""
+    rows = [(i, f"text {i % 700} " + "w " * (i % 700 % 13), f"s{i % 5}", "en") for i in range(3000)]
+    got = dealt(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), shards=8)
+    laws(got, 8)
+    shards, sizes = defaultdict(set), Counter()
+    for r in got:
+        shards[rows[r["key"]][1]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in shards.values())
+    mean = sum(sizes.values()) / 8
+    assert max(abs(n - mean) for n in sizes.values()) < 0.08 * mean
+    hot = [(i, "one text for a third of all" if i % 3 == 0 else f"own text number {i} of the rest", f"s{i % 5}", "en") for i in range(3000)]
+    sizes = Counter()
+    for r in dealt(spark.createDataFrame(hot, "doc_id long, text string, source string, lang string"), shards=8):
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
+
+
+def tree_by_force(rows, shards):
+    """Keys by shard, from sorting each node along its widest dimension and cutting at the weighted median."""
+    if shards == 1:
+        return [{k for k, _, _ in rows}]
+    spread = np.ptp([p for *_, p in rows], axis=0)
+    rows = sorted(rows, key=lambda r: r[2][int(np.argmax(spread))])
+    total = sum(s for _, s, _ in rows)
+    goal, run, at = total * (shards // 2) / shards, 0, 0
+    while run + rows[at][1] <= goal:
+        run += rows[at][1]
+        at += 1
+    left, right = goal - run, run + rows[at][1] - goal
+    at += min(left, right) <= kd_shards.GROUP_SLACK * total / shards and left > right
+    return tree_by_force(rows[:at], shards // 2) + tree_by_force(rows[at:], shards - shards // 2)
+
+
+def test_tree_by_force(spark):
+    """No two rows share a size or a value, so that the tree is one."""
+    rng = np.random.default_rng(7)
+    sizes, xs, ys = (rng.permutation(900)[:400] + 50 for _ in range(3))
+    rows = [(i, "x" * (int(n) - 1), int(x), int(y)) for i, (n, x, y) in enumerate(zip(sizes, xs, ys))]
+    unit = lambda v: (v - v.min()) / (v.max() - v.min())
+    points = np.stack([unit(np.log2(sizes)), unit(xs.astype(float)), unit(ys.astype(float))], axis=1)
+    for shards in (6, 16):
+        by_shard = defaultdict(set)
+        for r in dealt(spark.createDataFrame(rows, "doc_id long, text string, a long, b long"), dimensions=("a", "b"), shards=shards):
+            by_shard[r["shard"]].add(r["key"])
+        assert [by_shard[k] for k in range(shards)] == tree_by_force([(i, int(n), p) for i, (n, p) in enumerate(zip(sizes, points))], shards)
+
+
 def test_odd_shards(odd, none):
     rows = dealt(odd, shards=16)
     laws(rows, 16)
