@@ -7,7 +7,7 @@ in one task. Classes of at least three tokens on at least half of the host's pag
 that each page has once is the host's backbone; a class is valid if its tokens keep one order, and nests in a backbone
 slot if all its occurrences lie there. What lies between backbone tokens are slots. The runs of articles (or, for
 pages without such elements, of slots with more plain than linked words) carry the main text. Template runs are left
-out, in articles those that fill a whole block, such as share lines, unless they have half of the article's words; so
+out, in articles those that fill a whole block other than a heading, such as share lines, unless they have half of the article's words; so
 is everything in menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
 Defined results: NULL and empty pages have the text "". If all runs of a page belong to the template,
@@ -174,9 +174,12 @@ def _main_text(html: str, backbone: list[int], nested: set[int], plain: set[int]
     template = {*backbone, *nested}
     data = [e.text is not None and not e.at.aside and not e.text.isspace() for e in events]
     level = max((e.at.level for e, d in zip(events, data) if d), default=0)
+    # what stands beside the only article of a page in the same main element, such as its title, belongs to it
+    single = level == markup.ARTICLE and sum(e.name == "<article>" and not e.at.aside for e in events) == 1
+    levels = (markup.MAIN, level) if single else (level,)
     # articles rank first, whatever slot they lie in; pages without them have their plain slots
     inside = plain if not level and any(slots) else None
-    framed = _frame(events, tokens, template, level) if level else template
+    framed = _frame(events, tokens, template, levels) if level else template
     found = ""
     # where all pages of a host are alike, nothing but template remains; then the page's own data are its text
     for strict in (True, False):
@@ -185,7 +188,7 @@ def _main_text(html: str, backbone: list[int], nested: set[int], plain: set[int]
             if e.text is None:
                 if e.block:
                     out.append(" ")
-            elif e.at.aside or e.at.level != level:
+            elif e.at.aside or e.at.level not in levels:
                 continue
             elif e.text.isspace():
                 out.append(e.text)
@@ -197,7 +200,7 @@ def _main_text(html: str, backbone: list[int], nested: set[int], plain: set[int]
     return found
 
 
-def _frame(events: list[markup.Event], tokens: list[int | None], template: set[int], level: int) -> set[int]:
+def _frame(events: list[markup.Event], tokens: list[int | None], template: set[int], levels: tuple[int, ...]) -> set[int]:
     """Places of an article's template runs: those of blocks that hold nothing else, as a repeated run within a sentence is its part.
 
     None if they have half of the article's words or more; then the pages are copies of an article rather than framed.
@@ -207,9 +210,9 @@ def _frame(events: list[markup.Event], tokens: list[int | None], template: set[i
         if e.text is None:
             if e.block and e.name not in ("<br>", "</br>"):
                 blocks.append([])
-        elif not e.at.aside and e.at.level == level and not e.text.isspace():
+        elif not e.at.aside and e.at.level in levels and not e.text.isspace():
             blocks[-1].append(i)
-    framed = [i for own in blocks if all(tokens[i] in template for i in own) for i in own]
+    framed = [i for own in blocks if all(tokens[i] in template and not events[i].at.heading for i in own) for i in own]
     if 2 * sum(_words(events[i]) for i in framed) >= sum(_words(events[i]) for own in blocks for i in own):
         return set()
     return set(framed)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|math|canvas|iframe|object|textarea|title"
+RAW = "script|style|noscript|template|svg|canvas|iframe|object|textarea|title"
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -28,6 +28,9 @@ ASIDE_WORDS = frozenset(
     "related recommended comment comments commentlist reply replies respond disqus pagination pager skip toolbar copyright".split()
 )
 PAGE_ONLY_WORDS = frozenset("header masthead topbar".split())
+# Words of elements that hold articles which are not the page's own.
+OTHERS_WORDS = frozenset("sidebar widget related recommended comment comments commentlist reply replies respond disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _MARKUP = re.compile(
     rf"<!--(?:.*?-->|.*)|<(?P<raw>{RAW})\b(?P<raw_attributes>[^>]*)>(?:.*?</(?P=raw)\s*>|.*)"
@@ -47,6 +50,8 @@ class Element:
     aside: bool  # in something that is no part of an article
     level: int  # ARTICLE or MAIN if inside such an element
     link: bool
+    heading: bool = False
+    doubt: bool = False  # aside only by words that are a part of a name, which an article inside outweighs
 
 
 @dataclass(slots=True)
@@ -59,9 +64,14 @@ class Event:
     block: bool
 
 
-def _role(tag: str, attributes: str, level: int) -> tuple[bool, int, str]:
-    """(aside, level, label) by the element's own name and attributes."""
-    aside, own, label = tag in ASIDE_TAGS, ARTICLE if tag == "article" else MAIN if tag == "main" else 0, ""
+def _role(tag: str, attributes: str, level: int) -> tuple[bool, bool, int, str]:
+    """(aside, doubt, level, label) by the element's own name and attributes.
+
+    A class word alone never takes a heading of an article, nor an article whose class only contains it (as tags and
+    categories in classes do). What it says of other elements is in doubt where it is a part of a name.
+    """
+    words_aside = words_part = False
+    aside, own, label = tag in ASIDE_TAGS and not (level and tag == "header"), ARTICLE if tag == "article" else MAIN if tag == "main" else 0, ""
     if attributes and ("=" in attributes or "hidden" in attributes):
         for m in _ATTRIBUTE.finditer(attributes):
             if m[5]:
@@ -76,12 +86,18 @@ def _role(tag: str, attributes: str, level: int) -> tuple[bool, int, str]:
                 own = ARTICLE
             elif name in ("class", "id") and tag not in ("html", "body"):
                 words = {w.lower() for w in _CLASS_WORD.findall(value)}
-                aside |= not ASIDE_WORDS.isdisjoint(words) or (not level and not PAGE_ONLY_WORDS.isdisjoint(words))
+                known = ASIDE_WORDS if level else ASIDE_WORDS | PAGE_ONLY_WORDS
+                whole = not known.isdisjoint(value.lower().split()) or not OTHERS_WORDS.isdisjoint(words)
+                words_aside |= not known.isdisjoint(value.lower().split()) if own else whole
+                words_part |= not known.isdisjoint(words)
                 if name == "class":
                     label = "." + value.strip()
             elif name == "style" and re.search(r"display\s*:\s*none", value):
                 aside = True
-    return aside, own, label
+    if level and tag in HEADINGS:
+        words_aside = words_part = False
+    part = words_part and not words_aside and not own
+    return aside or words_aside or part, part and not aside, own, label
 
 
 _ROOT = Element("", "", False, 0, False)
@@ -116,8 +132,17 @@ def read(html: str) -> Iterator[Event]:
             if stack[k].tag in ("ul", "ol", "table", "dl", "article", "div", "section", "body"):
                 break
         up = stack[-1]
-        aside, level, label = _role(tag, attributes, up.level)
-        own = Element(tag, f"{up.path}/{tag}{label}", up.aside or aside, max(up.level, level), up.link or tag == "a")
+        aside, doubt, level, label = _role(tag, attributes, up.level)
+        held = up.aside and not (up.doubt and level == ARTICLE)
+        own = Element(
+            tag,
+            f"{up.path}/{tag}{label}",
+            held or aside,
+            max(up.level, level),
+            up.link or tag == "a",
+            up.heading or tag in HEADINGS,
+            (held or aside) and (up.doubt or not held) and (doubt or not aside),
+        )
         yield Event(f"<{tag}>", None, own, tag in BLOCK)
         if tag not in VOID and not attributes.endswith("/"):
             stack.append(own)

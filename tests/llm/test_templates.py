@@ -40,6 +40,30 @@ def test_template_runs_in_articles(spark):
     assert dict(texts(spark, copies)) == {i: f"One long text that all pages have Date {i}" for i in range(6)}
 
 
+def test_class_words_do_not_beat_articles(spark):
+    """Tags and categories in an article's class, names that contain a word, headings, titles in headers, formulas."""
+    kept = {
+        '<article class="post tag-comments category-promotion"><p>Tagged {i}</p></article>': "Tagged {i}",
+        '<div id="alert-level"><article><p>Alert {i}</p></article></div>': "Alert {i}",
+        '<article><h2 id="related-work">Related work</h2><p>Cited {i}</p></article>': "Related work Cited {i}",
+        "<article><header><h1>Title {i}</h1></header><p>Body {i}</p></article>": "Title {i} Body {i}",
+        "<main><h1>Top {i}</h1><article><p>Inner {i}</p></article></main>": "Top {i} Inner {i}",
+        "<article><p>Sum <math><mi>x{i}</mi></math> holds</p></article>": "Sum x{i} holds",
+        '<article><p>Own {i}</p><div class="share-bar">Share</div></article><ol class="comment-list"><li><article><p>Nice</p></article></li></ol>': "Own {i}",
+        '<article><p>First {i}</p></article><article class="comment"><p>Reply {i}</p></article>': "First {i}",
+        '<article><p>Real {i}</p></article><div class="related-posts"><article><p>Other {i}</p></article></div>': "Real {i}",
+    }
+    pages = [page(10 * k + i, f"<html><body>{body.format(i=f'n{i}')}</body></html>", f"h{k}.example") for k, body in enumerate(kept) for i in range(5)]
+    assert dict(texts(spark, pages)) == {10 * k + i: text.format(i=f"n{i}") for k, text in enumerate(kept.values()) for i in range(5)}
+
+
+def test_headings_of_all_pages_stay(spark):
+    body = "<article><h1>Dish {i}</h1><h2>Ingredients</h2><p>Flour {i} and water {i} with salt</p><h2>Method</h2><p>Knead {i} and bake {i} well</p><p>Print this recipe</p></article>"
+    pages = [page(i, SHELL.format(t=f"t{i}", body=body.format(i=f"n{i}"))) for i in range(6)]
+    want = "Dish n{i} Ingredients Flour n{i} and water n{i} with salt Method Knead n{i} and bake n{i} well"
+    assert dict(texts(spark, pages)) == {i: want.format(i=i) for i in range(6)}
+
+
 def test_a_host_of_copies(spark):
     pages = [page(i, "<html><body><nav>Menu</nav><div><p>One text</p><p>for all</p></div></body></html>") for i in range(5)]
     assert dict(texts(spark, pages)) == {i: "One text for all" for i in range(5)}
