@@ -243,6 +243,21 @@ def policy_decisions(rated: DataFrame) -> DataFrame:
     )
 
 
+def drift_events(rated: DataFrame) -> DataFrame:
+    """One row per workflow that drifts: what its policy makes of it, for publication as a message.
+
+    ``blocked``, the changes by kind, the ``reasons`` in order, and the ``fields`` that changed. A workflow has at most
+    as many of them as its two schemas have fields. Workflows without drift have no row in ``rated`` and no event.
+    """
+    kinds = ["NEW_FIELD", "REMOVED_FIELD", "TYPE_CHANGE", "RENAMED_FIELD"]
+    return rated.groupBy("workflow_id").agg(
+        F.bool_or("blocks").alias("blocked"),
+        *[F.count_if(F.col("kind") == k).alias(k.lower()) for k in kinds],
+        F.sort_array(F.collect_list("reason")).alias("reasons"),
+        F.sort_array(F.collect_set("field")).alias("fields"),
+    )
+
+
 def resolve(
     df: DataFrame,
     snapshot: Mapping[str, str],

@@ -6,6 +6,7 @@ from tamis.operators import audit, compare, drift, lifecycle
 from tamis.queries import derived as d
 from tamis.queries.registry import query, rounded, table
 from tamis.session import materialize
+from tamis.sinks import outputs
 
 
 def _two_runs(spark, sf):
@@ -288,6 +289,24 @@ def q_drift_decisions(spark, sf):
     return drift.policy_decisions(_rated(spark, sf))
 
 
+@query(
+    _drift_sql(
+        """SELECT CAST(workflow_id AS VARCHAR) AS key, bool_or(action = 'BLOCK') AS blocked, count(*) FILTER (WHERE kind = 'NEW_FIELD') AS new_field,
+      count(*) FILTER (WHERE kind = 'REMOVED_FIELD') AS removed_field, count(*) FILTER (WHERE kind = 'TYPE_CHANGE') AS type_change,
+      count(*) FILTER (WHERE kind = 'RENAMED_FIELD') AS renamed_field,
+      count(*) FILTER (WHERE action NOT IN ('IGNORE', 'WARN', 'AUTOCAST', 'AUTO_BY_SIMILARITY')) AS reasons,
+      array_to_string(list_sort(list(DISTINCT field)), ',') AS fields FROM rated GROUP BY workflow_id""",
+        _LIMIT,
+    )
+)
+def q_drift_messages(spark, sf):
+    """Detection, policy and one message per workflow that drifts, read back from the message bodies."""
+    messages = outputs.as_messages(drift.drift_events(_rated(spark, sf)), "workflow_id")
+    body = "blocked boolean, new_field bigint, removed_field bigint, type_change bigint, renamed_field bigint, reasons array<string>, fields array<string>"
+    read = messages.select("key", F.from_json("value", body).alias("m")).select("key", "m.*")
+    return read.withColumns({"reasons": F.size("reasons").cast("bigint"), "fields": F.array_join("fields", ",")})
+
+
 @query(
     """SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS INTEGER) AS customer,
       o_orderstatus AS status, NULL::VARCHAR AS region FROM orders"""

@@ -253,3 +253,15 @@ def test_chain_of_odd_entries(spark, keys):
     by_id = {r.audit_id: r for r in chain if r.audit_id != 3}
     assert by_id[2].parent_hash == by_id[1].self_hash
     assert audit.verify(audit.build_chain(rows, keys), keys).where("workflow_id = 7").first().first_break == 4
+
+
+def test_drift_events(spark):
+    """One event per workflow that drifts, blocked by its policy or not."""
+    shape = "workflow_id string, field string, type string"
+    before = spark.createDataFrame([("a", "x", "int"), ("a", "y", "int"), ("b", "x", "int"), ("c", "x", "int")], shape)
+    after = spark.createDataFrame([("a", "x", "int"), ("b", "x", "int"), ("b", "extra", "int"), ("c", "x", "int")], shape)
+    policies = spark.createDataFrame([("a", "BLOCK", "WARN"), ("b", "BLOCK", "IGNORE")], "workflow_id string, on_removed_field string, on_new_field string")
+    rows = {r["workflow_id"]: r for r in drift.drift_events(drift.apply_policy(drift.detect(before, after), policies)).collect()}
+    assert set(rows) == {"a", "b"}
+    assert rows["a"]["blocked"] and rows["a"]["removed_field"] == 1 and rows["a"]["fields"] == ["y"] and len(rows["a"]["reasons"]) == 1
+    assert not rows["b"]["blocked"] and rows["b"]["new_field"] == 1 and rows["b"]["reasons"] == []
