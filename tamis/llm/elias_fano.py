@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.llm.common import frugal, inputs, text_or_empty
-from tamis.llm.pretokens import TextEncoder
+from tamis.llm.pretokens import PATTERN, TextEncoder
 from tamis.session import materialize, scratch_path
 
 MAGIC = b"TAMISEF1"
@@ -145,7 +145,7 @@ class TokenFile:
         return self.ids[self.ends.get(i) : self.ends.get(i + 1)]
 
 
-BULK_WORDS, TEXTS_AT_ONCE, READ_ROWS = 400, 256, 1024
+BULK_WORDS, TEXTS_AT_ONCE, READ_ROWS = 400, 2048, 1024
 
 
 @lru_cache(maxsize=2)
@@ -173,20 +173,26 @@ def _library_encoder(tokenizer: str, id_bytes: int) -> Callable[[str], bytes]:
     return encode
 
 
-def _bulk_encoder(tokenizer: str, id_bytes: int) -> Callable[[list[str]], list[bytes]]:
-    """Ids of many words of letters, each after a space, by one call of the library for a few hundred of them."""
+def _bulk_encoder(tokenizer: str, id_bytes: int, at_once: int) -> Callable[[list[str]], list[bytes]]:
+    """Ids of many words without white space at their ends, each after a space, by one call for a few hundred of them.
+
+    Tokens that start with a space start a word, as no other byte of a word is a space.
+    """
     tok, one = _tokenizer(tokenizer), _library_encoder(tokenizer, id_bytes)
+    opens = np.zeros(max(tok.get_vocab().values()) + 1, bool)
+    opens[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def encode(words: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        groups = [words[i : i + BULK_WORDS] for i in range(0, len(words), BULK_WORDS)]
-        for group, found in zip(groups, tok.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids, of = np.array(found.ids, f"<u{id_bytes}").tobytes(), np.array(found.word_ids, np.int64)
-            starts = np.flatnonzero(np.diff(of, prepend=-1)) * id_bytes
+        groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        for group, found in zip(groups, tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            own = np.array(found.ids, f"<u{id_bytes}")
+            starts = np.flatnonzero(opens[own]) * id_bytes
             if len(starts) == len(group):
+                ids = own.tobytes()
                 out += [ids[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)])]
             else:
-                out += [one(" " + w) for w in group]
+                out += [b"".join(map(one, PATTERN.findall(" " + w))) for w in group]
         return out
 
     return encode
@@ -198,8 +204,10 @@ def _encoder(tokenizer: str, id_bytes: int) -> Callable[[list[str]], list[bytes]
 
     The library takes added tokens out of a text before its pattern; texts that may hold one go to the library whole.
     """
-    tok, plain = _tokenizer(tokenizer), TextEncoder(_library_encoder(tokenizer, id_bytes), _bulk_encoder(tokenizer, id_bytes))
+    tok = _tokenizer(tokenizer)
     added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    bulk = _bulk_encoder(tokenizer, id_bytes, 1 if any(" " in t for t in added) else BULK_WORDS)
+    plain = TextEncoder(_library_encoder(tokenizer, id_bytes), bulk)
 
     def encode(texts: list[str]) -> list[bytes]:
         whole = [any(t in text for t in added) for text in texts]

@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
@@ -16,7 +19,7 @@ _OTHER_RUN = re.compile(r"[^\x00-\x7f\S] ")
 CACHE_PIECES = 100_000
 RECENT_WORDS = 250_000
 LONGEST_KEPT = 64
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 4_000_000
 
 
 def has_runs(text: str) -> bool:
@@ -80,75 +83,85 @@ class PieceCache:
             known[piece] = self.join(ids[own[0]] if len(own) == 1 else [i for m in own for i in ids[m]])
 
 
-class Recent(dict):
-    """key -> ``make(key)``, remembered in two generations of bounded size, so that frequent keys stay."""
-
-    def __init__(self, make: Callable[[str], bytes], limit: int = RECENT_WORDS):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONGEST_KEPT:
-            self.put(key, value)
-        return value
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class TextEncoder:
-    """Texts' ids as bytes, from a function that encodes one match of the pattern and one that encodes many words.
+    """Texts' ids as bytes.
 
-    In a text without runs of white space each word after a space is encoded once with its space. Words of letters that
-    a group of texts has and that are not known yet go to ``bulk`` at once, which gets them without their spaces.
+    A text without runs of white space is cut before each space. Of a group of texts each distinct word after a space is
+    looked up once; words not known yet go together to ``bulk``, which gets them without their spaces and returns each
+    one's ids as bytes. The ids of all words are then laid out by array operations. ``encode`` takes one match of the
+    pattern; it serves what is not plainly a word after a space.
+
+    Memory is bounded by two generations of ``RECENT_WORDS`` words of at most ``LONGEST_KEPT`` characters.
     """
 
     def __init__(self, encode: Callable[[str], bytes], bulk: Callable[[list[str]], list[bytes]]):
-        self.matches = Recent(encode)
-        self.words = Recent(self._word)
-        self.bulk = bulk
-
-    def _word(self, word: str) -> bytes:
-        if word[-1:] in (".", ",") and word[:-1].isalpha():
-            return self.words[word[:-1]] + self.matches[word[-1]]
-        if "\n" in word:
-            # a line break between other characters is a match of its own
-            first, *rest = word.split("\n")
-            if first and not first[-1].isspace() and all(x and not x[0].isspace() and not x[-1].isspace() for x in rest):
-                return self.words[first] + b"".join([self.matches["\n"] + self._plain(x) for x in rest])
-        found = matches(" " + word)
-        return self.matches.make(found[0]) if len(found) == 1 else b"".join(map(self.matches.__getitem__, found))
+        self.one, self.bulk = encode, bulk
+        self.marks = {m: encode(m) for m in ".,"}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, part: str) -> bytes:
-        return b"".join(map(self.matches.__getitem__, matches(part)))
+        return b"".join(map(self.one, PATTERN.findall(part)))
 
-    def _learn(self, cut: list[list[str]]) -> None:
-        fresh = set().union(*cut).difference(self.words)
-        bare = {w[:-1] if w[-1:] in (".", ",") else w for w in fresh}
-        simple = [w for w in bare if w.isalpha() and len(w) <= LONGEST_KEPT and w not in self.words and w not in self.words.older]
-        for word, ids in zip(simple, self.bulk(simple)):
-            self.words.put(word, ids)
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each after a space."""
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        fresh, marked, bare = [], [], {}
+        for at, ids in enumerate(found):
+            if ids is None:
+                word = words[at]
+                ids = found[at] = older.get(word)
+                if ids is not None:
+                    known[word] = ids
+                elif not word or word[-1].isspace():
+                    # joined to other words, its white space would run into the next space
+                    found[at] = self._plain(" " + word)
+                elif word[-1] in self.marks and word[-2:-1].isalpha():
+                    # a mark after a letter is a match of its own
+                    marked.append(at)
+                    if word[:-1] not in known:
+                        ids = older.get(word[:-1])
+                        bare[word[:-1]] = ids
+                else:
+                    fresh.append(at)
+                    bare[word] = None
+        unseen = [w for w, ids in bare.items() if ids is None]
+        bare.update(zip(unseen, self.bulk(unseen)))
+        for at in fresh:
+            found[at] = bare[words[at]]
+        for at in marked:
+            word = words[at]
+            found[at] = (bare.get(word[:-1]) or known[word[:-1]]) + self.marks[word[-1]]
+        known.update((w, ids) for w, ids in bare.items() if len(w) <= LONGEST_KEPT)
+        if len(known) > RECENT_WORDS:
+            self.known, self.older = {}, known
+        return found
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        firsts = np.zeros(int(ends[-1]), bool)
+        firsts[ends[:-1]] = True
+        heads = cut.values.filter(pa.array(firsts)).to_pylist()
+        words = cut.values.filter(pa.array(~firsts)).dictionary_encode()
+        laid = pa.array(self._look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        _, places, data = laid.buffers()
+        until = np.frombuffer(places, np.int64)[ends - np.arange(len(ends))].tolist()
+        held = memoryview(data)
+        return [(self._plain(head) if head else b"") + held[a:b] for head, a, b in zip(heads, until, until[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+        runs = [has_runs(t) for t in texts]
+        plain = [t for t, r in zip(texts, runs) if not r]
+        found: list[bytes] = []
         at = 0
-        while at < len(texts):
+        while at < len(plain):
             end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= GROUP_CHARS):
-                chars += len(texts[end])
+            while end < len(plain) and (end == at or chars + len(plain[end]) <= GROUP_CHARS):
+                chars += len(plain[end])
                 end += 1
-            cut = [None if has_runs(t) else t.split(" ") for t in texts[at:end]]
-            self._learn([c[1:] for c in cut if c])
-            for text, parts in zip(texts[at:end], cut):
-                if parts is None:
-                    out.append(b"".join(map(self.matches.__getitem__, PATTERN.findall(text))))
-                else:
-                    out.append(b"".join([*map(self.matches.__getitem__, PATTERN.findall(parts[0])), *map(self.words.__getitem__, parts[1:])]))
+            found += self._group(plain[at:end])
             at = end
-        return out
+        rest = iter(found)
+        return [self._plain(t) if r else next(rest) for t, r in zip(texts, runs)]

@@ -33,7 +33,11 @@ def test_pieces_keep_the_matches(text):
     assert [m for p in pieces(text) for m in PATTERN.findall(p)] == PATTERN.findall(text)
     assert "".join(pieces(text)) == text
     assert all(matches(p) == PATTERN.findall(p) for p in pieces(text) if p)
-    assert TextEncoder(lambda m: f"<{m}>".encode(), lambda words: [f"< {w}>".encode() for w in words]).encode([text])[0].decode() == "".join(f"<{m}>" for m in PATTERN.findall(text))
+    shown = lambda part: "".join(f"<{m}>" for m in PATTERN.findall(part))
+    coder = TextEncoder(lambda m: f"<{m}>".encode(), lambda words: [shown(" " + w).encode() for w in words])
+    for _ in range(2):  # new words, then known ones
+        assert coder.encode([text, text + ".", text])[0].decode() == shown(text)
+        assert coder.encode([text + "."])[0].decode() == shown(text + ".")
 
 
 def test_matrix_encoder(library):
