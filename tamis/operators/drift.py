@@ -7,6 +7,7 @@ Schemas are rows ``(workflow_id, field, type)``; drift is rows
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -132,32 +133,60 @@ def rename_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
     return scored.where(F.col("score") >= F.col("threshold")).drop("threshold").distinct()
 
 
-def match_renames(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches ``(workflow_id, removed, added, score)``.
+def _claims(pairs: DataFrame, blocks: int | None) -> DataFrame:
+    """What removed names would take if those of other blocks took nothing: ``(owner, removed, added, score)``.
 
-    Removed names take, in name order, their best added name not taken before; equal scores go to
-    the first name. That order is sequential within a workflow: its candidate pairs, short names and
-    a score, pass in order through one task, which remembers the names taken.
+    A block is a stretch of removed names in name order. Its pairs stream in order through one task,
+    which remembers the names taken in this block.
     """
-    kind = dict(pairs.dtypes)["workflow_id"]
-    owner = F.coalesce(F.concat(F.lit("="), F.col("workflow_id").cast("string")), F.lit("-"))
-    flow = pairs.select(owner.alias("__owner"), "workflow_id", "removed", "added", "score").repartition("__owner")
-    flow = flow.sortWithinPartitions("__owner", "removed", F.desc("score"), "added")
+    by = [F.col("owner"), F.col("removed")]
+    cut = pairs.repartitionByRange(blocks, *by) if blocks else pairs.repartitionByRange(*by)
+    flow = cut.sortWithinPartitions("owner", "removed", F.desc("score"), "added")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, done, taken = None, None, set()
         for batch in batches:
             keep = []
-            for own, old, new in zip(*(batch.column(n).to_pylist() for n in ("__owner", "removed", "added"))):
+            for own, old, new in zip(*(batch.column(n).to_pylist() for n in ("owner", "removed", "added"))):
                 if own != here:
                     here, done, taken = own, None, set()
                 keep.append(old != done and new not in taken)
                 if keep[-1]:
                     done = old
                     taken.add(new)
-            yield batch.select(["workflow_id", "removed", "added", "score"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return flow.mapInArrow(settle, flow.schema)
+
 
-    return flow.mapInArrow(settle, f"workflow_id {kind}, removed string, added string, score double")
+def match_renames(pairs: DataFrame, blocks: int | None = None) -> DataFrame:
+    """One-to-one matches ``(workflow_id, removed, added, score)``.
+
+    Removed names take, in name order, their best added name not taken before; equal scores go to
+    the first name. Blocks of names claim side by side as if alone. Of several claims to an added
+    name the first removed name's wins, and later names can never have it, so their pairs with it go
+    and the workflows with a lost claim claim again. The claims of a block are final once those of
+    the blocks before it are, so there are at most as many rounds as a workflow has blocks, and the
+    result is that of one pass in order. Each round is stored. Nothing but whether a claim was lost
+    reaches the driver.
+
+    ``blocks`` is the number of blocks over all workflows; by default Spark chooses it by size.
+    """
+    owner = F.coalesce(F.concat(F.lit("="), F.col("workflow_id").cast("string")), F.lit("-"))
+    open_ = materialize(pairs.select(owner.alias("owner"), "workflow_id", "removed", "added", "score"), "renames")
+    settled = []
+    while True:
+        claims = materialize(_claims(open_, blocks), "claims")
+        winners = claims.groupBy("owner", "added").agg(F.min("removed").alias("winner"), F.count(F.lit(1)).alias("n"))
+        lost = winners.where(F.col("n") > 1).select("owner").distinct()
+        if lost.isEmpty():
+            settled.append(claims)
+            break
+        settled.append(claims.join(lost, "owner", "left_anti"))
+        left = open_.join(lost, "owner", "left_semi").join(winners.drop("n"), ["owner", "added"], "left")
+        left = left.where(F.col("winner").isNull() | (F.col("removed") <= F.col("winner")))
+        open_ = materialize(left.select(*open_.columns), "renames")
+    return reduce(DataFrame.unionByName, settled).select("workflow_id", "removed", "added", "score")
 
 
 def detect(snapshot: DataFrame, current: DataFrame, threshold: float | DataFrame = THRESHOLD) -> DataFrame:
@@ -172,7 +201,7 @@ def detect(snapshot: DataFrame, current: DataFrame, threshold: float | DataFrame
     else:
         ready = changes.withColumn("threshold", F.lit(float(threshold)))
     side = lambda kind: ready.where(F.col("kind") == kind).select("workflow_id", "field", "threshold")
-    matches = materialize(match_renames(rename_candidates(side("REMOVED_FIELD"), side("NEW_FIELD"))), "matches")
+    matches = match_renames(rename_candidates(side("REMOVED_FIELD"), side("NEW_FIELD")))
     gone = matches.select("workflow_id", F.col("removed").alias("field"), F.lit("REMOVED_FIELD").alias("kind")).unionByName(
         matches.select("workflow_id", F.col("added").alias("field"), F.lit("NEW_FIELD").alias("kind"))
     )

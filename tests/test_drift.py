@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.operators import audit, drift, lifecycle
+from tamis.session import materialize
 
 
 def schema(spark, fields, workflow="w"):
@@ -100,6 +101,43 @@ def test_matching_is_greedy_in_name_order(spark):
     assert {tuple(r) for r in drift.match_renames(frame).collect()} == greedy(pairs)
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 7])
+def test_blocks_claim_as_one_pass_would(spark, blocks):
+    rng = random.Random(blocks)
+    pairs = {(None, r, a): rng.choice([0.85, 0.9, 0.95]) for r in "abcdefghij" for a in "pqrstuv" if rng.random() < 0.7}
+    pairs |= {("chain", f"r{r:02d}", f"a{a:02d}"): 1 - a / 100 for r in range(12) for a in range(12)}  # all want the same names
+    pairs |= {("calm", f"r{r}", f"a{r}"): 0.9 for r in range(5)}
+    rows = [(*k, s) for k, s in pairs.items()]
+    frame = spark.createDataFrame(rows, "workflow_id string, removed string, added string, score double")
+    expected = greedy([(w or "", r, a, s) for w, r, a, s in rows])
+    assert {(w or "", *rest) for w, *rest in drift.match_renames(frame, blocks).collect()} == expected
+
+
+def test_one_large_workflow_in_several_tasks(spark):
+    """100,000 candidate pairs of one workflow: claims come from several tasks, rows are those of one pass."""
+    n = F.col("id")
+    pairs = spark.range(100_000).select(
+        F.lit("w").alias("workflow_id"),
+        F.format_string("r%05d", (n / 20).cast("int")).alias("removed"),
+        F.format_string("a%05d", F.pmod(F.xxhash64(n), F.lit(6000)).cast("int")).alias("added"),
+        (F.lit(0.85) + F.pmod(F.xxhash64(n, F.lit(1)), F.lit(15)) / 100).alias("score"),
+    ).dropDuplicates(["removed", "added"])
+    pairs = materialize(pairs, "pairs")
+    owned = pairs.select(F.lit("=w").alias("owner"), "workflow_id", "removed", "added", "score")
+    assert drift._claims(owned, 8).select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    taken, expected = set(), set()
+    best = {}
+    for _, r, a, s in pairs.collect():
+        best.setdefault(r, []).append((-s, a))
+    for r in sorted(best):
+        for s, a in sorted(best[r]):
+            if a not in taken:
+                taken.add(a)
+                expected.add((r, a))
+                break
+    assert {(r.removed, r.added) for r in drift.match_renames(pairs, 8).collect()} == expected
+
+
 def test_no_candidates(spark):
     empty = spark.createDataFrame([], "workflow_id string, removed string, added string, score double")
     assert drift.match_renames(empty).count() == 0
