@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tamis.functions.scalars import col, ordering, row_hash
 from tamis.operators.aggregate import PLAIN, QUANTILES
-from tamis.operators.ordered import hashable
+from tamis.operators.ordered import SLICE, SPREAD, _slices, hashable
+from tamis.session import materialize, scratch_path
 
 # The pivot aggregations of a workflow.
 PIVOT_FUNCTIONS = ("SUM", "AVG", "COUNT", "MIN", "MAX")
@@ -54,16 +56,53 @@ def sort(df: DataFrame, order_by: Sequence) -> DataFrame:
     return df.orderBy(*ordering(order_by), row_hash(hashable(df)))
 
 
+def _page_bounds(number: int, size: int) -> tuple[int, int]:
+    return max(1, number), min(max(1, size), 100)
+
+
 def page(df: DataFrame, order_by: Sequence, number: int = 1, size: int = 20) -> DataFrame:
     """One page of a listing: number at least 1, size held between 1 and 100 (limits of the listing).
 
     Equal rows follow a row hash, so pages never overlap. Pages up to the one asked for pass through
-    the last step, so deep listings should be narrowed by a filter on the order first.
+    the last step; deep listings, or many pages of one listing, are better read from a ``PageIndex``.
     """
-    number, size = max(1, number), min(max(1, size), 100)
+    number, size = _page_bounds(number, size)
     return df.orderBy(*ordering(order_by), row_hash(hashable(df))).offset((number - 1) * size).limit(size)
 
 
+class PageIndex:
+    """A sorted listing stored in range slices, each a folder of its own, with the rows before each slice.
+
+    Any page then reads the slices that hold its rows and nothing of the others, however deep it is.
+    Rows have the order of ``page``; exact copies of a row are spread over slices like other rows.
+    """
+
+    def __init__(self, df: DataFrame, order_by: Sequence):
+        tie = "__tie"
+        order = [*order_by, tie]
+        placed, sums = _slices(df.withColumn(tie, row_hash(hashable(df))), [], order, {"n": F.count(F.lit(1))})
+        earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+        self.starts = materialize(sums.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "starts")
+        within = F.row_number().over(Window.partitionBy(SLICE).orderBy(*ordering(order), SPREAD))
+        rows = placed.join(F.broadcast(self.starts.select(SLICE, "first")), SLICE).withColumn("__row", F.col("first") + within)
+        self.path = scratch_path(df.sparkSession, "listing")
+        rows.select(*[col(c) for c in df.columns], "__row", SLICE).write.partitionBy(SLICE).parquet(self.path)
+        kinds = StructType(list(df.schema.fields)).add("__row", "long").add(SLICE, "integer")
+        self.rows, self.columns = df.sparkSession.read.schema(kinds).parquet(self.path), df.columns
+
+    def count(self) -> int:
+        return self.starts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def page(self, number: int = 1, size: int = 20) -> DataFrame:
+        """One page; the numbers of at most ``size`` slices reach the driver."""
+        number, size = _page_bounds(number, size)
+        low, high = (number - 1) * size, number * size
+        held = self.starts.where((F.col("first") < high) & (F.col("first") + F.col("n") > low))
+        slices = [r[0] for r in held.select(SLICE).collect()]
+        found = self.rows.where(F.col(SLICE).isin(slices) & F.col("__row").between(low + 1, high))
+        return found.orderBy("__row").select(*[col(c) for c in self.columns])
+
+
 def top_n(df: DataFrame, order_by: Sequence, n: int) -> DataFrame:
     return df.orderBy(*ordering(order_by)).limit(n)
 

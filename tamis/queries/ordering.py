@@ -1,5 +1,8 @@
 """Window functions, outliers, normalization, reshaping and sorting."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.operators import quality, reshape, window
@@ -283,6 +286,20 @@ def q_page(spark, sf):
     return reshape.page(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [("o_orderdate", "DESC"), "o_orderkey"], 3, 20)
 
 
+@query(
+    """WITH listed AS (SELECT l_orderkey, l_linenumber, l_shipdate, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) - 1 AS nth,
+      count(*) OVER () AS n FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_shipdate, nth // 20 + 1 AS page FROM listed WHERE nth // 20 + 1 IN (1, (n + 19) // 20 // 2, (n + 19) // 20)"""
+)
+def q_page_index(spark, sf):
+    """The first, the middle and the last page of all line items, from one index."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    index = reshape.PageIndex(rows, [("l_shipdate", "DESC"), "l_orderkey", "l_linenumber"])
+    last = (index.count() + 19) // 20
+    pages = [index.page(n, 20).withColumn("page", F.lit(n).cast("bigint")) for n in sorted({1, max(1, last // 2), max(1, last)})]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query(
     """SELECT l_suppkey, sum(l_quantity) AS value FROM lineitem GROUP BY l_suppkey ORDER BY value DESC, l_suppkey LIMIT 10"""
 )

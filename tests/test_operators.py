@@ -242,6 +242,24 @@ def test_pivot_missing_cells(spark):
         reshape.column_values(df, "r", 1)
 
 
+def test_page_index(spark):
+    """Every page equals the plain page, copies and NULLs included, and reads the folders of its slices alone."""
+    rows = [(i % 7 if i % 11 else None, i % 3) for i in range(300)] + [(3, 1)] * 400
+    df = spark.createDataFrame(rows, "a int, b int")
+    order = [("a", "DESC"), "b"]
+    index = reshape.PageIndex(df, order)
+    assert index.count() == 700 and index.starts.count() > 3
+    for number in (1, 4, 13, 35, 36):
+        assert index.page(number).collect() == reshape.page(df, order, number).collect()
+    got = [tuple(r) for n in range(1, 8) for r in index.page(n, 100).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+    deep = index.page(34)
+    plan = deep._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "__slice" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    empty = reshape.PageIndex(df.where("a > 99"), order)
+    assert empty.count() == 0 and empty.page(1).collect() == []
+
+
 def test_page_limits(spark):
     df = spark.range(300)
     assert [r.id for r in reshape.page(df, ["id"], 0, 0).collect()] == [0]
