@@ -1,6 +1,7 @@
 """Small literal cases of projection, joins, quality, charts, KPIs and samples."""
 
 import datetime as dt
+import functools
 
 import pytest
 from pyspark.sql import functions as F
@@ -300,6 +301,21 @@ def test_stratified_shares(spark):
     assert every.count() == 1000
 
 
+def test_random_samples_are_even_over_many_seeds(spark):
+    """40 samples of 500 of 10,000 sorted rows: each tenth of the table, and each pair of seeds, is met as often as by chance."""
+    base = spark.range(10_000)
+    picked = [sample.sample(base, "RANDOM", 500, seed).select(F.lit(seed).alias("seed"), "id") for seed in range(40)]
+    rows = [(r.seed, r.id) for r in functools.reduce(lambda a, b: a.unionByName(b), picked).collect()]
+    assert len(rows) == 40 * 500
+    tenths = [sum(1 for _, i in rows if i // 1000 == t) for t in range(10)]
+    assert all(abs(n - 2000) < 6 * (20_000 * 0.1 * 0.9) ** 0.5 for n in tenths)
+    own = [{i for s, i in rows if s == seed} for seed in range(40)]
+    shared = [len(a & b) for n, a in enumerate(own) for b in own[:n]]
+    assert abs(sum(shared) / len(shared) - 25) < 2  # 500 * 500 / 10,000
+    # parts of a step of the row number are as common as in the table
+    assert all(abs(sum(1 for _, i in rows if i % 7 == k) - 20_000 / 7) < 6 * (20_000 * 6 / 49) ** 0.5 for k in range(7))
+
+
 def test_sample_arguments(hundred):
     for bad in (dict(strategy="RESERVOIR"), dict(strategy="RANDOM", size=0), dict(strategy="RANDOM", size=20_000), dict(strategy="STRATIFIED"), dict(strategy="GOLDEN")):
         with pytest.raises(ValueError):
