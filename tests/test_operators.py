@@ -316,6 +316,21 @@ def test_random_samples_are_even_over_many_seeds(spark):
     assert all(abs(sum(1 for _, i in rows if i % 7 == k) - 20_000 / 7) < 6 * (20_000 * 6 / 49) ** 0.5 for k in range(7))
 
 
+def test_column_diff_by_sketches(spark):
+    """Marks and differing rows as in the exact form, distinct counts within five standard errors, no row expanded."""
+    n = F.col("id")
+    old = spark.range(20_000).select("id", (n % 5000).alias("a"), F.concat(F.lit("x"), n % 3).alias("b"), F.lit(None).cast("double").alias("c"))
+    new = old.withColumn("a", F.when(n % 100 == 0, -n).otherwise(F.col("a")))
+    exact = {r.column: r for r in compare.column_diff(old, new, ["id"]).collect()}
+    sketched = compare.column_diff(old, new, ["id"], approximate=True)
+    assert "Expand" not in sketched._jdf.queryExecution().executedPlan().toString()
+    for r in sketched.collect():
+        sure = exact[r.column]
+        assert (r.rows_differing, r.status) == (sure.rows_differing, sure.status)
+        assert abs(r.distinct_before - sure.distinct_before) <= 0.05 * sure.distinct_before
+        assert abs(r.distinct_after - sure.distinct_after) <= 0.05 * sure.distinct_after
+
+
 def test_sample_arguments(hundred):
     for bad in (dict(strategy="RESERVOIR"), dict(strategy="RANDOM", size=0), dict(strategy="RANDOM", size=20_000), dict(strategy="STRATIFIED"), dict(strategy="GOLDEN")):
         with pytest.raises(ValueError):
