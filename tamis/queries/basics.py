@@ -389,9 +389,8 @@ def q_similarity(spark, sf):
 @query("SELECT c_custkey, format('{:,.1f} t', c_acctbal * 10) AS shown FROM customer")
 def q_number_label(spark, sf):
     c = table(spark, sf, "customer")
-    # tenfold of a two-digit amount has one digit, so no rounding rule is involved
-    value = F.round(F.col("c_acctbal") * 10, 1)
-    return c.select("c_custkey", scalars.number_label(value, 1, "t", "#,##0.0").alias("shown"))
+    # the label alone rounds, half to even: rounding before it would take the sign of a negative zero
+    return c.select("c_custkey", scalars.number_label(F.col("c_acctbal") * 10, 1, "t", "#,##0.0").alias("shown"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")

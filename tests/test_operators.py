@@ -3,9 +3,11 @@
 import datetime as dt
 import functools
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tamis.functions import scalars
 from tamis.operators import charts, compare, join, kpi, project, quality, reshape, sample
 
@@ -163,6 +165,17 @@ def test_number_labels(spark):
     assert share.select(scalars.number_label(F.col("v"), 1, "%", "0.0%")).first()[0] == "12.3%"
 
 
+def test_number_label_query_on_signs_and_halves(spark, tmp_path):
+    amounts = [-0.0, 0.0, -0.01, -0.001, 0.025, 0.075, -99.99, 999.95, -123456.78, None]
+    rows = [(i, a) for i, a in enumerate(amounts)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    got = dict(entry.queries()["q_number_label"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert got == dict(con.execute(entry.oracle_sql()["q_number_label"]).fetchall())
+    assert got[0] == "-0.0 t"
+
+
 def test_globs():
     assert scalars.glob_regex("a{x}:*") == "^a\\{x\\}:.*$"
     assert scalars.glob_regex("k?[ab].c") == "^k.[ab]\\.c$"
