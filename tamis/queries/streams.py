@@ -8,17 +8,20 @@ from tamis.session import scratch_path
 from tamis.sources import topic_log
 from tamis.sources.tables import decode_messages
 from tamis.streaming import alerts, late, measures
-from tamis.streaming.run import drain, run_scheduled
+from tamis.streaming.run import run_scheduled, write_epochs
 
 SLICES = 6
 
 
-def land_in_slices(df, arrival, count=SLICES):
-    """Files that arrive one after the other: ``arrival`` (0 to ``count`` - 1) says with which a row comes."""
-    path = scratch_path(df.sparkSession, "arrivals")
+def land_in_slices(df, arrival, path, count=SLICES):
+    """Slices that arrive one after the other: ``arrival`` (0 to ``count`` - 1) says with which a row comes.
+
+    All tasks write the files of a slice. The caller runs its stream whenever a slice has landed, so that a micro-batch
+    is a slice however many files it has.
+    """
     for i in range(count):
-        df.where(arrival == i).coalesce(1).write.mode("append").parquet(path)
-    return path
+        df.where(arrival == i).write.mode("append").parquet(path)
+        yield i
 
 
 def _day(ts="ts"):
@@ -38,23 +41,25 @@ _HOURS = """(SELECT CAST(user_id AS VARCHAR) AS key, to_timestamp(floor(epoch(ts
     SELECT key, since, min(t) AS fired_at FROM s WHERE epoch(t) - epoch(since) >= 43200 GROUP BY key, run, since"""
 )
 def q_stream_held_live(spark, sf):
-    """Raw events in six files, up to two days out of order; alerts as the watermark allows."""
+    """Raw events in six slices, up to two days out of order; alerts as the watermark allows."""
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     came = F.col("ts") + F.make_interval(hours=F.pmod(F.col("event_id") * 7919, F.lit(48)).cast("int"))
-    path = land_in_slices(events, F.least(F.lit(SLICES - 1), F.floor(F.datediff(came, F.lit("2024-01-01").cast("date")) / 5)))
-    stream = measures.event_stream(spark, path, events.schema, "ts", 1)
-    found = alerts.live_held_alerts(stream, "user_id", "ts", F.col("value") > 10, "1 hour", "12 hours", "3 days", "2 days")
-    return _plain_times(drain(found, "append"))
+    path, base, state = (scratch_path(spark, n) for n in ("arrivals", "alerts", "stream-state"))
+    for _ in land_in_slices(events, F.least(F.lit(SLICES - 1), F.floor(F.datediff(came, F.lit("2024-01-01").cast("date")) / 5)), path):
+        stream = measures.event_stream(spark, path, events.schema, "ts")
+        found = alerts.live_held_alerts(stream, "user_id", "ts", F.col("value") > 10, "1 hour", "12 hours", "3 days", "2 days")
+        write_epochs(found, base, "append", state).awaitTermination()
+    return _plain_times(spark.read.schema(found.schema).parquet(base).select(*found.columns))
 
 
 def _split(spark, sf):
-    """All events, those of one id in fifty with the last file; (base, schema)."""
+    """All events, those of one id in fifty with the last slice; (base, schema)."""
     events = table(spark, sf, "events")
-    path = land_in_slices(events, F.when(F.col("event_id") % 50 == 7, SLICES - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(_day() / 5)))))
-    stream = measures.event_stream(spark, path, events.schema, "ts", 1)
-    base = scratch_path(spark, "fates")
-    state = scratch_path(spark, "stream-state")
-    stream.writeStream.foreachBatch(late.split_late(base, "ts", "2 days")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    path, base, state = (scratch_path(spark, n) for n in ("arrivals", "fates", "stream-state"))
+    arrival = F.when(F.col("event_id") % 50 == 7, SLICES - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(_day() / 5))))
+    for _ in land_in_slices(events, arrival, path):
+        stream = measures.event_stream(spark, path, events.schema, "ts")
+        stream.writeStream.foreachBatch(late.split_late(base, "ts", "2 days")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return base, stream.schema
 
 
@@ -106,10 +111,9 @@ def q_stream_scheduled(spark, sf):
     events = table(spark, sf, "events")
     path, base, state = (scratch_path(spark, n) for n in ("arrivals", "runs", "stream-state"))
     arrival = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(_day() / 5)))
-    for first in range(0, SLICES, 2):
-        for i in (first, first + 1):
-            events.where(arrival == i).coalesce(1).write.mode("append").parquet(path)
-        run_scheduled(definition, measures.event_stream(spark, path, events.schema, files_per_batch=1), base, state).awaitTermination()
+    for i in land_in_slices(events, arrival, path):
+        if i % 2:
+            run_scheduled(definition, measures.event_stream(spark, path, events.schema), base, state).awaitTermination()
     return spark.read.parquet(base).select("came", "event_type", "total", "n")
 
 

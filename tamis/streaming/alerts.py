@@ -18,6 +18,8 @@ from tamis.streaming.measures import seconds, windowed
 
 HOLD = "5 minutes"
 ALERT = "key string, since timestamp, fired_at timestamp"
+# Groups of keys that share a call and a row of state: a call costs milliseconds, however few rows it has.
+BUCKETS = 1024
 
 
 def evaluations(
@@ -115,8 +117,9 @@ def partial_evaluations(events: DataFrame, key: str, time_field: str, condition:
 
 
 def live_held_alerts(
-    events: DataFrame, key: str, time_field: str, condition: Column, interval: str = "30 seconds", hold: str = HOLD, lateness: str = "10 minutes", idle: str = "1 day"
-) -> DataFrame:
+    events: DataFrame, key: str, time_field: str, condition: Column, interval: str = "30 seconds", hold: str = HOLD, lateness: str = "10 minutes", idle: str = "1 day",
+    buckets: int = BUCKETS,
+) -> DataFrame:
     """Stream of ``(key, since, fired_at)`` straight from raw events, in one stateful step.
 
     An interval of a key is evaluated when the watermark has passed its end, so events may come in any order within
@@ -124,17 +127,15 @@ def live_held_alerts(
     alert fires once the condition held at each evaluation for ``hold``, and is re-armed by an evaluation without it or
     by a pause of more than ``idle`` between evaluations. After such a pause the state of a key is removed, so keys
     that are gone leave nothing behind.
+
+    Keys are dealt by hash into ``buckets``, and a bucket is one group of the stateful step. Raise it for hundreds of
+    millions of keys; a stream that runs on from a checkpoint must keep its number.
     """
     width, hold_us, idle_us = (int(seconds(x) * 1_000_000) for x in (interval, hold, idle))
 
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, fired, last, waiting = state.get if state.exists else (-1, False, -1, "{}")
-        open_at = {int(k): v for k, v in json.loads(waiting).items()}
-        if not state.hasTimedOut:
-            for batch in batches:
-                for start, active in zip(batch["start_us"], batch["active"]):
-                    open_at[int(start)] = bool(active) or open_at.get(int(start), False)
-        passed = state.getCurrentWatermarkMs() * 1000
+    def evaluate(known: list, passed: int) -> tuple[list, int]:
+        """The alerts of a key, and when it must be looked at again; ``known``, its state, is brought up to date."""
+        since, fired, last, open_at = known
         fires = []
         for at in sorted(t for t in open_at if t + width <= passed):
             active = open_at.pop(at)
@@ -148,15 +149,34 @@ def live_held_alerts(
             if not fired and at - since >= hold_us:
                 fired = True
                 fires.append((since, at))
-        wake = min(open_at) + width if open_at else last + width + idle_us
-        if wake <= passed:
+        known[:3] = since, fired, last
+        return fires, min(open_at) + width if open_at else last + width + idle_us
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys = {}
+        for name, since, fired, last, waiting in json.loads(state.get[0]) if state.exists else ():
+            keys[name] = [since, fired, last, dict(waiting)]
+        if not state.hasTimedOut:
+            for batch in batches:
+                for name, start, active in zip(batch["key"].tolist(), batch["start_us"].tolist(), batch["active"].tolist()):
+                    open_at = keys.setdefault(name, [-1, False, -1, {}])[3]
+                    open_at[start] = active or open_at.get(start, False)
+        passed = state.getCurrentWatermarkMs() * 1000
+        found, kept, wake = [], [], None
+        for name, known in keys.items():
+            fires, due = evaluate(known, passed)
+            found += [(name, *f) for f in fires]
+            if due > passed:
+                kept.append([name, *known[:3], list(known[3].items())])
+                wake = due if wake is None else min(wake, due)
+        if wake is None:
             state.remove()
         else:
-            state.update((since, fired, last, json.dumps(open_at)))
+            state.update((json.dumps(kept),))
             state.setTimeoutTimestamp(-(-wake // 1000))
-        if fires:
-            yield pd.DataFrame({"key": [name[0]] * len(fires), "since": pd.to_datetime([f[0] for f in fires], unit="us"), "fired_at": pd.to_datetime([f[1] for f in fires], unit="us")})
+        if found:
+            yield pd.DataFrame({"key": [f[0] for f in found], "since": pd.to_datetime([f[1] for f in found], unit="us"), "fired_at": pd.to_datetime([f[2] for f in found], unit="us")})
 
     parts = partial_evaluations(events, key, time_field, condition, interval).withWatermark("latest", lateness)
-    kept = "since bigint, fired boolean, last bigint, waiting string"
-    return parts.groupBy("key").applyInPandasWithState(step, ALERT, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, ALERT, "keys string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tamis.queries.streams import land_in_slices
 from tamis.session import scratch_path
 from tamis.sources import topic_log
-from tamis.streaming import alerts, late, run
+from tamis.streaming import alerts, late, measures, run
 from tests.test_workflow import EVENTS, at, stream_of
 
 ON, OFF = 1.0, 0.0
@@ -47,6 +48,32 @@ def test_state_of_silent_keys_goes(spark):
     assert [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1] == 1
 
 
+def test_live_alerts_keep_state_by_bucket(spark):
+    names = [None, *(f"k{i}" for i in range(2000))]
+    batches = [
+        [(i, at(0), n, ON) for i, n in enumerate(names)],
+        [(i, at(5), n, OFF if i % 3 == 0 else ON) for i, n in enumerate(names)],
+        [(i, at(6), n, ON) for i, n in enumerate(names) if i % 2] + [(-1, at(60), "z", ON)],
+    ]
+    stream = alerts.live_held_alerts(stream_of(spark, batches), "kind", "ts", F.col("value") > 0.5, "1 minute", "5 minutes", "10 minutes")
+    out = scratch_path(spark, "out")
+    query = run.write_epochs(stream, out, "append", scratch_path(spark, "state"))
+    query.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= alerts.BUCKETS
+    found = {(r.key, r.since, r.fired_at) for r in spark.read.parquet(out).collect()}
+    assert found == {(n, at(0), at(5)) for i, n in enumerate(names) if i % 3}
+    assert set(live(spark, batches, lateness="10 minutes", buckets=1)) == {(n or "", *t) for n, *t in found}
+
+
+def test_a_slice_lands_by_many_tasks_and_is_one_micro_batch(spark):
+    path, base, state = (scratch_path(spark, n) for n in ("arrivals", "out", "state"))
+    rows = spark.range(0, 600, 1, 4).select("id", (F.col("id") % 3).alias("came"))
+    for i in land_in_slices(rows, F.col("came"), path, 3):
+        assert len(spark.read.parquet(path).inputFiles()) == 4 * (i + 1)
+        run.write_epochs(measures.event_stream(spark, path, rows.schema), base, "append", state).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(base).groupBy("epoch").agg(F.min("came"), F.max("came"), F.count("*")).sort("epoch").collect()] == [(i, i, i, 200) for i in range(3)]
+
+
 def split(spark, batches, lateness="10 minutes"):
     base = scratch_path(spark, "fates")
     stream = stream_of(spark, batches)
