@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_anew(df: DataFrame) -> DataFrame:
+    """The same rows in other tasks and another order, in partitions whose size the session fixes, not their number."""
+    return df.hint("rebalance")
+
+
 def rounded(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
     """Round the named double columns (all if none is named)."""
     kinds = dict(df.dtypes)

@@ -8,7 +8,7 @@ from tamis.operators import charts, join, kpi, sample
 from tamis.plans import workflow
 from tamis.plans.simulate import simulate, simulate_series
 from tamis.queries.derived import day_values, day_values_sql
-from tamis.queries.registry import query, rounded, table
+from tamis.queries.registry import dealt_anew, query, rounded, table
 from tamis.session import materialize
 
 # Net sales per brand and year: which brands lead, and how much is sold at a deep discount.
@@ -432,8 +432,10 @@ def q_sample_random(spark, sf):
     out = None
     for seed in range(42, 46):
         picked = materialize(sample.sample(rows, "RANDOM", 1000, seed), "picked")
-        again = sample.sample(rows.repartition(5), "RANDOM", 1000, seed)
-        known = picked.join(rows, rows.columns, "left_semi").agg(F.count(F.lit(1))).scalar()
+        again = sample.sample(dealt_anew(rows), "RANDOM", 1000, seed)
+        # the few rows of the sample go to the table, not the table to them
+        met = rows.join(F.broadcast(picked), rows.columns, "left_semi")
+        known = picked.join(met, rows.columns, "left_semi").agg(F.count(F.lit(1))).scalar()
         moved = picked.exceptAll(again).agg(F.count(F.lit(1))).scalar()
         one = picked.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(seed).cast("bigint").alias("seed"), "rows", known.alias("known"), (moved == 0).alias("repeatable"))
         out = one if out is None else out.unionByName(one)
