@@ -324,8 +324,8 @@ def _range_frame(df, alias, kind, keys, order, src, start: int, end: int) -> Dat
 
     Rows of one value are combined first. Each value then asks twice, at its two bounds, among the values themselves: in
     the order of values and asks, the running totals at an ask hold all values on one side of that bound. The running
-    totals come from slices cut by rows, so a dense field is spread like any other. A sum over the frame is the
-    difference of two totals, which is exact: integers and decimals by type, doubles by ``_exact_parts``.
+    totals come from slices cut by rows, so a dense field is spread like any other. Sums, averages and counts are
+    differences of two totals, see ``_sum_frames``.
     """
     fields = order_fields(order)
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -335,6 +335,8 @@ def _range_frame(df, alias, kind, keys, order, src, start: int, end: int) -> Dat
     if not open_start and not open_end and start > end:
         return df.withColumn(alias, F.lit(0).cast("bigint") if kind == "COUNT" else F.lit(None).cast(dict(df.dtypes)[src]))
     falling = not isinstance(order[0], str) and (order[0]["direction"] if isinstance(order[0], dict) else order[0][1]).upper() == "DESC"
+    if kind in ("SUM", "AVG", "COUNT"):
+        return _sum_frames(df, keys, fields[0], falling, {alias: (kind, src, start, end)})
     if kind in EDGES:
         peers = list(dict.fromkeys([*keys, *fields]))
         pick = F.min_by if kind == "FIRST_VALUE" else F.max_by
@@ -343,12 +345,7 @@ def _range_frame(df, alias, kind, keys, order, src, start: int, end: int) -> Dat
         parts, peers = _peer_parts(df, kind, keys, order, src)
     place = -col(fields[0]) if falling else col(fields[0])
     parts = materialize(parts.withColumn("__p", place).withColumn("__nul", F.col("__p").isNull().cast("int")), "values")
-    if kind in EDGES:
-        sums = {"one": F.col("__one")}
-    elif kind in ("MIN", "MAX"):
-        sums = {}
-    else:
-        sums = {"k": F.col("__k"), **(_exact_parts(parts) if kind != "COUNT" else {})}
+    sums = {"one": F.col("__one")} if kind in EDGES else {}
     weighed = parts.withColumns({f"__v_{n}": w for n, w in sums.items()})
     names = [f"__v_{n}" for n in sums] if sums else ["__x"]
     shift = {0: start, 2: end}  # asks just before and just after the values of their bound
@@ -376,44 +373,116 @@ def _range_frame(df, alias, kind, keys, order, src, start: int, end: int) -> Dat
         whole = weighed.groupBy(*[col(k) for k in keys]).agg(*[F.sum(n).alias(f"__2{n}") for n in names])
         flat = join_on(flat, whole, keys) if keys else flat.join(F.broadcast(whole))
     low = lambda n: zero(f"__t{n}") if open_start else F.col(f"__0{n}")
-    if kind in EDGES:
-        n = names[0]
-        index = F.when(low(n) < F.col(f"__2{n}"), low(n) + 1 if kind == "FIRST_VALUE" else F.col(f"__2{n}"))
-        flat = flat.withColumn("__want", index.cast("bigint"))
-        values = join_on(parts.withColumn("__own", F.col("__p")), flat.select(*[col(k) for k in own], "__want", "__nth"), own)
-        values = materialize(values, "indexed")
-        chosen = values.select(*[col(k) for k in keys], F.col("__nth").cast("bigint").alias("__want"), F.col("__x").alias("__found"))
-        found = join_on(values.select(*[col(p) for p in peers], "__want"), chosen, [*keys, "__want"])
-        return join_on(df, found.select(*[col(p) for p in peers], F.col("__found").alias(alias)), peers)
-    inside = {n: F.col(f"__2{n}") - low(n) for n in names}
-    result = flat.withColumn("__seen", inside["__v_k"].cast("bigint"))
-    if kind != "COUNT":
-        result = result.withColumn("__sum", _joined_parts({n[4:]: c for n, c in inside.items()}))
-    result = result.withColumn(alias, _from_sums(kind))
-    values = join_on(parts.withColumn("__own", F.col("__p")), result.select(*[col(k) for k in own], alias), own)
-    return join_on(df, values.select(*[col(p) for p in peers], alias), peers)
-
-
-def _exact_parts(parts: DataFrame) -> dict[str, Column]:
-    """Weights whose running totals are exact and can be subtracted, from the column ``__s``.
+    n = names[0]
+    index = F.when(low(n) < F.col(f"__2{n}"), low(n) + 1 if kind == "FIRST_VALUE" else F.col(f"__2{n}"))
+    flat = flat.withColumn("__want", index.cast("bigint"))
+    values = join_on(parts.withColumn("__own", F.col("__p")), flat.select(*[col(k) for k in own], "__want", "__nth"), own)
+    values = materialize(values, "indexed")
+    chosen = values.select(*[col(k) for k in keys], F.col("__nth").cast("bigint").alias("__want"), F.col("__x").alias("__found"))
+    found = join_on(values.select(*[col(p) for p in peers], "__want"), chosen, [*keys, "__want"])
+    return join_on(df, found.select(*[col(p) for p in peers], F.col("__found").alias(alias)), peers)
+
+
+def range_frames(df: DataFrame, partition_by: Sequence[str], order_by, frames: dict[str, tuple[str, str, dict]]) -> DataFrame:
+    """Add ``alias = function(field) OVER (PARTITION BY ... ORDER BY ... RANGE ...)`` for several frames in one pass.
+
+    ``frames`` gives function (SUM, AVG or COUNT), field and frame by alias; ``order_by`` is one numeric field. Every
+    group is spread over tasks, and the values of the field are cut and sorted once for all frames.
+    """
+    (field,) = order_fields([order_by])
+    if not isinstance(df.schema[field].dataType, NumericType):
+        raise ValueError(f"'{field}' is not a number")
+    falling = not isinstance(order_by, str) and (order_by["direction"] if isinstance(order_by, dict) else order_by[1]).upper() == "DESC"
+    wanted, empty = {}, {}
+    for alias, (function, source, frame) in frames.items():
+        kind = function.upper()
+        if kind not in ("SUM", "AVG", "COUNT") or frame.get("kind", "ROWS").upper() != "RANGE":
+            raise ValueError(f"'{function}' over this frame cannot share a pass")
+        if alias in df.columns:
+            raise ValueError(f"column '{alias}' exists")
+        start, end = bound(frame.get("start", "UNBOUNDED PRECEDING")), bound(frame.get("end", "CURRENT ROW"))
+        if start > end:
+            empty[alias] = F.lit(0).cast("bigint") if kind == "COUNT" else F.lit(None).cast(dict(df.dtypes)[source])
+        else:
+            wanted[alias] = (kind, source, start, end)
+    out = _sum_frames(df, list(partition_by), field, falling, wanted) if wanted else df
+    for alias, (kind, source, *_) in wanted.items():
+        out = _typed(out, df, alias, kind, source)
+    return out.withColumns(empty).select(*[col(c) for c in df.columns], *frames)
+
+
+def _sum_frames(df: DataFrame, keys: list[str], field: str, falling: bool, frames: dict[str, tuple[str, str, int, int]]) -> DataFrame:
+    """Sums, averages and counts over RANGE frames, ``(kind, source, start, end)`` by alias.
+
+    All frames ask among the same values, so one cut into slices and one sort serve them, and frames with a common
+    bound share its ask. A sum over a frame is the difference of two totals, which is exact: integers and decimals by
+    type, doubles by ``_exact_parts``.
+    """
+    peers = list(dict.fromkeys([*keys, field]))
+    sources = list(dict.fromkeys(source for _, source, _, _ in frames.values()))
+    summed = {source for kind, source, _, _ in frames.values() if kind != "COUNT"}
+    pieces = [F.count(col(s)).alias(f"__k{i}") for i, s in enumerate(sources)] + [F.sum(col(s)).alias(f"__s{i}") for i, s in enumerate(sources) if s in summed]
+    place = F.col("__own") if not falling else -F.col("__own")
+    parts = df.groupBy(*[col(p) for p in peers]).agg(*pieces).withColumn("__own", col(field)).withColumn("__p", place)
+    parts = materialize(parts.withColumn("__nul", F.col("__p").isNull().cast("int")), "values")
+    exact = {i: _exact_parts(parts, f"__s{i}") for i, s in enumerate(sources) if s in summed}
+    weights = {f"__v{i}_{n}": c for i, s in enumerate(sources) for n, c in {"k": F.col(f"__k{i}"), **exact.get(i, {})}.items()}
+    weighed = parts.select(*[col(k) for k in keys], "__own", "__p", "__nul", *[c.alias(n) for n, c in weights.items()])
+    types = dict(weighed.dtypes)
+    # an ask stands just before (0) or just after (2) the values of its bound
+    asks = [b for _, _, start, end in frames.values() for b in ((0, start), (2, end)) if abs(b[1]) < Window.unboundedFollowing]
+    asks = {b: i for i, b in enumerate(dict.fromkeys(asks), 1)}
+    asked = weighed.withColumns({"__side": F.lit(1), "__ask": F.lit(0)})
+    for (side, shift), i in asks.items():
+        nothing = {n: F.lit(0).cast(types[n]) for n in weights}
+        ask = weighed.withColumns({"__p": (F.col("__p") + F.lit(shift)).cast(types["__p"]), "__side": F.lit(side), "__ask": F.lit(i), **nothing})
+        asked = asked.unionByName(ask)
+    totals = {f"__t{n}": F.col(n) for n in weights}
+    got = prefix_sums(asked, keys, [("__nul", "ASC"), ("__p", "ASC"), ("__side", "ASC")], totals, unique=True)
+    own = [*keys, "__own"]
+    at = {f"__a{i}{n}": F.max(F.when(F.col("__ask") == i, F.col(f"__t{n}"))) for i in asks.values() for n in weights}
+    at = at or {"__any": F.count(F.lit(1))}
+    flat = got.groupBy(*[col(k) for k in own]).agg(*[c.alias(n) for n, c in at.items()])
+    if any(end == Window.unboundedFollowing for *_, end in frames.values()):
+        whole = weighed.groupBy(*[col(k) for k in keys]).agg(*[F.sum(n).alias(f"__all{n}") for n in weights])
+        flat = join_on(flat, whole, keys) if keys else flat.join(F.broadcast(whole))
+    found = {}
+    for alias, (kind, source, start, end) in frames.items():
+        i = sources.index(source)
+        inside = {}
+        for n in (w for w in weights if w.startswith(f"__v{i}_")):
+            high = F.col(f"__all{n}" if end == Window.unboundedFollowing else f"__a{asks[2, end]}{n}")
+            inside[n.split("_", 3)[3]] = high if start == Window.unboundedPreceding else high - F.col(f"__a{asks[0, start]}{n}")
+        seen = inside.pop("k").cast("bigint")
+        found[alias] = seen if kind == "COUNT" else F.when(seen > 0, _joined_parts(inside) if kind == "SUM" else _joined_parts(inside) / seen)
+    values = flat.select(*[col(k) for k in keys], *([F.col("__own").alias(field)] if field not in keys else []), *[c.alias(a) for a, c in found.items()])
+    return join_on(df, values, peers)
+
+
+def _exact_parts(parts: DataFrame, name: str) -> dict[str, Column]:
+    """Weights whose running totals are exact and can be subtracted, from the column ``name``.
 
     A double is cut into a multiple of a step so coarse that no total of such multiples is rounded, and a small rest;
-    values that are not finite are counted, since they would swallow the totals after them.
+    values that are not finite, if there are any, are counted, since they would swallow the totals after them.
     """
-    kind = dict(parts.dtypes)["__s"]
-    s = F.col("__s")
+    kind = dict(parts.dtypes)[name]
+    s = F.col(name)
     if kind not in ("double", "float"):
         return {"exact": F.coalesce(s, F.lit(0)).cast("decimal(38,0)" if not kind.startswith("decimal") else kind)}
     s = s.cast("double")
     finite = s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))
     # all totals stay under 2^52 steps
-    most = parts.where(finite).agg(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.max(F.abs(s)), F.lit(1e-250)))) + F.ceil(F.log2(F.count(F.lit(1)) + 1)) - 52).alias("step"))
-    step = F.coalesce(most.scalar(), F.lit(1.0))
+    largest, some = F.max(F.when(finite, F.abs(s))), F.count_if(finite)
+    step = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(largest, F.lit(1e-250)))) + F.ceil(F.log2(some + 1)) - 52)
+    # three numbers reach the driver, so that the passes that follow neither compute them again nor carry idle counts
+    step, known, finites = parts.agg(F.when(some > 0, step), F.count(s), some).first()
+    step = F.lit(1.0 if step is None else step)
     coarse = F.when(finite, F.rint(s / step) * step).otherwise(0.0)
     count = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
-    return {
-        "coarse": coarse,
-        "rest": F.when(finite, s - coarse).otherwise(0.0),
+    whole = {"coarse": coarse, "rest": F.when(finite, s - coarse).otherwise(0.0)}
+    if known == finites:
+        return whole
+    return whole | {
         "nan": count(F.isnan(s)),
         "up": count(s == float("inf")),
         "down": count(s == float("-inf")),
@@ -423,6 +492,8 @@ def _exact_parts(parts: DataFrame) -> dict[str, Column]:
 def _joined_parts(inside: dict[str, Column]) -> Column:
     if "exact" in inside:
         return inside["exact"]
+    if "nan" not in inside:
+        return inside["coarse"] + inside["rest"]
     up, down = inside["up"] > 0, inside["down"] > 0
     odd = F.when((inside["nan"] > 0) | (up & down), F.lit(float("nan"))).when(up, F.lit(float("inf"))).when(down, F.lit(float("-inf")))
     return F.coalesce(odd, inside["coarse"] + inside["rest"])

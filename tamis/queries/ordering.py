@@ -360,8 +360,8 @@ def q_frame_range_dense(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     wide = {"kind": "RANGE", "start": "50000 PRECEDING", "end": "50000 FOLLOWING"}
     below = {"kind": "RANGE", "start": "UNBOUNDED PRECEDING", "end": "1000 PRECEDING"}
-    for alias, function, frame in (("near", "SUM", wide), ("n", "COUNT", wide), ("below", "SUM", below)):
-        rows = window.window(rows, alias, function, ["o_orderpriority"], ["o_totalprice"], "o_totalprice", frame=frame, sliced=True)
+    frames = {alias: (function, "o_totalprice", frame) for alias, function, frame in (("near", "SUM", wide), ("n", "COUNT", wide), ("below", "SUM", below))}
+    rows = window.range_frames(rows, ["o_orderpriority"], "o_totalprice", frames)
     return rows.select("o_orderkey", F.round("near", 2).alias("near"), "n", F.round("below", 2).alias("below"))
 
 

@@ -9,7 +9,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.operators import aggregate, quality, window
+import __spark_entry__ as entry
+from tamis.operators import aggregate, ordered, quality, window
 from tamis.operators.ordered import number_rows, prefix_sum, top_per_group
 from tamis.session import GROUP_ROWS_CONF
 
@@ -305,3 +306,48 @@ def test_double_sums_over_ranges_are_as_exact_as_plain_ones(spark):
             assert (np.isnan(r.w) and np.isnan(want)) or r.w == want
         else:
             assert r.w == pytest.approx(math.fsum(inside), rel=1e-12, abs=1e-9)
+
+
+FRAMES = {
+    "a": ("SUM", "v", {"kind": "RANGE", "start": "3 PRECEDING", "end": "2 FOLLOWING"}),
+    "b": ("COUNT", "v", {"kind": "RANGE", "start": "3 PRECEDING", "end": "2 FOLLOWING"}),
+    "c": ("AVG", "id", {"kind": "RANGE", "start": "UNBOUNDED PRECEDING", "end": "1 PRECEDING"}),
+    "d": ("SUM", "id", {"kind": "RANGE", "start": "2 FOLLOWING", "end": "UNBOUNDED FOLLOWING"}),
+    "e": ("COUNT", "o", {"kind": "RANGE", "start": "UNBOUNDED PRECEDING", "end": "UNBOUNDED FOLLOWING"}),
+}
+
+
+def stored(monkeypatch):
+    """Labels of the tables that are stored from now on."""
+    labels = []
+    for module in (ordered, window):
+        monkeypatch.setattr(module, "materialize", lambda df, label="step", store=module.materialize: labels.append(label) or store(df, label))
+    return labels
+
+
+@pytest.mark.parametrize("keys,order", [(["k"], "o"), ([], ("o", "DESC"))])
+def test_range_frames_share_one_pass(hot, monkeypatch, keys, order):
+    odd = hot.withColumn("v", F.when(F.col("id") == 7, float("nan")).when(F.col("id") % 900 == 5, float("inf")).otherwise(F.col("v")))
+    plain = odd
+    for alias, (function, field, frame) in FRAMES.items():
+        plain = window.window(plain, alias, function, keys, [order], field, frame=frame, sliced=False)
+    labels = stored(monkeypatch)
+    got = window.range_frames(odd, keys, order, FRAMES)
+    assert labels == ["values", "slices"] and got.dtypes == plain.dtypes
+    shown = lambda df: df.withColumns({c: F.round(c, 6).cast("string") for c in "vac"})
+    assert rows_of(shown(got)) == rows_of(shown(plain))
+
+
+def test_range_frames_refuse_what_cannot_share_and_know_empty_ones(hot):
+    empty = {"kind": "RANGE", "start": "3 FOLLOWING", "end": "1 FOLLOWING"}
+    out = window.range_frames(hot, ["k"], "o", {"s": ("SUM", "v", empty), "n": ("COUNT", "v", empty)})
+    assert {(r.s, r.n) for r in out.collect()} == {(None, 0)} and out.count() == hot.count()
+    for function, frame in (("MAX", empty), ("SUM", {"kind": "ROWS"})):
+        with pytest.raises(ValueError):
+            window.range_frames(hot, ["k"], "o", {"s": (function, "v", frame)})
+
+
+def test_dense_frames_are_cut_once(spark, sf, monkeypatch):
+    labels = stored(monkeypatch)
+    entry.queries()["q_frame_range_dense"](spark, sf)
+    assert labels == ["values", "slices"]
